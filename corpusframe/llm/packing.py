@@ -135,7 +135,7 @@ def pack(pieces: DataFrame, capacity: int = SEQ_LEN, group: int = GROUP_PIECES)
     groups = max(1, -(-rest.count() // group))
     dealt = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
         sizes = t["length"].to_numpy()
         where = sum_of_squares(sizes, capacity)
@@ -145,7 +145,7 @@ def pack(pieces: DataFrame, capacity: int = SEQ_LEN, group: int = GROUP_PIECES)
         base = np.repeat((ends - sizes[order])[first], np.diff(np.r_[first, len(order)]))
         offset = np.empty(len(order), dtype=np.int64)
         offset[order] = ends - sizes[order] - base
-        seq = (key[0].as_py() << 32) + where
+        seq = (t["g"][0].as_py() << 32) + where
         return t.drop_columns(["g"]).append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)

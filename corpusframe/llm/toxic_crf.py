@@ -231,4 +231,4 @@ def held_out() -> Column:
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     made = toxicity(docs, labels, ~held_out())
-    return made.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_spans", F.expr("spans[0].start").alias("first_start"))
+    return made.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_spans", F.expr("get(spans, 0).start").alias("first_start"))
