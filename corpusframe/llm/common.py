@@ -89,6 +89,29 @@ def map_texts(
     return df.mapInArrow(run, spark_schema)
 
 
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, for which make()'s function over texts says True.
+    Null texts count as empty. Nothing shuffles."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = None
+        for batch in batches:
+            decide = decide or make()
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep = [k for _, part in chunks(texts, texts) for k in decide(part)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """docs without the rows whose `on` columns are in gone: a broadcast of gone while its counted
+    rows are within the bound, else a shuffle of both sides."""
+    n = gone.count()
+    return docs.join(small(gone, n), on, "left_anti") if n else docs
+
+
 def crc_mod(id_col, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, map_texts, table
+from .common import crc_mod, filter_texts, id_text, map_texts, table
 from .labelled import PER_CLASS, Logistic, sample
 
 DICT_BYTES, LEVEL = 112 * 1024, 3
@@ -88,6 +88,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label_col:
     return made.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, whose score by quality_scores() reaches threshold."""
+    scorer = CompressionScorer.fit(*sample(docs, labels, label_col, train, per_class, id_col, text_col))
+    return filter_texts(docs, lambda: lambda part: (scorer.scores(part) >= threshold).tolist(), text_col)
+
+
 def held_out() -> Column:
     return crc_mod(F.col("doc_id"), 4) == 2
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, small, table
+from .common import id_text, materialize, small, table, without
 
 #: Filter bits a row: with two bits a row, about one unrepeated row in a hundred is suspected.
 BITS_PER_ROW = 16
@@ -56,6 +56,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, one row of each group of equal texts: that of the largest id. Rows
+    repeated with id and text keep one of them. Only ids and digests of rows to go are moved,
+    unless they are too many to be broadcast."""
+    made = materialize(exact_dedup(docs, id_col, text_col))
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": sha})
+    key = ["__id", "__sha"]
+    gone = made.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    twice = made.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    left = without(keyed, gone, key)
+    if n := twice.count():
+        again = left.join(small(twice, n), key, "left_semi").dropDuplicates(key)
+        left = without(left, twice, key).unionByName(again)
+    return left.select(*docs.columns)
+
+
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, id_text, map_texts, materialize, small, table
+from .common import BROADCAST_ROWS, id_text, map_texts, materialize, small, table, without
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -277,5 +277,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.join(small(whole.withColumnRenamed("id", "doc_id"), n), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, one document of each component: that of the smallest id."""
+    made = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id")
+    gone = materialize(made.select(F.col("doc_id").alias("__id")).distinct())
+    return without(docs.withColumn("__id", F.col(id_col).cast("long")), gone, ["__id"]).select(*docs.columns)
+
+
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

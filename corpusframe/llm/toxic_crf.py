@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, map_texts, table
+from .common import crc_mod, filter_texts, id_text, map_texts, table
 from .labelled import PER_CLASS, Logistic, sample
 
 WORD = re.compile(r"\w+")
@@ -224,6 +224,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, label_col: str =
     return made.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_spans", "spans")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, without those whose score by toxicity() reaches threshold."""
+    field = ToxicField.fit(*sample(docs, labels, label_col, train, per_class, id_col, text_col))
+
+    def make():
+        words = lambda part: [[w.lower() for w in WORD.findall(t)] for t in part]
+        return lambda part: (field.document(field.tag(words(part))) < threshold).tolist()
+
+    return filter_texts(docs, make, text_col)
+
+
 def held_out() -> Column:
     return crc_mod(F.col("doc_id"), 5) == 0
 
