@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 import struct
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -15,7 +16,8 @@ from .common import id_text, map_texts, table
 
 SPACE = "▁"
 #: Chunks whose codes a worker remembers, and pairs whose compatibility it remembers.
-CACHE, PAIRS = 400_000, 1_000_000
+CACHE, PAIRS = 900_000, 1_000_000
+IDS, SAID = itemgetter(0), itemgetter(1)
 
 
 class PieceCodec:
@@ -50,13 +52,16 @@ class PieceCodec:
         self.known = {c for c in inside if c in self.id}
         self.partial = inside - self.known
         self.own: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         # no piece has a space mark after another character, so a code never reaches across
         joined = any(p[1] == SPACE != p[0] for p in self.pairs)
         self.cut = re.compile("(?s).+" if joined else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def split(self, chunk: str) -> list[str]:
-        """Cut where two characters stand side by side that do so in no piece."""
+        """Cut where two characters stand side by side that do so in no piece; letters alone
+        are left together."""
+        if chunk[1:].isalpha():
+            return [chunk]
         pairs, at, out = self.pairs, 0, []
         for i in range(1, len(chunk)):
             if chunk[i - 1 : i + 1] not in pairs:
@@ -95,23 +100,34 @@ class PieceCodec:
                 out += [self.id[s]] if s in self.id else [self.byte[b] for c in s for b in c.encode("utf-8", "replace")]
         return out
 
+    def whole(self, i: int) -> bool:
+        """Is this piece its own code?"""
+        if (own := self.own.get(i)) is None:
+            own = self.own[i] = self.merged(self.pieces[i]) == [i]
+        return own
+
     def compatible(self, a: int, b: int) -> bool:
-        if (fit := self.fits.get((a, b))) is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            fit = self.fits[a, b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        fit = self.fits[a << 32 | b] = self.whole(b) and self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
         return fit
 
     def prefixes(self, text: str) -> list[int]:
         """The code of a text of known characters, from its prefix table."""
         last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        known = self.fits.get
         for end, (i, length) in self.auto.iter(text):
             end += 1
-            if last[end] >= 0 or (left := last[end - length]) < 0 and end > length:
+            if last[end] >= 0:
                 continue
-            if (own := self.own.get(i)) is None:
-                own = self.own[i] = self.merged(self.pieces[i]) == [i]
-            if own and (end == length or self.compatible(left, i)):
+            if at := end - length:
+                if (left := last[at]) < 0:
+                    continue
+                if (fit := known(left << 32 | i)) is None:
+                    fit = self.compatible(left, i)
+            else:
+                fit = self.whole(i)
+            if fit:
                 last[end], size[end] = i, length
         out, at = [], len(text)
         while at:
@@ -124,6 +140,8 @@ class PieceCodec:
     def encode(self, chunk: str) -> list[int]:
         if SPACE * 2 in chunk or self.partial and not self.partial.isdisjoint(chunk):
             return self.merged(chunk)
+        if self.known.issuperset(chunk):
+            return self.prefixes(chunk)
         out: list[int] = []
         at = 0
         for i, c in enumerate(chunk):
@@ -136,6 +154,8 @@ class PieceCodec:
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, bytes of fallback ids read as UTF-8, space marks as spaces; control
         ids give nothing. The leading space of a whole text stays here."""
+        if self.value.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids if i != self.bos and i != self.eos]).replace(SPACE, " ")
         out = bytearray()
         for i in ids:
             if (b := self.value.get(i)) is not None:
@@ -148,10 +168,12 @@ class PieceCodec:
 def coder(path: str, cache: int = CACHE):
     """A function from texts to pairs (ids as little-endian unsigned 32-bit, decoded text)."""
     codec = PieceCodec(path)
+    words: dict[str, tuple[bytes, str]] = {}
     kept: dict[str, tuple[bytes, str]] = {}
     begin, end = struct.pack("<I", codec.bos), struct.pack("<I", codec.eos)
 
     def fresh(part: str) -> tuple[bytes, str]:
+        nonlocal kept
         subs = codec.split(part)
         if len(subs) > 1:
             each = [kept.get(s) or fresh(s) for s in subs]
@@ -159,22 +181,34 @@ def coder(path: str, cache: int = CACHE):
         else:
             ids = codec.encode(part)
             v = struct.pack(f"<{len(ids)}I", *ids), codec.decode(ids)
-        if len(part) < 64:
+        if len(subs) == 1 and len(part) < 64:
+            if len(kept) > cache // 3:
+                kept = dict(list(kept.items())[len(kept) // 2 :])
             kept[part] = v
         return v
 
     def code(text: str) -> tuple[bytes, str]:
-        nonlocal kept
+        nonlocal words
         if not text:
             return begin + end, ""
-        parts = codec.cut.findall(SPACE + text.replace(" ", SPACE))
-        found = list(map(kept.get, parts))
-        if None in found:
-            if len(kept) > cache:
-                kept = dict(list(kept.items())[len(kept) // 2 :])
-            for i, v in enumerate(found):
-                if v is None:
-                    found[i] = kept.get(parts[i]) or fresh(parts[i])
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            parts = codec.cut.findall(SPACE + text.replace(" ", SPACE))
+        else:  # every part is a space mark and a word: kept without the mark
+            parts = text.split(" ")
+            try:
+                found = list(map(words.__getitem__, parts))
+            except KeyError:
+                new = set(parts).difference(words)
+                if len(words) + len(new) > cache:
+                    words = dict(list(words.items())[len(words) // 2 :])
+                    new = set(parts).difference(words)
+                words.update([(w, fresh(SPACE + w)) for w in new])
+                found = list(map(words.__getitem__, parts))
+                for w in new:
+                    if len(w) > 64:
+                        del words[w]
+            return begin + b"".join(map(IDS, found)) + end, "".join(map(SAID, found))[1:]
+        found = [kept.get(p) or fresh(p) for p in parts]
         said = "".join([v[1] for v in found])
         return begin + b"".join([v[0] for v in found]) + end, said[1:] if said[:1] == " " else said
 
