@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, exact_dedup, jaccard_join, license_scan, packing, piece_codec, token_count, toxic_crf
+from . import compression_quality, exact_dedup, html_lstm, jaccard_join, license_scan, packing, piece_codec, token_count, toxic_crf
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_toxicity": toxic_crf.op8_toxicity,
+        "op9_html_extract": html_lstm.op9_html_extract,
         "op10_token_count": token_count.op10_token_count,
     }
 
