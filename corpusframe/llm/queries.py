@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import compression_quality, exact_dedup, html_lstm, jaccard_join, license_scan, packing, piece_codec, token_count, toxic_crf
+from . import audio_fingerprint, compression_quality, exact_dedup, html_lstm, jaccard_join, license_scan, packing, piece_codec, token_count, toxic_crf
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_audio_fingerprint": audio_fingerprint.op2_audio_fingerprint,
         "op3_quality": compression_quality.op3_quality,
         "op4_packing": packing.op4_packing,
         "op5_piece_codec": piece_codec.op5_piece_codec,
