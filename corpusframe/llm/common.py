@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a Python worker holds as lists of words at once.
-CHUNK_CHARS = 2_000_000
+#: Characters of text that a Python worker holds as lists of words at once, and rows that go to it
+#: in one message.
+CHUNK_CHARS, BATCH_ROWS = 1_000_000, 1000
 #: Rows of at most 64 bytes that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Texts go to Python in messages of BATCH_ROWS rows: with Spark's usual
+    10,000 long ones would fill an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,7 +73,7 @@ def chunks(ids: list, texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tu
 
 
 def map_texts(
-    df: DataFrame, make: Callable[[], Callable[[list, list[str]], list]], schema: pa.Schema, spark_schema: str
+    df: DataFrame, make: Callable[[], Callable[[list, list[str]], list]], schema: pa.Schema, spark_schema: str, limit: int = CHUNK_CHARS
 ) -> DataFrame:
     """Run make()'s function over (ids, texts) parts of df's first two columns; it returns
     one list or array per column of the schema."""
@@ -81,7 +85,7 @@ def map_texts(
                 continue
             work = work or make()
             ids, texts = batch.column(0), batch.column(1)
-            for i, t in chunks(ids.to_pylist(), texts.to_pylist()):
+            for i, t in chunks(ids.to_pylist(), texts.to_pylist(), limit):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(work(i, t), schema, strict=True)], schema=schema
                 )

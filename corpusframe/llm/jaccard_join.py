@@ -15,8 +15,9 @@ difference D of the sets, and similarity 4/5 needs D <= (a + b) / 9 for sets of
 3. Slices that several documents share are found by an aggregation of minima (pre-aggregated, so
    a slice of a third of all rows is one row a task). Each document is checked against the
    smallest ids of its slices: first by folded sketches, then exactly, with its best one first.
-4. Slices whose documents still lie in several components are refined: their documents are joined
-   on one-sided prefixes (at most a - 4(a + b)/9 members of the smaller set are missing from the
+4. Slices whose documents still lie in several components: those of few documents give their pairs,
+   tested by folded sketches, then exactly. Larger ones are refined: their documents are joined on
+   one-sided prefixes (at most a - 4(a + b)/9 members of the smaller set are missing from the
    larger), per pair of narrow size bands, rarely counted shingles first; folded sketches, then
    the exact check follow. Every similar pair of different components is met here.
 5. Components of the links; classes pass theirs on to their copies.
@@ -44,6 +45,10 @@ FINE = 64
 NARROW = 1.1
 #: Bits that tell the second reading which slices are shared: 16 MB at most.
 SHARED_BITS = 1 << 27
+#: Slices of at most so many documents give their pairs directly in step 4; larger ones are refined.
+FEW = 24
+#: Characters of text that are hashed at once; a hundred bytes of memory a character.
+CHARS = 400_000
 _U = np.uint64
 
 
@@ -62,7 +67,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
         cells = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHARS):
                 sets = shingle_sets(texts)
                 cells += np.bincount((np.concatenate(sets) % _U(CELLS)).astype(np.int64), minlength=CELLS)
                 f1 = [mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64) for s in sets]
@@ -145,7 +150,7 @@ def keyed(docs: DataFrame, level: np.ndarray, make) -> DataFrame:
     def work():
         return lambda ids, texts: [ids, [make(s, held.value).view(np.int64) if len(s) else [] for s in shingle_sets(texts)]]
 
-    return map_texts(docs.select("doc_id", "text"), work, pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))]), "doc_id long, keys array<long>")
+    return map_texts(docs.select("doc_id", "text"), work, pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))]), "doc_id long, keys array<long>", CHARS)
 
 
 def shared_only(keys: DataFrame, shared: DataFrame, n: int) -> DataFrame:
@@ -179,7 +184,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             from .common import chunks
 
             rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
-            for part, texts in chunks(rows, b.column(1).to_pylist()):
+            for part, texts in chunks(rows, b.column(1).to_pylist(), CHARS):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["doc_id", "other", "members"])
 
     return docs.join(small(wanted, n), "doc_id").select("doc_id", "text", "other").mapInArrow(run, "doc_id long, other long, members binary")
@@ -255,8 +260,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = reps.join(small(found.withColumnRenamed("id", "doc_id"), found.count()), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
     comp = materialize(comp)
     marked = members.select("key", "doc_id").join(small(comp, n_sketches), "doc_id")
-    mixed = materialize(marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
-    open_ = materialize(members.select("key", "doc_id").join(small(mixed, mixed.count()), "key", "left_semi").select("doc_id").distinct())
+    mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    mixed = materialize(mixed)
+    few, many = mixed.where(F.col("n") <= FEW).select("key"), mixed.where(F.col("n") > FEW).select("key")
+    some = materialize(marked.join(small(few, few.count()), "key"))
+    other = some.select("key", F.col("doc_id").alias("b"), F.col("c").alias("d"))
+    pairs = some.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and c <> d").select("a", "b").distinct()
+    links = links.unionByName(verified(alone, close(pairs, sketches, n_sketches)))
+    open_ = materialize(members.select("key", "doc_id").join(small(many, many.count()), "key", "left_semi").select("doc_id").distinct())
     n_open = open_.count()
     if n_open:
         texts = alone.join(small(open_, n_open), "doc_id", "left_semi")
