@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +55,13 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def release() -> None:
+    """Hand memory that a finished part has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, null text as empty; other columns, whatever their names, stay behind."""
     return docs.select(
@@ -89,6 +98,8 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(work(i, t), schema, strict=True)], schema=schema
                 )
+        work = None
+        release()
 
     return df.mapInArrow(run, spark_schema)
 
@@ -105,6 +116,8 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = [k for _, part in chunks(texts, texts) for k in decide(part)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        decide = None
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

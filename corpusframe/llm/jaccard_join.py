@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, id_text, map_texts, materialize, small, table, without
+from .common import BROADCAST_ROWS, chunks, id_text, map_texts, materialize, release, small, table, without
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -63,8 +63,6 @@ def describe(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        from .common import chunks
-
         cells = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHARS):
@@ -76,8 +74,10 @@ def describe(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, [len(s) for s in sets], f1, f2, [fold(s) for s in sets], none, none), schema, strict=True)], schema=schema)
         if cells.any():
             packed = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in cells.reshape(PARTS, -1)]
+            del cells
             none = [None] * PARTS
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((none, none, none, none, none, list(range(PARTS)), packed), schema, strict=True)], schema=schema)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, part int, counts binary")
 
@@ -181,11 +181,10 @@ def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            from .common import chunks
-
             rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
             for part, texts in chunks(rows, b.column(1).to_pylist(), CHARS):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["doc_id", "other", "members"])
+        release()
 
     return docs.join(small(wanted, n), "doc_id").select("doc_id", "text", "other").mapInArrow(run, "doc_id long, other long, members binary")
 

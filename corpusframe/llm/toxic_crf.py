@@ -17,7 +17,7 @@ from .labelled import PER_CLASS, Logistic, sample
 
 WORD = re.compile(r"\w+")
 #: Weights; words remembered by a worker; tokens that the field is fitted on; documents a batch.
-DIM, CACHE, FIT_TOKENS, BATCH = 1 << 18, 400_000, 400_000, 64
+DIM, CACHE, FIT_TOKENS, BATCH = 1 << 18, 200_000, 400_000, 64
 #: A form marks tokens in toxic documents if its share of documents is so much larger there,
 #: and if chance would give that with a log probability of SEED_LOG at most.
 SEED_SHARE, SEED_LOG = 0.9, -11.5
