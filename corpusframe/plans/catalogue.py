@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import text_queries
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "text_queries"]
