@@ -64,7 +64,8 @@ def chroma(x: np.ndarray, s: Settings) -> np.ndarray:
 
 def filters(window: int) -> list[tuple[int, int, int, int]]:
     """Sixteen (kind, first pitch class, classes, frames), spread over kinds, places and widths."""
-    return [(i % 6, (5 * i) % 12 if i % 6 else 0, 12 if i % 6 == 0 else 2 + i % 3 * 2, max(2, window - i % 4 * 4)) for i in range(16)]
+    widths = (window, window * 3 // 4, window // 2)
+    return [(i % 6, (5 * i) % 12 if i % 6 else 0, 12 if i % 6 == 0 else 2 + (i * 7) % 4 * 2, max(4, widths[i // 6])) for i in range(16)]
 
 
 def responses(c: np.ndarray, window: int) -> np.ndarray:
@@ -104,7 +105,8 @@ def responses(c: np.ndarray, window: int) -> np.ndarray:
 def thresholds(s: Settings) -> np.ndarray:
     """(3, 16): quartiles of the responses over made recordings of chance tones."""
     r = np.random.default_rng(11)
-    got = [responses(chroma(tones(r.integers(0, 36, 24), s, 0.4), s), s.window) for _ in range(12)]
+    notes = [np.clip(np.rint(r.normal(18, 5, 48)), 0, 35) for _ in range(24)]
+    got = [responses(chroma(tones(n, s, s.window * s.hop / s.rate / 13), s), s.window) for n in notes]
     return np.quantile(np.concatenate(got), [0.25, 0.5, 0.75], axis=0)
 
 
