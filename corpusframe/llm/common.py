@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,13 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs any more; it does so when the driver
+    collects its garbage, which may not happen for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df to be broadcast when its counted rows are within the bound, else left to a shuffle."""
     return F.broadcast(df) if rows <= bound else df

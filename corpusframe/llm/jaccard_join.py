@@ -5,7 +5,8 @@ twice is cleared again (parity). The Hamming distance of two sketches is at most
 difference D of the sets, and similarity 4/5 needs D <= (a + b) / 9 for sets of a and b members.
 
 1. Pass over the texts: size, two 64-bit fingerprints of the set and a folded 1024-bit sketch of
-   each document, and a count of all shingles in 2^20 cells (4 MB, whatever the input). Documents
+   each document, and a count of all shingles in 2^22 cells (4 MB, whatever the input; a task's
+   share of a cell counts to 255, which is enough to tell rare from common). Documents
    with equal sets are one class; only its smallest id goes on.
 2. Pass over the texts: per size band [2^k, 2^(k+1)) the sketch is cut into 2^k slices; a slice is
    held as the XOR of its bits' 64-bit codes. By the pigeonhole principle two similar documents
@@ -33,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, id_text, map_texts, materialize, release, small, table, without
+from .common import BROADCAST_ROWS, chunks, id_text, map_texts, materialize, reclaim, release, small, table, without
 from .components import components
 from .shingles import mix, shingle_sets
 
-CELLS, PARTS = 1 << 20, 64
+CELLS, PARTS = 1 << 22, 64
 FOLDED = 1024
 #: Sizes below this are sliced so finely that a slice is one shingle.
 FINE = 64
@@ -63,17 +64,18 @@ def describe(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        cells = np.zeros(CELLS, dtype=np.int64)
+        cells = np.zeros(CELLS, dtype=np.uint8)
         for batch in batches:
             for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHARS):
                 sets = shingle_sets(texts)
-                cells += np.bincount((np.concatenate(sets) % _U(CELLS)).astype(np.int64), minlength=CELLS)
+                at, n = np.unique((np.concatenate(sets) % _U(CELLS)).astype(np.int64), return_counts=True)
+                cells[at] = np.minimum(cells[at] + n, 255)
                 f1 = [mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64) for s in sets]
                 f2 = [np.bitwise_xor.reduce(mix(s + _U(0x14057B7EF767814F)), initial=_U(0)).astype(np.int64) for s in sets]
                 none = [None] * len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, [len(s) for s in sets], f1, f2, [fold(s) for s in sets], none, none), schema, strict=True)], schema=schema)
         if cells.any():
-            packed = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in cells.reshape(PARTS, -1)]
+            packed = [zlib.compress(c.tobytes(), 1) for c in cells.reshape(PARTS, -1)]
             del cells
             none = [None] * PARTS
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((none, none, none, none, none, list(range(PARTS)), packed), schema, strict=True)], schema=schema)
@@ -83,13 +85,13 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def levels(described: DataFrame) -> np.ndarray:
-    """log2 of the count of each cell over all tasks: CELLS bytes."""
+    """Twice the log2 of the count of each cell over all tasks: CELLS bytes."""
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // PARTS, dtype=np.int64)
         for c in t["counts"].to_pylist():
-            total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
-        return pa.table({"part": t["part"][:1], "levels": pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
+        return pa.table({"part": t["part"][:1], "levels": pa.array([(2 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
 
     got = described.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, levels binary").collect()
     out = np.zeros((PARTS, CELLS // PARTS), dtype=np.uint8)
@@ -124,11 +126,11 @@ def narrow(n: int) -> int:
     return int(math.log(n) / math.log(NARROW) + 1e-9)
 
 
-def prefixes(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Keys of step 4: for each narrow band that a partner may be of, a prefix."""
+def prefixes(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of step 4 and their places: for each narrow band that a partner may be of, a prefix."""
     n = len(s)
     s = s[np.lexsort((s, level[(s % _U(CELLS)).astype(np.int64)]))]
-    mine, out = narrow(n), []
+    mine, out, places = narrow(n), [s[:0]], [np.zeros(0, np.int32)]
     for other in range(narrow(max(1, -(-4 * n // 5))), narrow(5 * n // 4) + 1):
         # the smallest size of that band; a partner of at least it shares 4/9 of both sizes
         least = max(-(-4 * n // 5), math.ceil(NARROW**other - 1e-6))
@@ -140,21 +142,28 @@ def prefixes(s: np.ndarray, level: np.ndarray) -> np.ndarray:
         if take > 0:
             lo, hi = sorted((mine, other))
             out.append(mix(s[:take] ^ mix(np.array([lo << 20 | hi], dtype=_U))))
-    return np.concatenate(out) if out else s[:0]
+            places.append(np.arange(take, dtype=np.int32))
+    return np.concatenate(out), np.concatenate(places)
 
 
 def keyed(docs: DataFrame, level: np.ndarray, make) -> DataFrame:
-    """(doc_id, keys): make(set, level) of every document, the keys as an array."""
+    """(doc_id, keys, places): make(set, level) of every document as arrays; places may be absent."""
     held = docs.sparkSession.sparkContext.broadcast(level)
 
     def work():
-        return lambda ids, texts: [ids, [make(s, held.value).view(np.int64) if len(s) else [] for s in shingle_sets(texts)]]
+        def run(ids: list, texts: list[str]) -> list:
+            made = [make(s, held.value) if len(s) else s for s in shingle_sets(texts)]
+            two = [m if isinstance(m, tuple) else (m, None) for m in made]
+            return [ids, [k.view(np.int64) for k, _ in two], [p for _, p in two]]
 
-    return map_texts(docs.select("doc_id", "text"), work, pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))]), "doc_id long, keys array<long>", CHARS)
+        return run
+
+    fields = [("doc_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]
+    return map_texts(docs.select("doc_id", "text"), work, pa.schema(fields), "doc_id long, keys array<long>, places array<int>", CHARS)
 
 
 def shared_only(keys: DataFrame, shared: DataFrame, n: int) -> DataFrame:
-    """(key, doc_id) of the keys that may be in shared: a bitmap of their hashes, up to 16 MB,
+    """(key, doc_id, place) of the keys that may be in shared: a bitmap of their hashes, up to 16 MB,
     leaves out nearly all others before the shuffle, as far as it is not full."""
     bits = min(SHARED_BITS, 1 << max(15, math.ceil(math.log2(max(1, n) * 16))))
     at = F.pmod(F.col("key"), F.lit(bits)) + 1  # buckets count positions from 1
@@ -171,9 +180,11 @@ def shared_only(keys: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             ids = np.repeat(np.asarray(b.column(0)), np.diff(np.asarray(lists.offsets)))
             p = (flat.view(_U) % _U(bits)).astype(np.int64)
             hit = held.value[p >> 3] >> (p & 7) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(ids[hit])], names=["key", "doc_id"])
+            place = np.asarray(b.column(2).flatten())
+            place = place[hit] if len(place) else np.zeros(int(hit.sum()), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(ids[hit]), pa.array(place)], names=["key", "doc_id", "place"])
 
-    return keys.mapInArrow(run, "key long, doc_id long")
+    return keys.select("doc_id", "keys", "places").mapInArrow(run, "key long, doc_id long, place int")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -242,9 +253,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alone = base.join(small(copies.select("doc_id"), n_copies), "doc_id", "left_anti") if n_copies else base
 
     keys = materialize(keyed(alone, level, slices))
+    reclaim(base.sparkSession)
     each = keys.select("doc_id", F.explode("keys").alias("key"))
     shared = materialize(each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "a"))
     n_shared = shared.count()
+    reclaim(base.sparkSession)
     members = materialize(shared_only(keys, shared, n_shared).join(small(shared, n_shared), "key").select("key", "doc_id", "a"))
 
     stars = members.where("doc_id <> a").groupBy("doc_id", "a").agg(F.count("*").alias("hits")).withColumnRenamed("doc_id", "b")
@@ -254,6 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = close(stars, sketches, n_sketches).groupBy("b").agg(F.max(F.struct("hits", -F.col("a"))).alias("m")).select("b", (-F.col("m.col2")).alias("a"))
     links = verified(alone, best.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
+    reclaim(base.sparkSession)
     # documents of slices that lie in more than one component so far
     found = materialize(components(links))
     comp = reps.join(small(found.withColumnRenamed("id", "doc_id"), found.count()), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
@@ -275,9 +289,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         several = materialize(fine_each.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
         n_several = several.count()
         picked = shared_only(fine, several, n_several).join(small(several, n_several), "key", "left_semi").join(small(comp, n_sketches), "doc_id")
-        picked = materialize(picked.select("key", "doc_id", "c"))
-        other = picked.select("key", F.col("doc_id").alias("b"), F.col("c").alias("d"))
-        pairs = picked.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and c <> d").select("a", "b").distinct()
+        picked = picked.join(small(sketches.select("doc_id", "n"), n_sketches), "doc_id")
+        picked = materialize(picked.select("key", "doc_id", "c", "n", "place"))
+        other = picked.select("key", F.col("doc_id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("place").alias("q"))
+        # a band's prefix is for its smallest size: with both sizes known it is shorter
+        fit = "place <= n - (4 * (n + m) + 8) div 9 and q <= m - (4 * (n + m) + 8) div 9"
+        pairs = picked.withColumnRenamed("doc_id", "a").join(other, "key").where(f"a < b and c <> d and {fit}").select("a", "b").distinct()
         links = links.unionByName(verified(alone, close(pairs, sketches, n_sketches)))
 
     whole = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
