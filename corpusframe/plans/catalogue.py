@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import select_queries, text_queries
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "text_queries"]
+__all__ = ["ORACLE", "QUERIES", "select_queries", "text_queries"]
