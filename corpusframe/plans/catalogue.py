@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import select_queries, text_queries
+from . import segment_queries, select_queries, text_queries
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "select_queries", "text_queries"]
+__all__ = ["ORACLE", "QUERIES", "segment_queries", "select_queries", "text_queries"]
