@@ -1,0 +1,203 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusframe.functions import arrays, edit, text
+from corpusframe.operators import combine, lexicon, metrics
+
+
+def one(spark, make, value):
+    return spark.createDataFrame([(value,)], "x string").select(make(F.col("x")).alias("y")).first()["y"]
+
+
+def test_scoring_normalizer_keeps_letter_forms(spark):
+    assert one(spark, text.normalize_scoring, "مَرْحَباً، يا أُختي؟") == "مرحبا يا أختي"
+    assert one(spark, text.normalize_scoring, "أ إ آ ى ة") == "أ إ آ ى ة"
+    assert one(spark, text.normalize_scoring, "a b c\x1cd\x85e") == "a b c d e"
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("<ar>إلى مدرسة", "الي مدرسه"),
+        ("a <b c> d", "a d"),
+        ("سين جيم", "س ج"),
+        ("x▁y,  z؟!", "x y z"),
+        ("ÀB", "àb"),
+    ],
+)
+def test_training_normalizer(spark, said, want):
+    assert one(spark, text.normalize_training, said) == want
+
+
+def test_other_text_rules(spark):
+    assert one(spark, lambda x: text.normalize_training(x, asmo=True), "i I E B C") == "j g G G G"
+    assert one(spark, text.fold_letters, "إلى ﻻ") == "الي لا"
+    assert one(spark, text.normalize_letters, "مُؤمن abc ئ") == "مومن ي"
+    assert one(spark, text.count_characters, "صضab") == 2
+    assert one(spark, text.after_first, "l<asr_text>a<asr_text>b") == "a<asr_text>b"
+    assert one(spark, text.after_last, "l<asr_text>a<asr_text>b") == "b"
+    assert one(spark, text.after_first, "plain") == "plain"
+    assert one(spark, text.tokens, " \t ") == []
+    for path, want in [("/a/b/c.wav", "c"), ("c.tar.gz", "c.tar"), ("/x/noext", "noext")]:
+        assert one(spark, text.stem_simple, path) == want
+    assert one(spark, text.seconds_from_id, "v_100-350") == 2.5
+    assert one(spark, text.seconds_from_id, "v") == 0
+
+
+def test_group_from_path(spark):
+    assert one(spark, text.group_from_path, "/Yemen/audio/original/EGYPT/1.flac") == "Egypt"
+    assert one(spark, text.group_from_path, "/x/audio/k2hub/1.flac") == ""
+    assert one(spark, text.group_from_path_exact, "/data/audio/EGYPT/UAE/1.flac") == "UAE"
+    assert one(spark, lambda x: text.group_of([F.lit("ar"), F.lit(" uae ")], x), "/audio/Egypt/1") == "UAE"
+
+
+# the golden slots: diagonal first, then a dropped pivot word, then a dropped word of the other
+SLOTS = [
+    ("a b c", "a x c", "a|x|c"), ("a b c", "a c", "a||c"), ("a b", "a x b", "a|b"), ("a b c d", "b c d e", "|b|c|d"),
+    ("a a", "a", "|a"), ("a b c", "", "||"), ("x y", "y x", "y|x"), ("أنا هنا", "أنا الآن هنا", "أنا|هنا"), ("أنا هنا", "أنا", "أنا|"),
+]
+
+
+@pytest.mark.parametrize(("pivot", "other", "want"), SLOTS)
+def test_alignment(pivot, other, want):
+    assert edit.align(pivot.split(), other.split()) == want.split("|")
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distances_agree(spark):
+    r = random.Random(4)
+    rows = [([r.choice("abcd") * r.randint(1, 2) for _ in range(r.randint(0, 9))], [r.choice("abcd") for _ in range(r.randint(0, 9))]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = df.select("a", "b", edit.word_edits(F.col("a"), F.col("b")).alias("n"), edit.word_edits_long("a", "b").alias("l")).collect()
+    assert all(g["n"] == g["l"] == slow_distance(g["a"], g["b"]) for g in got)
+    chars = spark.createDataFrame([("é", "e"), ("🙂x", "x")], "a string, b string").select(edit.char_edits(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [c["n"] for c in chars] == [1, 1]
+
+
+def scored(spark, pairs):
+    df = spark.createDataFrame(pairs, "g string, r string, h string")
+    ref, hyp = text.tokens(text.normalize_scoring(F.col("r"))), text.tokens(text.normalize_scoring(F.col("h")))
+    return metrics.with_edits(df, ref, hyp)
+
+
+def test_corpus_rate_drops_empty_references(spark):
+    r = metrics.corpus_rate(scored(spark, [("x", "أنا هنا", "أنا هون"), ("x", "", "كلام"), ("y", "", "a")]), "g")
+    by = {(x["g"], x["pooled"]): x for x in r.collect()}
+    assert (by["x", 0]["rate"], by["x", 0]["n"]) == (0.5, 1)
+    assert by["y", 0]["rate"] == 0 and by["y", 0]["n"] == 0
+    assert by[None, 1]["rate"] == 0.5
+    total = metrics.macro_micro(r).first()
+    assert (total["macro"], total["micro"]) == (0.25, 0.5)
+    assert metrics.corpus_rate(scored(spark, [("y", "", "a")]), "g", keep_empty=False).count() == 0
+
+
+def test_utterance_and_best_reference(spark):
+    u = scored(spark, [("g", "", ""), ("g", "", "a"), ("g", "a b", "a")]).select(edit.utterance_rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp")).alias("u"))
+    assert [r["u"] for r in u.collect()] == [0.0, 1.0, 0.5]
+    rows = spark.createDataFrame([(1, 0, 2, 4), (1, 1, 1, 2), (1, 2, 0, 0), (2, 0, 0, 0)], "k int, place int, edits int, n_ref int")
+    best = {r["k"]: (r["best_edits"], r["best_n"]) for r in metrics.best_reference(rows, ["k"]).collect()}
+    assert best == {1: (2, 4), 2: (0, 0)}
+
+
+def test_lexicon_and_rewrite(spark):
+    rows = [("Jordan", i, ["على"]) for i in range(30)] + [("Jordan", 40, ["علي", "x"]), ("Egypt", 50, ["علي"])]
+    df = spark.createDataFrame(rows, "dialect string, id long, words array<string>")
+    lex = lexicon.build_lexicon(df, "dialect", "words", ["id"], text.fold_letters)
+    assert [tuple(r) for r in lex.collect()] == [("Jordan", "علي", "على")]
+    new = {r["id"]: (r["words"], r["changed"]) for r in lexicon.canonicalize(df, lex, "id", "dialect", "words", text.fold_letters).collect()}
+    assert new[40] == (["على", "x"], True) and new[50] == (["علي"], False) and new[0] == (["على"], False)
+    with pytest.raises(Exception, match="no dialect"):
+        lexicon.build_lexicon(spark.createDataFrame([(None, 1, ["a"])], df.schema), "dialect", "words", ["id"], text.fold_letters).collect()
+
+
+WEIGHTS = [1.30, 1.10, 1.05, 1.00, 1.00, 0.90, 0.85, 0.80, 0.75]
+
+
+def voted(spark, systems, weights):
+    rows = [("u", i, s.split()) for i, s in enumerate(systems)]
+    return [" ".join(r["words"]) for r in combine.vote(spark.createDataFrame(rows, "utt_id string, sys_idx int, words array<string>"), weights).collect()]
+
+
+def test_vote(spark):
+    assert voted(spark, ["أنا هنا"] + ["أنا هون"] * 8, WEIGHTS) == ["أنا هون"]
+    assert voted(spark, ["a b c"] * 3, WEIGHTS[:3]) == ["a b c"]
+    assert voted(spark, ["", "a", "a"], WEIGHTS[:3]) == [""]
+    assert voted(spark, ["a", "", ""], [1.0, 1.0, 1.0]) == [""]
+    assert voted(spark, ["a", "b"], [1.0, 1.0]) == ["a"]
+    assert voted(spark, ["a", "b"], [1.0, 1.0, 1.0]) == []
+
+
+def slow_vote(systems, weights):
+    pivot = systems[0]
+    slots = [pivot] + [edit.align(pivot, s) for s in systems[1:]]
+    out = []
+    for p in range(len(pivot)):
+        votes = {}
+        for w, s in zip(weights, slots, strict=True):
+            votes[s[p]] = votes.get(s[p], 0.0) + w
+        first = {s[p]: i for i, s in reversed(list(enumerate(slots)))}
+        out.append(max(votes, key=lambda w: (votes[w], w == pivot[p], -first[w])))
+    return [w for w in out if w]
+
+
+def test_vote_against_loop(spark):
+    r = random.Random(8)
+    sets = [[[r.choice("abc") for _ in range(r.randint(0, 6))] for _ in range(4)] for _ in range(60)]
+    weights = [1.30, 1.10, 1.05, 0.85]
+    rows = [(str(k), i, s) for k, sys_ in enumerate(sets) for i, s in enumerate(sys_)]
+    got = combine.vote(spark.createDataFrame(rows, "utt_id string, sys_idx int, words array<string>"), weights)
+    assert {g["utt_id"]: g["words"] for g in got.collect()} == {str(k): slow_vote(s, weights) for k, s in enumerate(sets)}
+
+
+def test_schedules(spark):
+    e = spark.range(1, 16).select(arrays.learning_rate(F.col("id"), 1e-4, 1e-7, 5, 15).alias("lr"), arrays.margin(F.col("id"), 0.2, 3).alias("m"), arrays.unfrozen(F.col("id"), 12, 2, 3).alias("u")).collect()
+    want = [2e-5, 4e-5, 6e-5, 8e-5, 1e-4, 9.755527e-5, 9.046040e-5, 7.940987e-5, 6.548540e-5, 5.005000e-5, 3.461460e-5, 2.069013e-5, 9.639601e-6, 2.544727e-6, 1e-7]
+    assert [r["lr"] for r in e] == pytest.approx(want, rel=1e-6)
+    assert [round(r["m"], 4) for r in e[:5]] == [0, 0.0667, 0.1333, 0.2, 0.2]
+    assert [r["u"] for r in e[:7]] == [0, 3, 6, 9, 12, 12, 12]
+
+
+def test_arrays(spark):
+    r = spark.range(1).select(
+        arrays.insert_after(F.array(*map(F.lit, [5, 7, 9])), 7, F.array(F.lit(1))).alias("a"),
+        arrays.insert_after(F.array(*map(F.lit, [5, 9])), 7, F.array(F.lit(1))).alias("b"),
+        arrays.insert_after(F.array(*map(F.lit, [5, 9])), 7, F.lit(None).cast("array<int>")).alias("c"),
+        arrays.masked_labels(F.array(F.lit(0)), F.array(F.lit(4), F.lit(5)), 2, F.lit(6)).alias("d"),
+        arrays.frames(F.lit(16000), [10, 3, 3, 3, 3, 2, 2], [5, 2, 2, 2, 2, 2, 2]).alias("f"),
+        arrays.mu_law(F.lit(0.0)).alias("mu"),
+        arrays.binned(F.lit(0.6), [0.43, 0.5, 0.6, 0.7]).alias("bin"),
+        arrays.layer_bucket(F.lit("x.encoder.layers.7.w"), 12).alias("l"),
+        arrays.layer_bucket(F.lit("feature_extractor.c"), 12).alias("x"),
+        arrays.layer_bucket(F.lit("feature_projection"), 12).alias("p"),
+        arrays.margin_terms(F.lit(0.2)).alias("t"),
+        arrays.centre_start(F.lit(11), F.lit(4)).alias("cs"),
+        arrays.clamped_start(F.lit(9), F.lit(11), F.lit(4)).alias("cl"),
+    ).first()
+    assert (r["a"], r["b"], r["c"]) == ([5, 7, 1, 9], [5, 1, 9], [5, 9])
+    assert r["d"] == [-100, 4, 5, 2, -100, -100]
+    assert r["f"] == 49 and round(r["mu"], 6) == 0.000086 and r["bin"] == 2
+    assert (r["l"], r["x"], r["p"], r["cs"], r["cl"]) == (7, -1, 11, 3, 7)
+    assert round(r["t"]["cos_m"], 6) == 0.980067
+
+
+def test_classification(spark):
+    df = spark.createDataFrame(list(zip([0, 0, 1, 1, 2, 2], [0, 1, 1, 1, 3, 2], strict=True)), "t int, p int")
+    m = metrics.classification(df, "t", "p").first()
+    assert [round(m[k], 4) for k in ("accuracy", "macro_precision", "macro_recall", "macro_f1")] == [0.6667, 0.6667, 0.5, 0.5333]
+    assert metrics.classification(df.limit(0), "t", "p").first()["error"] == 1.0
+
+
+def test_duration_summary_takes_the_upper_median(spark):
+    for values, want in [([1.0, 2.0, 3.0, 4.0], 3.0), ([5.0], 5.0), ([1.0, 1.0, 9.0], 1.0), ([0.1, 0.2], 0.2)]:
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert metrics.duration_summary(df, "v").first()["upper_median"] == want
