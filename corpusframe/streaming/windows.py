@@ -9,23 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _late(df: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark, which only times with a zone can have."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else df
+
+
 def tumbling(df: DataFrame, time: str, length: str, keys: list[str], value: str, late: str | None = None) -> DataFrame:
     """start, keys, n, mean per window; a stream needs `late`, how long to wait for rows."""
-    df = df.withWatermark(time, late) if late else df
+    df = _late(df, time, late)
     w = df.groupBy(F.window(time, length).alias("w"), *keys)
     return w.agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean")).select(F.col("w.start").alias("start"), *keys, "n", "mean")
 
 
 def sessions(df: DataFrame, time: str, gap: str, keys: list[str], value: str, late: str | None = None) -> DataFrame:
     """start, end, keys, n, total per session: rows nearer than gap belong together."""
-    df = df.withWatermark(time, late) if late else df
+    df = _late(df, time, late)
     w = df.groupBy(F.session_window(time, gap).alias("w"), *keys)
     return w.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
 
 
 def error_rate(df: DataFrame, time: str, length: str, group: str, late: str) -> DataFrame:
     """A monitor of corpus error rates over a stream of rows with edits and n_ref."""
-    w = df.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), group)
+    w = _late(df, time, late).groupBy(F.window(time, length).alias("w"), group)
     out = w.agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("units"))
     return out.select(F.col("w.start").alias("start"), group, "edits", "units", F.when(F.col("units") > 0, F.col("edits") / F.col("units")).otherwise(0.0).alias("rate"))
 
