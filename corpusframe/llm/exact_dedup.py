@@ -62,10 +62,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     unless they are too many to be broadcast."""
     made = materialize(exact_dedup(docs, id_col, text_col))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": sha})
+    name = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("")).alias("__id")
+    keyed = docs.withColumns({"__id": name(id_col), "__sha": sha})
     key = ["__id", "__sha"]
-    gone = made.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    twice = made.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    gone = made.where("not kept").select(name("doc_id"), F.col("text_sha256").alias("__sha"))
+    twice = made.where("kept and group_size > 1").groupBy(name("doc_id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     left = without(keyed, gone, key)
     if n := twice.count():
         again = left.join(small(twice, n), key, "left_semi").dropDuplicates(key)
