@@ -90,8 +90,9 @@ class ToxicField:
         seen = [Counter(), Counter()]
         n, kinds = [0, 0], set()
         for ws, v in zip(words, y, strict=True):
-            # near copies mostly agree in the word of the smallest hash: they count once
-            least = min((zlib.crc32(w.encode("utf-8", "replace")) for w in set(ws)), default=None)
+            # near copies mostly agree in the three words of the smallest hash: they count once
+            runs = {" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else ()
+            least = min((zlib.crc32(w.encode("utf-8", "replace")) for w in runs), default=None)
             if least is None or (v, least) in kinds:
                 continue
             kinds.add((v, least))
