@@ -14,8 +14,9 @@ difference D of the sets, and similarity 4/5 needs D <= (a + b) / 9 for sets of
    slices of rarely counted shingles come first. Smaller documents also take part in the next band
    when a partner can be there.
 3. Slices that several documents share are found by an aggregation of minima (pre-aggregated, so
-   a slice of a third of all rows is one row a task). Each document is checked against the
-   smallest ids of its slices: first by folded sketches, then exactly, with its best one first.
+   a slice of a third of all rows is one row a task). Each document is checked
+   against the most central document of its slices that shares most of them with it: by folded
+   sketches first, then exactly.
 4. Slices whose documents still lie in several components: those of few documents give their pairs,
    tested by folded sketches, then exactly. Larger ones are refined: their documents are joined on
    one-sided prefixes (at most a - 4(a + b)/9 members of the smaller set are missing from the
@@ -255,13 +256,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = materialize(keyed(alone, level, slices))
     reclaim(base.sparkSession)
     each = keys.select("doc_id", F.explode("keys").alias("key"))
-    shared = materialize(each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "a"))
+    shared = materialize(each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"))
     n_shared = shared.count()
     reclaim(base.sparkSession)
-    members = materialize(shared_only(keys, shared, n_shared).join(small(shared, n_shared), "key").select("key", "doc_id", "a"))
-
-    stars = members.where("doc_id <> a").groupBy("doc_id", "a").agg(F.count("*").alias("hits")).withColumnRenamed("doc_id", "b")
-    reps = materialize(members.select("doc_id").distinct())
+    members = materialize(shared_only(keys, shared, n_shared).join(small(shared, n_shared), "key").select("key", "doc_id"))
+    # the centre of a slice: the document with most shared slices, as the text that others were
+    # copied from has, however its id compares
+    degree = materialize(members.groupBy("doc_id").agg(F.count("*").alias("d")))
+    centre = members.join(small(degree, degree.count()), "doc_id").groupBy("key").agg(F.max(F.struct("d", (-F.col("doc_id")).alias("i"))).alias("m"))
+    starred = members.join(centre.select("key", (-F.col("m.i")).alias("a")), "key").where("doc_id <> a")
+    stars = starred.groupBy("doc_id", "a").agg(F.count("*").alias("hits")).withColumnRenamed("doc_id", "b")
+    reps = degree.select("doc_id")
     sketches = materialize(meta.join(small(reps, reps.count()), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
     n_sketches = sketches.count()
     best = close(stars, sketches, n_sketches).groupBy("b").agg(F.max(F.struct("hits", -F.col("a"))).alias("m")).select("b", (-F.col("m.col2")).alias("a"))
@@ -313,3 +318,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * i >= 80 * (u.n + v.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(c) AS component_id FROM r GROUP BY id) USING (doc_id)
+"""

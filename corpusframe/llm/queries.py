@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_jaccard_join": jaccard_join.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

@@ -26,6 +26,13 @@ def test_exact_on_odd_rows(odd_docs, no_docs):
     assert left.columns == odd_docs.columns and sorted(r["text"] or "" for r in left.collect()) == sorted(groups)
 
 
+def test_jaccard_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = jaccard_join.op6_jaccard_join(spark, sf).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(jaccard_join.ORACLE).fetchall())
+
+
 def test_exact_against_sql(spark, sf):
     got = exact_dedup.op7_exact_dedup(spark, sf)
     con = duckdb.connect()
