@@ -16,7 +16,7 @@ from .common import id_text, map_texts, table
 
 SPACE = "▁"
 #: Chunks whose codes a worker remembers, and pairs whose compatibility it remembers.
-CACHE, PAIRS = 900_000, 1_000_000
+CACHE, PAIRS = 1_500_000, 1_000_000
 IDS, SAID = itemgetter(0), itemgetter(1)
 
 
@@ -182,7 +182,7 @@ def coder(path: str, cache: int = CACHE):
             ids = codec.encode(part)
             v = struct.pack(f"<{len(ids)}I", *ids), codec.decode(ids)
         if len(subs) == 1 and len(part) < 64:
-            if len(kept) > cache // 3:
+            if len(kept) > cache // 5:
                 kept = dict(list(kept.items())[len(kept) // 2 :])
             kept[part] = v
         return v
