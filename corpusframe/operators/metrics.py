@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edit import char_edits, utterance_rate, word_edits
@@ -84,6 +84,14 @@ def classification(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return m.select("n", acc.alias("accuracy"), (1 - acc).alias("error"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1")])
 
 
+def expected_risk(df: DataFrame, key: str, log_prob: str, rate: str) -> DataFrame:
+    """Per utterance's list of hypotheses: their error rates weighted by the softmax of their log
+    probabilities, less the rates' mean."""
+    top = df.groupBy(key).agg(F.max(log_prob).alias("top"), F.avg(rate).alias("mean"))
+    w = df.join(top, key).withColumn("w", F.exp(F.col(log_prob) - F.col("top")))
+    return w.groupBy(key).agg((F.sum(F.col("w") * (F.col(rate) - F.col("mean"))) / F.sum("w")).alias("risk"))
+
+
 def duration_stats(df: DataFrame, group: str, total: Column, speech: Column) -> DataFrame:
     """Per group: n, hours, speech hours, share of speech (ratio of sums), mean and median of the
     clips' shares in percent."""
@@ -115,16 +123,11 @@ def duration_summary(df: DataFrame, value: str) -> DataFrame:
     the sorted values: found by counting values, so that no task holds them all."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
     total = counts.agg(F.sum("k").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
-    # percentile of exactly this place: no interpolation is left to do
-    place = F.expr("CASE WHEN n > 1 THEN (n div 2) / (n - 1D) ELSE 0D END")
-    n = total.select("n", place.alias("p"))
-    lower = counts.crossJoin(F.broadcast(n))
-    from pyspark.sql import Window
-
-    coarse = lower.withColumn("b", F.floor(F.col("v")))
+    n = total.select("n")
+    coarse = counts.withColumn("b", F.floor(F.col("v")))
     per = coarse.groupBy("b").agg(F.sum("k").alias("s"))
     before = per.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     hit = before.crossJoin(F.broadcast(n)).where("before <= n div 2 and before + s > n div 2").select("b", "before", "n")
     w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    at = coarse.drop("n", "p").join(F.broadcast(hit), "b").withColumn("upto", F.col("before") + F.sum("k").over(w)).where("upto > n div 2").agg(F.min("v").alias("upper_median"))
+    at = coarse.join(F.broadcast(hit), "b").withColumn("upto", F.col("before") + F.sum("k").over(w)).where("upto > n div 2").agg(F.min("v").alias("upper_median"))
     return total.crossJoin(at).select("n", "min", "upper_median", "max", "mean")

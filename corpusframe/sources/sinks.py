@@ -75,3 +75,35 @@ def append_new(df: DataFrame, done: DataFrame | None, key: str, path: str) -> No
     """Append rows that are not there yet; a stopped run is continued by running it again."""
     rows = df if done is None else df.join(done.select(key).distinct(), key, "left_anti")
     rows.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+def export_audio(df: DataFrame, name: str, blob: str, root: str, encode=None) -> DataFrame:
+    """Write each row's bytes to <root>/<name> and give (name, written, error). Bytes that are FLAC
+    or WAV already stay as they are; others go through encode(bytes). A file that is there and
+    not empty is kept; a new one gets its name only when it is complete. root is a URI or path that
+    every executor reaches."""
+
+    def run(batches):
+        from pyarrow.fs import FileSystem, FileType
+
+        fs, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for b in batches:
+            out = []
+            for n, raw in zip(b[name], b[blob], strict=True):
+                path = f"{base}/{n}"
+                try:
+                    info = fs.get_file_info(path)
+                    if info.type == FileType.File and info.size:
+                        out.append((n, False, None))
+                        continue
+                    data = bytes(raw) if bytes(raw[:4]) in (b"fLaC", b"RIFF") else encode(bytes(raw))
+                    fs.create_dir(path.rpartition("/")[0], recursive=True)
+                    with fs.open_output_stream(f"{path}.part") as f:
+                        f.write(data)
+                    fs.move(f"{path}.part", path)
+                    out.append((n, True, None))
+                except Exception as e:  # noqa: BLE001 - the row says what went wrong
+                    out.append((n, False, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["name", "written", "error"])
+
+    return df.select(name, blob).mapInPandas(run, "name string, written boolean, error string")
