@@ -15,7 +15,7 @@ from .common import id_text, map_texts, materialize, table
 
 SEQ_LEN = 2048
 #: Pieces that one group packs; groups are dealt by a hash, so more documents make more groups.
-GROUP_PIECES = 4096
+GROUP_PIECES = 8192
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
