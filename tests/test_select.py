@@ -141,3 +141,16 @@ def test_retention(spark):
     assert retention.TopK(2, {1: 0.5, 2: math.inf}, {1}).scores == {1: 0.5}
     assert retention.best_or_latest(df, "step", "v").first()["step"] == 2
     assert retention.best_or_latest(df.where("v is null"), "step", "v").first()["step"] == 3
+
+
+def test_labels_and_batches(spark):
+    df = spark.createDataFrame([(3, "MA"), (1, "SY"), (2, "EG"), (4, "SY"), (5, None)], "i int, d string")
+    assert {r["d"]: r["code"] for r in select.encode_labels(df, "d", ["i"], 3).collect()} == {"SY": 0, "EG": 1, "MA": 2}
+    try:
+        select.encode_labels(df, "d", ["i"], 20).collect()
+    except Exception as e:
+        assert "expected 20 classes, not 3" in str(e)
+    else:
+        raise AssertionError("wrong number of classes passed")
+    b = select.batch_index(rows(spark, 50, 2), ["g"], ["id"], 10).groupBy("g", "batch").count().collect()
+    assert sorted((r["g"], r["batch"], r["count"]) for r in b) == [(g, k, [10, 10, 5][k]) for g in (0, 1) for k in range(3)]
