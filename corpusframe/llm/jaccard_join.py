@@ -239,8 +239,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when 100 * intersection >= 80 * union of their sets of 5-word shingles
     (A-Z lower-cased; fewer words: the whole sequence as one shingle). component_id is the
     smallest doc_id reachable by links. Null, empty and blank texts have no shingles, link with
-    nothing and are their own component. Rows repeated with id and text give repeated results;
-    rows of one id but different texts are linked by that id. An empty table gives no rows."""
+    nothing and are their own component. Rows repeated with id and text give repeated results. Ids
+    tell texts apart: where one id has several texts each row has its own size, but they share a
+    component, found by any of them. Null ids are compared with nothing. An empty table gives no
+    rows."""
     base = id_text(docs, id_col, text_col)
     described = materialize(describe(base))
     meta = described.where("part is null").select("doc_id", "n", "f1", "f2", "sketch")
@@ -251,7 +253,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = meta.where("n > 0").select("doc_id", "n", "f1", "f2").join(small(classes, classes.count()), ["n", "f1", "f2"]).where("doc_id <> rep")
     copies = materialize(copies.select("doc_id", "rep"))
     n_copies = copies.count()
-    alone = base.join(small(copies.select("doc_id"), n_copies), "doc_id", "left_anti") if n_copies else base
+    named = base.where("doc_id is not null")
+    alone = named.join(small(copies.select("doc_id"), n_copies), "doc_id", "left_anti") if n_copies else named
 
     keys = materialize(keyed(alone, level, slices))
     reclaim(base.sparkSession)

@@ -16,7 +16,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, pe
     """Texts and labels of at most per_class documents of each class, of those where train holds
     over doc_id. They are the first by a hash of the id, so the choice depends on the labelled
     ids only. Null labels and ids don't take part. The text of an id that has several rows is
-    the largest; CHARS bounds what reaches the driver. Also returned: the share of class 1 among
+    the largest, of which a fit sees the first 64,000 characters; CHARS bounds what reaches the
+    driver. Scoring reads whole texts. Also returned: the share of class 1 among
     all labelled documents where train holds."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.where("doc_id is not null and y in (0, 1)").where(train).groupBy("doc_id").agg(F.max("y").alias("y"))

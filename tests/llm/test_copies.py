@@ -84,6 +84,16 @@ def test_jaccard_on_odd_rows(odd_docs, no_docs):
     assert left.columns == odd_docs.columns
 
 
+def test_jaccard_with_ids_missing_or_shared(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    docs = [(None, t), (1, t), (None, t + " x"), (2, t + " y"), (2, "other words that are not like any of all these"), (3, None), (5, t)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(docs) and {r for r in rows if r[0] in (1, 3, 5)} == {(1, 56, 1), (3, 0, 3), (5, 56, 1)}
+    assert all(r[2] is None for r in rows if r[0] is None)
+    assert {r[1] for r in rows if r[0] == 2} == {57, 6}
+
+
 def edited(r, words, n):
     words = list(words)
     for _ in range(n):
