@@ -85,22 +85,25 @@ class ToxicField:
         """Labels of documents become labels of tokens: in toxic documents those tokens are
         toxic that have a form found nearly only in toxic ones. Then half of the documents fit the
         field (ascent with per-weight steps), the other half calibrates document scores."""
-        words = [[m.lower() for m in WORD.findall(t)] for t in texts]
+        same: dict[str, str] = {}  # one string a distinct word: the driver holds all lists
+        words = [[same.setdefault(w, w) for w in map(str.lower, WORD.findall(t))] for t in texts]
         half = len(texts) // 2 if sum(y[: len(texts) // 2]) >= 2 else len(texts)
-        seen = [Counter(), Counter()]
-        n, kinds = [0, 0], set()
-        for ws, v in zip(words, y, strict=True):
+        groups: tuple[dict, dict] = ({}, {})
+        for k, (ws, v) in enumerate(zip(words, y, strict=True)):
             # near copies mostly agree in the three words of the smallest hash: they count once
-            runs = {" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else ()
-            least = min((zlib.crc32(w.encode("utf-8", "replace")) for w in runs), default=None)
-            if least is None or (v, least) in kinds:
-                continue
-            kinds.add((v, least))
-            n[v] += 1
-            seen[v].update({f for w in set(ws) for f in forms(w)})
-        n = [max(1, k) for k in n]
-        share = lambda f: (r := seen[1][f] / n[1]) / (r + (seen[0][f] + 0.5) / n[0])
+            least = min((zlib.crc32(" ".join(ws[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(ws) - 2))), default=0)
+            if ws:
+                groups[v].setdefault(least, k)
+        n = [max(1, len(g)) for g in groups]
         rate = n[1] / (n[0] + n[1])
+        seen = [Counter(), Counter()]
+        for k in groups[1].values():
+            seen[1].update({f for w in set(words[k]) for f in forms(w)})
+        # too few documents for any chance to be small enough
+        seen[1] = Counter({f: c for f, c in seen[1].items() if c * math.log(rate) <= SEED_LOG})
+        for k in groups[0].values():
+            seen[0].update({f for w in set(words[k]) for f in forms(w) if f in seen[1]})
+        share = lambda f: (r := seen[1][f] / n[1]) / (r + (seen[0][f] + 0.5) / n[0])
 
         def chance(f: str) -> float:
             c, all_ = seen[1][f], seen[1][f] + seen[0][f]
