@@ -17,7 +17,11 @@ SCOPES = frozenset("ul ol dl table body article section div main aside nav heade
 
 MARK = re.compile(r"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|[!?/][^>]*+>)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+#: What an element that is not shown says at least; the attributes themselves decide.
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+#: Parts of a style whose marks separate nothing.
+STYLE_VALUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*+\"|'[^']*+'|\([^()]*+\)", re.S)
 NAME_WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -42,6 +46,26 @@ def name_words(attrs: str) -> list[str]:
     return NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower())[:12] if said else []
 
 
+def not_displayed(style: str) -> bool:
+    """Whether display: none holds in a style attribute: the last display counts, important ones first."""
+    said = [(name.strip().lower(), value.lower().split("!")) for name, colon, value in (d.partition(":") for d in STYLE_VALUE.sub(" ", style).split(";")) if colon]
+    shown = [(len(v) > 1 and v[1].strip() == "important", v[0].strip()) for name, v in said if name == "display"]
+    return bool(shown) and ([v for strong, v in shown if strong] or [v for _, v in shown])[-1] == "none"
+
+
+def hidden(attrs: str) -> bool:
+    """Whether an element has a hidden attribute (other than until-found), aria-hidden true or
+    display: none in its style. Names and values are parsed; of a name given twice the first counts."""
+    if not MAY_HIDE.search(attrs):
+        return False
+    said: dict[str, str] = {}
+    for name, *value in ATTR.findall(attrs):
+        said.setdefault(name.lower(), html.unescape("".join(value)))
+    if "hidden" in said and said["hidden"].strip().lower() != "until-found":
+        return True
+    return said.get("aria-hidden", "").strip().lower() == "true" or not_displayed(said.get("style", ""))
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order. Character references are decoded, white space is one space,
     comments, scripts, styles, hidden elements and markup are left out. Broken markup never
@@ -118,7 +142,7 @@ def blocks(page: str) -> list[Block]:
                     break
         if not m["attrs"].rstrip().endswith("/") or tag in INLINE:
             attrs = m["attrs"]
-            stack.append(_Open(tag, name_words(attrs) if attrs else [], bool(attrs and HIDDEN.search(attrs))))
+            stack.append(_Open(tag, name_words(attrs) if attrs else [], bool(attrs and hidden(attrs))))
             links_open += tag == "a"
     flush()
     return out

@@ -46,6 +46,30 @@ def test_paths_and_links():
     assert b.path == ("t:div", "n:main", "n:menu", "n:top", "n:2", "n:nav", "t:ul", "t:li") and b.leaf == "li" and b.linked == 7
 
 
+@pytest.mark.parametrize(
+    "attrs",
+    ['class="overflow-hidden"', 'style="overflow:hidden"', 'class="md:hidden"', 'id="hidden-costs"', 'data-title="The hidden cost"', 'aria-hidden="false"', "aria-hidden", 'hidden="until-found"', 'data-hidden="x"', 'class=hidden', 'data-style="display:none"', 'style="display:none;display:block"', "style='background:url(x;display:none)'", 'title="display: none"', 'alt="a > b" class="x hidden"'],
+)
+def test_shown_elements(attrs):
+    assert texts(f"<article {attrs}><p>shown</p></article><p>t") == ["shown", "t"]
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    ["hidden", "HIDDEN=''", "class=x hidden", 'hidden="hidden"', 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; Display : none"', "style='display:none !important;display:block'", "style=display:none", "style='display&#58;none'", "class=\"a\"hidden", 'title="x=\'y" hidden'],
+)
+def test_hidden_elements(attrs):
+    assert texts(f"<div {attrs}><p>not shown</p></div><p>t") == ["t"]
+
+
+def test_main_text_of_a_page_whose_wrapper_says_hidden():
+    body = "".join(f"<p>{'The river rose again in the night, and the road was closed. ' * 4}</p>" for _ in range(5))
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='{}'><article><h1>The flood</h1>" + body + "</article></div></body></html>"
+    found = [blocks(page.format(c)) for c in ("page overflow-hidden", "page")]
+    a, b = html_lstm.BlockLabeller.load().label(found)
+    assert [x.text for x in found[0]] == [x.text for x in found[1]] and len(found[0]) == 7 and (a >= 0.5).sum() >= 5
+
+
 def test_gradient():
     r = random.Random(9)
     data = [html_lstm.lesson(r) for _ in range(3)]
