@@ -84,6 +84,22 @@ def test_edit_distances_agree(spark):
     assert [c["n"] for c in chars] == [1, 1]
 
 
+def test_edits_beyond_the_symbols(spark):
+    n = len(edit.SYMBOLS)
+    words = [f"w{i}" for i in range(n + 200)]
+    rows = [
+        (0, words, words[:n] + [f"x{i}" for i in range(150)], 200),
+        (1, words, words[:-7], 7),
+        (2, words[: n - 1], [*words[: n - 2], "x", "y"], 2),  # one distinct word more than symbols
+        (3, ["a", "b"], ["a"], 1),
+        (4, [], [], 0),
+        (5, None, ["a"], None),
+    ]
+    df = spark.createDataFrame(rows, "i int, r array<string>, h array<string>, want int")
+    got = metrics.with_edits(df, F.col("r"), F.col("h")).select("i", "edits", "want").collect()
+    assert len(got) == len(rows) and [g for g in got if g["edits"] != g["want"]] == []
+
+
 def scored(spark, pairs):
     df = spark.createDataFrame(pairs, "g string, r string, h string")
     ref, hyp = text.tokens(text.normalize_scoring(F.col("r"))), text.tokens(text.normalize_scoring(F.col("h")))
