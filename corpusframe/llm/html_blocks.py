@@ -7,9 +7,19 @@ import re
 from dataclasses import dataclass, field
 
 #: Elements within a line of text; all others end a block. Fixed names of the HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea noembed noframes xmp svg math object select title".split())
+#: Elements left out with all they hold: scripts, styles, controls of forms, what no reader is shown.
+RAW = frozenset("script style template iframe textarea noembed noframes xmp select title".split())
+#: Those of RAW that reach to the page's end where no end tag follows; of the others only the start tag falls away then.
+TO_END = frozenset("script style textarea".split())
+#: Elements of formulas and drawings: within a line of text, a space before what each holds.
+FOREIGN = frozenset(
+    """math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover
+    mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml svg g defs desc metadata symbol use path rect
+    circle ellipse line polyline polygon text tspan textpath image switch marker mask clippath pattern lineargradient radialgradient stop filter
+    foreignobject animate animatetransform animatemotion set mpath view""".split()
+)
 #: An opening tag of the key closes an open element of the value, unless a list or table lies between.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -24,6 +34,8 @@ MAY_HIDE = re.compile(r"hidden|style", re.I)
 STYLE_VALUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*+\"|'[^']*+'|\([^()]*+\)", re.S)
 NAME_WORD = re.compile(r"[a-z]+|[0-9]+")
 
+INLINE |= FOREIGN
+
 
 @dataclass
 class Block:
@@ -68,7 +80,7 @@ def hidden(attrs: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order. Character references are decoded, white space is one space,
-    comments, scripts, styles, hidden elements and markup are left out. Broken markup never
+    comments, scripts, styles, hidden elements, the elements of RAW and markup are left out. Broken markup never
     fails: unclosed elements end with their surroundings, unopened ends are ignored, a `<` that
     begins no tag is text."""
     out: list[Block] = []
@@ -76,6 +88,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     at, n, links_open = 0, len(page), 0
+    endless: set[str] = set()  # elements of RAW of which no end tag follows any more
 
     def flush() -> None:
         if parts:
@@ -116,12 +129,16 @@ def blocks(page: str) -> list[Block]:
                 del stack[depth:]
                 links_open = sum(o.tag == "a" for o in stack)
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag not in INLINE and tag not in ("svg", "math", "object"):
+        if tag in RAW or tag in ("svg", "math") and hidden(m["attrs"]):
+            if tag in RAW and not (stack and stack[-1].tag in FOREIGN):
                 flush()
-            if not m["attrs"].rstrip().endswith("/"):
-                at = close.end() if close else n
+            if not m["attrs"].rstrip().endswith("/") and tag not in endless:
+                if close := re.compile(rf"</{tag}\s*>", re.I).search(page, at):
+                    at = close.end()
+                elif tag in TO_END:
+                    at = n
+                else:
+                    endless.add(tag)
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "img"):
@@ -140,9 +157,11 @@ def blocks(page: str) -> list[Block]:
                         break
                 elif stack[i].tag in SCOPES:
                     break
-        if not m["attrs"].rstrip().endswith("/") or tag in INLINE:
+        if tag in FOREIGN:
+            say(" ")
+        if not m["attrs"].rstrip().endswith("/") or tag in INLINE and tag not in FOREIGN:
             attrs = m["attrs"]
-            stack.append(_Open(tag, name_words(attrs) if attrs else [], bool(attrs and hidden(attrs))))
+            stack.append(_Open(tag, name_words(attrs) if attrs else [], bool(attrs and tag not in FOREIGN and hidden(attrs))))
             links_open += tag == "a"
     flush()
     return out

@@ -36,7 +36,30 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
-@pytest.mark.parametrize("page", ["<p " * 50_000, "<a href=\"x" * 5_000, "<!--" * 20_000, "<div>" * 3_000 + "x", "x" * 300_000])
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>where <math display='inline'><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>, so</p>", ["where x = 1 2, so"]),
+        ("<p>a<object data=x.swf><param name=q>no player</object>b</p>", ["ano playerb"]),
+        ("<object><p>one</p><p>two</p></object><p>t", ["one", "two", "t"]),
+        ("<p>a</p><noscript><p>see <a href=x>the list</a></p></noscript><p>t", ["a", "see the list", "t"]),
+        ("<p>chart <svg viewBox='0 0 1 1'><title>tip</title><style>g{}</style><path d='M0'/><text>north</text><text>south</text></svg> end", ["chart north south end"]),
+        ("<p>a<svg><path d='M0'/><p>b</p><p>c", ["a", "b", "c"]),
+        ("<p>a <svg aria-hidden=true><text>no</text></svg>b<p>c<svg hidden><p>d", ["a b", "c", "d"]),
+        ("<p>a<object><p>b<math><p>c", ["a", "b", "c"]),
+        ("<p>a</p><select><option>1<p>b", ["a", "1", "b"]),
+        ("<p>a</p><iframe src=x><p>b<template><p>c<title>d", ["a", "b", "c", "d"]),
+        ("<p>a</p><select><option>1</select><iframe>x</iframe><template><p>y</template><p>b", ["a", "b"]),
+        ("<p>a</p><script>var b = '<p>c'", ["a"]),
+        ("<p>a</p><style>p{}", ["a"]),
+        ("<p>a</p><svg/><math/><p>b", ["a", "b"]),
+    ],
+)
+def test_only_scripts_styles_and_forms_are_raw(page, want):
+    assert texts(page) == want
+
+
+@pytest.mark.parametrize("page", ["<select>" * 40_000, "<svg>" * 3_000 + "x", "<p " * 50_000, "<a href=\"x" * 5_000, "<!--" * 20_000, "<div>" * 3_000 + "x", "x" * 300_000])
 def test_broken_pages_end(page):
     blocks(page)
 
