@@ -55,7 +55,7 @@ class _Open:
 
 def name_words(attrs: str) -> list[str]:
     said = " ".join(a or b or c for a, b, c in NAMES.findall(attrs))
-    return NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower())[:12] if said else []
+    return NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower()) if said else []
 
 
 def not_displayed(style: str) -> bool:

@@ -42,7 +42,7 @@ def word_slots(words: list[str]) -> list[int]:
 
 def features(page: list[Block]) -> np.ndarray:
     """One row a block: hashed tag path (each element and name word, the leaf apart), hashed
-    words, and numbers: length, link share, marks, place, depth."""
+    words of the whole text, and numbers: length, link share, marks, place, depth."""
     x = np.zeros((len(page), DIM), dtype=np.float32)
     known: dict[tuple, list[int]] = {}
     for i, b in enumerate(page):
@@ -50,7 +50,7 @@ def features(page: list[Block]) -> np.ndarray:
         if (at := known.get(key)) is None:
             at = known[key] = sorted({slot(p, PATH_DIM) for p in b.path} | {slot(f"leaf:{b.leaf}", PATH_DIM)})
         x[i, at] = 1
-        words = b.text.lower().split()[:40]
+        words = b.text.lower().split()
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(word_slots(words), minlength=WORD_DIM) / (np.sqrt(len(words)) * 2)
         n = len(b.text)
         marks = sum(b.text.count(c) for c in ".,;:!?")

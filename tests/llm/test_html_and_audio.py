@@ -93,6 +93,14 @@ def test_main_text_of_a_page_whose_wrapper_says_hidden():
     assert [x.text for x in found[0]] == [x.text for x in found[1]] and len(found[0]) == 7 and (a >= 0.5).sum() >= 5
 
 
+def test_features_read_whole_blocks_and_names():
+    made = lambda words, names: html_lstm.features(blocks(f"<div class='{names}'>{words}</div>"))
+    plain = made("a " * 60, "u " * 20)
+    assert (made("a " * 60 + "advertisement", "u " * 20) != plain)[0, html_lstm.PATH_DIM : html_lstm.PATH_DIM + html_lstm.WORD_DIM].sum() >= 2
+    assert (made("a " * 60, "u " * 20 + "sidebar") != plain)[0, : html_lstm.PATH_DIM].sum() == 1
+    assert blocks(f"<div class='{'u ' * 20}sidebar'>x</div>")[0].path[-1] == "n:sidebar"
+
+
 def test_gradient():
     r = random.Random(9)
     data = [html_lstm.lesson(r) for _ in range(3)]
