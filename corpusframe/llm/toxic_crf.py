@@ -81,10 +81,11 @@ class ToxicField:
         self.table = self.cache = None
 
     @classmethod
-    def fit(cls, texts: list[str], y: list[int], prior: float = 0.5, steps: int = 30) -> ToxicField:
+    def fit(cls, texts: list[str], y: list[int], prior: float = 0.5, steps: int = 30, fit_tokens: int = FIT_TOKENS) -> ToxicField:
         """Labels of documents become labels of tokens: in toxic documents those tokens are
         toxic that have a form found nearly only in toxic ones. Then half of the documents fit the
-        field (ascent with per-weight steps), the other half calibrates document scores."""
+        field (ascent with per-weight steps), the other half calibrates document scores. Of the
+        first half whole documents in the order given take part until fit_tokens are reached."""
         same: dict[str, str] = {}  # one string a distinct word: the driver holds all lists
         words = [[same.setdefault(w, w) for w in map(str.lower, WORD.findall(t))] for t in texts]
         half = len(texts) // 2 if sum(y[: len(texts) // 2]) >= 2 else len(texts)
@@ -116,8 +117,8 @@ class ToxicField:
         vocab: dict[str, int] = {}
         seqs, tags, held = [], [], 0
         for ws, v in zip(words[:half], y, strict=False):
-            if held + len(ws) > FIT_TOKENS and held:
-                continue
+            if held >= fit_tokens:
+                break
             held += len(ws)
             seqs.append(np.array([vocab.setdefault(w, len(vocab)) for w in ws], dtype=np.int64))
             tags.append(np.array([v and strong(w) for w in ws], dtype=float))
@@ -195,16 +196,17 @@ class ToxicField:
         return self.calibration(np.array([self.summary(p) for p in ps]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_tokens: int = FIT_TOKENS) -> DataFrame:
     """One row per input row: doc_id, score, predicted, n_spans, spans (array of start, end:
     character offsets of runs of words whose marginal is SPAN or more).
 
     Fits on a bounded sample (per_class of each class) of the labelled documents where train
-    holds; without toxic ones, or none of their words telling, all scores are 0. Whole texts are
-    tagged, in memory bounded by one text or part of a batch. Null texts count as empty. Repeated
+    holds; the field itself on so many of half of them, in an order that knows no length, as reach
+    fit_tokens tokens, the last one whole; the other half calibrates. Without toxic ones, or none
+    of their words telling, all scores are 0. Whole texts are tagged, in memory bounded by one text or part of a batch. Null texts count as empty. Repeated
     rows give repeated results."""
     texts, y, prior = sample(docs, labels, label_col, train, per_class, id_col, text_col)
-    field = ToxicField.fit(texts, y, prior)
+    field = ToxicField.fit(texts, y, prior, fit_tokens=fit_tokens)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_spans", pa.int64()), ("spans", span)])
 
@@ -228,9 +230,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, label_col: str =
     return made.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_spans", "spans")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all columns, without those whose score by toxicity() reaches threshold."""
-    field = ToxicField.fit(*sample(docs, labels, label_col, train, per_class, id_col, text_col))
+def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_tokens: int = FIT_TOKENS) -> DataFrame:
+    """docs, with all columns, without those whose score by toxicity(), with the same bounds of the fit, reaches
+    threshold."""
+    field = ToxicField.fit(*sample(docs, labels, label_col, train, per_class, id_col, text_col), fit_tokens=fit_tokens)
 
     def make():
         words = lambda part: [[w.lower() for w in WORD.findall(t)] for t in part]

@@ -102,6 +102,26 @@ def test_toxicity_on_held_out(spark):
     assert kept.count() == out.where("predicted = 0").count()
 
 
+def test_long_documents_fit_the_field(spark):
+    r = random.Random(8)
+    texts, y = [], []
+    for i in range(80):
+        words = prose(r, 200 if i % 2 else 20).split()
+        texts.append(" ".join([*words, "vexo", "grumbit"] if i % 2 else words))
+        y.append(i % 2)
+    # the budget ends inside the first toxic document, which takes part whole
+    field = toxic_crf.ToxicField.fit(texts, y, fit_tokens=100)
+    assert field.calibration is not None
+    assert max(field.tag([["vexo"]])[0]) > max(field.tag([["thing"]])[0])
+    # a budget that the first, clean document reaches leaves nothing to learn from
+    assert toxic_crf.ToxicField.fit(texts, y, fit_tokens=1).calibration is None
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    few, all_ = (toxic_crf.toxicity(docs, labels, F.lit(True), fit_tokens=n).agg(F.sum("score")).first()[0] for n in (1, 10_000))
+    kept = [toxic_crf.drop_toxic(docs, labels, F.lit(True), fit_tokens=n).count() for n in (1, 10_000)]
+    assert few != all_ and kept[1] < 50
+
+
 @pytest.mark.parametrize("score", [lambda d, y: compression_quality.quality_scores(d, y, F.lit(True)), lambda d, y: toxic_crf.toxicity(d, y, F.lit(True))])
 def test_score_edges(spark, odd_docs, no_docs, score):
     docs, labels = labelled(spark, 120)
