@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-#: Labelled documents of each class, and characters of all of them together, that a fit takes.
-PER_CLASS, CHARS = 1500, 24_000_000
+#: Labelled documents of each class that a fit takes; they are read whole.
+PER_CLASS = 1500
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
     """Texts and labels of at most per_class documents of each class, of those where train holds
     over doc_id. They are the first by a hash of the id, so the choice depends on the labelled
-    ids only. Null labels and ids don't take part. The text of an id that has several rows is
-    the largest, of which a fit sees the first 64,000 characters; CHARS bounds what reaches the
-    driver. Scoring reads whole texts. Also returned: the share of class 1 among
-    all labelled documents where train holds."""
+    ids only, never on a text or its length. Null labels and ids don't take part; an id labelled
+    twice has the larger label. The text of an id that has several rows is the largest; null texts
+    are empty ones. Also returned: the share of class 1 among all labelled documents where train
+    holds. Empty tables give no texts and the share 0.5."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.where("doc_id is not null and y in (0, 1)").where(train).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id", F.lit(7))
@@ -28,16 +28,9 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, pe
     prior = marked.agg(F.avg("y")).first()[0]
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))
-    each = F.substring("text", 1, CHARS // (2 * per_class) * 8)
-    got = id_text(docs, id_col, text_col).join(ids, "doc_id").groupBy("doc_id", "y").agg(F.max(each).alias("text")).collect()
+    got = id_text(docs, id_col, text_col).join(ids, "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
     got = sorted(got, key=lambda r: (hash_order(r.doc_id), r.doc_id))
-    texts, ys, held = [], [], 0
-    for r in got:
-        if (held := held + len(r.text)) > CHARS:
-            break
-        texts.append(r.text)
-        ys.append(r.y)
-    return texts, ys, prior
+    return [r.text for r in got], [r.y for r in got], prior
 
 
 def hash_order(i: int) -> int:
