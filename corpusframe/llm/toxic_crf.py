@@ -16,11 +16,13 @@ from .common import crc_mod, filter_texts, id_text, map_texts, table
 from .labelled import PER_CLASS, Logistic, sample
 
 WORD = re.compile(r"\w+")
-#: Weights; words remembered by a worker; tokens that the field is fitted on; documents a batch.
-DIM, CACHE, FIT_TOKENS, BATCH = 1 << 18, 200_000, 400_000, 64
+#: Weights; words remembered by a worker; documents that run side by side, and their tokens.
+DIM, CACHE, BATCH, CELLS = 1 << 18, 200_000, 512, 1_000_000
+#: Documents that a word must be in for a weight of its own; rarer ones share those of their parts.
+OWN = 5
 #: A form marks tokens in toxic documents if its share of documents is so much larger there,
 #: and if chance would give that with a log probability of SEED_LOG at most.
-SEED_SHARE, SEED_LOG = 0.9, -11.5
+SEED_SHARE, SEED_LOG = 0.8, -11.5
 THRESHOLD, SPAN = 0.5, 0.5
 
 
@@ -36,37 +38,39 @@ def places(word: str) -> list[int]:
 def marginals(emit: list[np.ndarray], trans: np.ndarray, pairs: bool = False):
     """P(toxic) of every token of each sequence by forward-backward; with pairs also the
     expected numbers of the four transitions. Sequences of like length run side by side, and
-    two labels need one number a step: the log odds of the toxic label.
+    two labels need one number a step: the odds of the toxic label.
 
     trans[i, j] is the weight of label i before label j, 1 for toxic; trans[0, 0] is 0."""
     out: list[np.ndarray] = [np.zeros(0)] * len(emit)
     expected = np.zeros((2, 2))
     order = sorted(range(len(emit)), key=lambda i: len(emit[i]))
-    (_, ot), (to, tt) = trans
-    for lo in range(0, len(order), BATCH):
-        part = order[lo : lo + BATCH]
-        n = np.array([len(emit[i]) for i in part])
-        steps = int(n[-1])
+    (_, ot), (to, tt) = np.exp(trans)
+    while order:
+        steps = len(emit[order[-1]])
         if not steps:
-            continue
+            break
+        take = max(1, min(BATCH, CELLS // steps))
+        part, order = order[-take:], order[:-take]
+        n = np.array([len(emit[i]) for i in part])
         e = np.zeros((steps, len(part)))
         for k, i in enumerate(part):
             e[: n[k], k] = emit[i]
-        a, b = np.empty_like(e), np.zeros_like(e)
+        e = np.exp(np.clip(e, -40, 40))
+        a, b = np.empty_like(e), np.ones_like(e)
         a[0] = e[0]
         for t in range(1, steps):
-            a[t] = e[t] + np.logaddexp(a[t - 1] + tt, ot) - np.logaddexp(a[t - 1] + to, 0)
+            a[t] = e[t] * (a[t - 1] * tt + ot) / (a[t - 1] * to + 1)
         for t in range(steps - 2, -1, -1):
-            x = e[t + 1] + b[t + 1]
-            b[t] = np.where(t + 1 < n, np.logaddexp(x + tt, to) - np.logaddexp(x + ot, 0), 0)
-        p = 1 / (1 + np.exp(-np.clip(a + b, -40, 40)))
+            x = e[t + 1] * b[t + 1]
+            b[t] = np.where(t + 1 < n, (x * tt + to) / (x * ot + 1), 1)
+        p = a * b
+        p /= 1 + p
         for k, i in enumerate(part):
-            out[i] = p[: n[k], k]
+            out[i] = p[: n[k], k].copy()
         if pairs and steps > 1:
             live = np.arange(1, steps)[:, None] < n
-            x, y = a[:-1], (e + b)[1:]
-            w = np.stack([np.zeros_like(x), y + ot, x + to, x + y + tt])
-            w = np.exp(w - w.max(0))
+            x, y = a[:-1], (e * b)[1:]
+            w = np.stack([np.ones_like(x), y * ot, x * to, x * y * tt])
             expected += ((w / w.sum(0)) * live).sum((1, 2)).reshape(2, 2)
     return (out, expected) if pairs else out
 
@@ -81,11 +85,10 @@ class ToxicField:
         self.table = self.cache = None
 
     @classmethod
-    def fit(cls, texts: list[str], y: list[int], prior: float = 0.5, steps: int = 30, fit_tokens: int = FIT_TOKENS) -> ToxicField:
+    def fit(cls, texts: list[str], y: list[int], prior: float = 0.5, steps: int = 30) -> ToxicField:
         """Labels of documents become labels of tokens: in toxic documents those tokens are
         toxic that have a form found nearly only in toxic ones. Then half of the documents fit the
-        field (ascent with per-weight steps), the other half calibrates document scores. Of the
-        first half whole documents in the order given take part until fit_tokens are reached."""
+        field (ascent with per-weight steps), the other half calibrates document scores."""
         same: dict[str, str] = {}  # one string a distinct word: the driver holds all lists
         words = [[same.setdefault(w, w) for w in map(str.lower, WORD.findall(t))] for t in texts]
         half = len(texts) // 2 if sum(y[: len(texts) // 2]) >= 2 else len(texts)
@@ -115,14 +118,12 @@ class ToxicField:
         seeds = {f for f in seen[1] if share(f) >= SEED_SHARE and chance(f) <= SEED_LOG}
         strong = lambda w: any(f in seeds for f in forms(w))
         vocab: dict[str, int] = {}
-        seqs, tags, held = [], [], 0
+        seqs, tags = [], []
         for ws, v in zip(words[:half], y, strict=False):
-            if held >= fit_tokens:
-                break
-            held += len(ws)
             seqs.append(np.array([vocab.setdefault(w, len(vocab)) for w in ws], dtype=np.int64))
             tags.append(np.array([v and strong(w) for w in ws], dtype=float))
-        where = [places(w) for w in vocab]
+        often = np.bincount(np.concatenate([np.unique(q) for q in seqs]), minlength=len(vocab)) if vocab else []
+        where = [places(w)[int(n < OWN) :] for w, n in zip(vocab, often, strict=True)]
         flat = np.array([i for p in where for i in p], dtype=np.int64)
         of = np.repeat(np.arange(len(where)), [len(p) for p in where])
         weights, bias, trans = np.zeros(DIM), -3.0, np.zeros((2, 2))
@@ -196,17 +197,18 @@ class ToxicField:
         return self.calibration(np.array([self.summary(p) for p in ps]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_tokens: int = FIT_TOKENS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, predicted, n_spans, spans (array of start, end:
     character offsets of runs of words whose marginal is SPAN or more).
 
-    Fits on a bounded sample (per_class of each class) of the labelled documents where train
-    holds; the field itself on so many of half of them, in an order that knows no length, as reach
-    fit_tokens tokens, the last one whole; the other half calibrates. Without toxic ones, or none
-    of their words telling, all scores are 0. Whole texts are tagged, in memory bounded by one text or part of a batch. Null texts count as empty. Repeated
-    rows give repeated results."""
+    Fits on a bounded sample (per_class whole documents of each class) of the labelled documents
+    where train holds: half of them fits the field, the other half calibrates. Without toxic ones, or
+    none of their words telling, all scores are 0. Whole texts are tagged, in memory bounded by one
+    text or part of a batch. Null and empty texts have no spans and the score of none. Repeated
+    rows give repeated results; an empty table gives no rows; other columns, whatever their names,
+    stay behind."""
     texts, y, prior = sample(docs, labels, label_col, train, per_class, id_col, text_col)
-    field = ToxicField.fit(texts, y, prior, fit_tokens=fit_tokens)
+    field = ToxicField.fit(texts, y, prior)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_spans", pa.int64()), ("spans", span)])
 
@@ -230,10 +232,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, label_col: str =
     return made.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_spans", "spans")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_tokens: int = FIT_TOKENS) -> DataFrame:
-    """docs, with all columns, without those whose score by toxicity(), with the same bounds of the fit, reaches
-    threshold."""
-    field = ToxicField.fit(*sample(docs, labels, label_col, train, per_class, id_col, text_col), fit_tokens=fit_tokens)
+def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, without those whose score by toxicity() reaches threshold."""
+    field = ToxicField.fit(*sample(docs, labels, label_col, train, per_class, id_col, text_col))
 
     def make():
         words = lambda part: [[w.lower() for w in WORD.findall(t)] for t in part]
@@ -249,4 +250,4 @@ def held_out() -> Column:
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     made = toxicity(docs, labels, ~held_out())
-    return made.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_spans", F.expr("get(spans, 0).start").alias("first_start"))
+    return made.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_spans", "spans")

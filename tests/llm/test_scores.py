@@ -103,23 +103,36 @@ def test_toxicity_on_held_out(spark):
 
 
 def test_long_documents_fit_the_field(spark):
+    """What marks a document may stand behind 100,000 characters of it; the fit reads it there."""
     r = random.Random(8)
     texts, y = [], []
-    for i in range(80):
-        words = prose(r, 200 if i % 2 else 20).split()
+    for i in range(60):
+        words = prose(r, 20_000 if i == 1 else 200 if i % 2 else 20).split()
         texts.append(" ".join([*words, "vexo", "grumbit"] if i % 2 else words))
         y.append(i % 2)
-    # the budget ends inside the first toxic document, which takes part whole
-    field = toxic_crf.ToxicField.fit(texts, y, fit_tokens=100)
+    assert len(texts[1]) > 90_000
+    field = toxic_crf.ToxicField.fit(texts, y)
     assert field.calibration is not None
     assert max(field.tag([["vexo"]])[0]) > max(field.tag([["thing"]])[0])
-    # a budget that the first, clean document reaches leaves nothing to learn from
-    assert toxic_crf.ToxicField.fit(texts, y, fit_tokens=1).calibration is None
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
-    few, all_ = (toxic_crf.toxicity(docs, labels, F.lit(True), fit_tokens=n).agg(F.sum("score")).first()[0] for n in (1, 10_000))
-    kept = [toxic_crf.drop_toxic(docs, labels, F.lit(True), fit_tokens=n).count() for n in (1, 10_000)]
-    assert few != all_ and kept[1] < 50
+    got = {r["doc_id"]: r for r in toxic_crf.toxicity(docs, labels, F.lit(True)).collect()}
+    assert got[1]["n_spans"] >= 1 and texts[1][got[1]["spans"][0]["start"] :].startswith("vexo")
+    assert toxic_crf.drop_toxic(docs, labels, F.lit(True)).count() < 40
+
+
+def test_quality_is_the_difference_alone():
+    """Scores rise with the normalised difference and depend on nothing else; parts of the end of
+    a long text are in a dictionary as well."""
+    r = random.Random(9)
+    good = [prose(r, 80) for _ in range(60)]
+    bad = [" ".join(w + "###" for w in prose(r, 80).split()) for _ in range(60)]
+    scorer = compression_quality.CompressionScorer.fit(good + bad, [1] * 60 + [0] * 60)
+    texts = [*good[:9], *bad[:9], "", "thing"]
+    d, s = np.array([scorer.difference(t) for t in texts]), scorer.scores(texts)
+    assert (np.diff(s[np.argsort(d)]) >= 0).all() and s[:9].min() > 0.8 and s[9:18].max() < 0.2
+    assert scorer.difference("") == 0.0
+    assert b"tail" in compression_quality.dictionary(["x" * 100_000 + "tail" * 20_000], 4096)
 
 
 @pytest.mark.parametrize("score", [lambda d, y: compression_quality.quality_scores(d, y, F.lit(True)), lambda d, y: toxic_crf.toxicity(d, y, F.lit(True))])
