@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers as P
 import pytest
@@ -81,3 +82,24 @@ def test_long_run_without_spaces_is_linear(pieces):
     text = "".join(random.Random(2).choice("abcdefghijk") for _ in range(60_000))
     raw, said = CODE(text)
     assert said == text and list(struct.unpack(f"<{len(raw) // 4}I", raw)) == pieces.encode(text, add_bos=True, add_eos=True)
+
+
+def test_long_words_are_counted_in_near_linear_time(library):
+    r = random.Random(4)
+    words = ["".join(r.choice(a) for _ in range(n)) for a, n in (("ab", 3000), ("abcdefghij", 60_000), ("é漢ñ", 9000), ("a", 50_000))]
+    texts = [*words, " ".join(words), words[1] + " short words " + words[0]]
+    assert COUNT(list(range(len(texts))), texts)[2] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    began = time.process_time()
+    COUNT([0], ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))])
+    assert time.process_time() - began < 60
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="aabcdeé ", min_size=1, max_size=400), min_size=1, max_size=4))
+def test_words_beyond_the_rounds(library, texts):
+    before, token_count.ROUNDS = token_count.ROUNDS, 3
+    try:
+        got = token_count.counter(BPE, P.PATTERN)(list(range(len(texts))), texts)[2]
+    finally:
+        token_count.ROUNDS = before
+    assert got == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
