@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify",)),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("unencumbered software released into the public domain",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0", ("creative commons attribution",)),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0", ("creative commons attribution 4 0",)),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     ("gpl", "licensed under the gnu general public license version 3", ("gnu general public license",)),
@@ -36,8 +37,9 @@ TEMPLATES = (
     ("bsd", "licensed under the bsd 3 clause license", ("the bsd",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0 1 0 universal public domain dedication", ("waived all copyright",)),
 )
-#: Rare words that each template is indexed by, and the part of a template that a match must show.
-INDEX_WORDS, COVERAGE = 6, 0.6
+#: Words of a file that a template is looked up by, those of the highest IDF; how many of them must
+#: agree on a place; and the share of a template that a match must show.
+RARE_WORDS, AGREE, COVERAGE = 6, 2, 0.6
 
 #: ASCII letters become lower case; all bytes that are not of a word become spaces.
 WORD_BYTES = bytes(
@@ -49,53 +51,98 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
+def holds(words: list[bytes], key: bytes) -> bool:
+    return b" " + key + b" " in b" " + b" ".join(words) + b" "
+
+
 class RareTokenIndex:
-    """word -> postings (template, position) for each template's words of highest IDF.
+    """A positional index of licence templates: for every word its places in each template.
 
-    IDF is taken over the templates. A file's occurrences of indexed words vote for starts of
-    templates; a start that any of them names is aligned word by word, and holds if the
-    template's key phrases stand at their places and enough of its words do. Phrases are
-    templates of which every word must stand."""
+    Only templates all of whose mandatory words are in a file are looked up. Of a template's words
+    that the file holds, those of the highest IDF (over the templates) are taken; a word at place p
+    of the file and i of the template says that the template starts at p - i. The starts that
+    different words say are intersected: as far apart as words may have been put in or left out,
+    AGREE of them must meet. There the mandatory phrases are verified, and the share of the
+    template's words that stand in their order. Phrases are templates of which every word
+    must stand, so the starts of all their words are intersected exactly."""
 
-    def __init__(self, phrases=PHRASES, templates=TEMPLATES, index_words: int = INDEX_WORDS, coverage: float = COVERAGE):
+    def __init__(self, phrases=PHRASES, templates=TEMPLATES, rare_words: int = RARE_WORDS, agree: int = AGREE, coverage: float = COVERAGE):
         entries = [(label, p, (p,), 1.0, True) for p, label in phrases]
         entries += [(label, t, keys, coverage, False) for label, t, keys in templates]
         self.words = [words_of(t) for _, t, _, _, _ in entries]
         self.entries = [(label, need, base) for label, _, _, need, base in entries]
+        self.rare_words, self.agree = rare_words, agree
         df = Counter(w for ws in self.words for w in set(ws))
         self.idf = {w: math.log(1 + len(entries) / n) for w, n in df.items()}
-        self.keys = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (ws, (_, _, keys, _, base)) in enumerate(zip(self.words, entries, strict=True)):
-            places = []
-            for key in map(words_of, keys):
-                at = next(i for i in range(len(ws)) if ws[i : i + len(key)] == key)
-                places.append((at, key))
-            self.keys.append(places)
-            rare = sorted(set(ws), key=lambda w: (-self.idf[w], -len(w), w))[: 1 if base else index_words]
+        self.keys = [[b" ".join(words_of(k)) for k in keys] for _, _, keys, _, _ in entries]
+        self.must = [frozenset(w for k in keys for w in k.split()) for keys in self.keys]
+        self.places: list[dict[bytes, list[int]]] = []
+        self.order: list[list[bytes]] = []
+        for ws in self.words:
+            at: dict[bytes, list[int]] = defaultdict(list)
             for i, w in enumerate(ws):
-                if w in rare:
-                    self.postings[w].append((t, i))
-        self.rare = frozenset(self.postings)
+                at[w].append(i)
+            self.places.append(dict(at))
+            self.order.append(sorted(at, key=lambda w: (-self.idf[w], -len(w), w)))
+
+    def slack(self, t: int) -> int:
+        """How far words put in or left out may move a template's others."""
+        return max(3, len(self.words[t]) // 4)
+
+    def meeting(self, t: int, at: dict[bytes, list[int]], rare: list[bytes]) -> list[int]:
+        """Starts of template t on which enough of the rare words agree."""
+        said = sorted((p - i, w) for w in rare for p in at[w] for i in self.places[t][w])
+        enough, reach, out = min(self.agree, len(rare)), self.slack(t), []
+        lo = hi = 0
+        seen: Counter = Counter()
+        while lo < len(said):
+            while hi < len(said) and said[hi][0] <= said[lo][0] + reach:
+                seen[said[hi][1]] += 1
+                hi += 1
+            if len(seen) >= enough:
+                starts = Counter(s for s, _ in said[lo:hi])
+                out.append(min(starts, key=lambda s: (-starts[s], s)))
+                lo, seen = hi, Counter()
+                continue
+            w = said[lo][1]
+            seen[w] -= 1
+            if not seen[w]:
+                del seen[w]
+            lo += 1
+        return out
+
+    def verified(self, t: int, ws: list[bytes], start: int) -> tuple[int, float] | None:
+        """Where template t begins near start and the share of it that stands there in order, if its
+        mandatory phrases stand there as well."""
+        mine, lo = self.words[t], max(0, start - self.slack(t))
+        there = ws[lo : start + len(mine) + self.slack(t)]
+        if not all(holds(there, k) for k in self.keys[t]):
+            return None
+        same = SequenceMatcher(None, mine, there, autojunk=False).get_matching_blocks()
+        return lo + max(0, same[0].b - same[0].a), sum(m.size for m in same) / len(mine)
 
     def scan(self, ws: list[bytes]) -> list[tuple[int, str, float, bool]]:
         """(start, label, share of the template's words, base) of every match."""
-        if self.rare.isdisjoint(ws):
+        have = set(ws)
+        live = [t for t, must in enumerate(self.must) if must <= have]
+        if not live:
             return []
-        rare = self.rare
-        starts: set[tuple[int, int]] = set()
-        for at, w in enumerate(ws):
-            if w in rare:
-                starts.update((t, at - i) for t, i in self.postings[w])
+        rare = {t: [w for w in self.order[t] if w in have][: None if self.entries[t][2] else self.rare_words] for t in live}
+        wanted = set().union(*rare.values())
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for p, w in enumerate(ws):
+            if w in wanted:
+                at[w].append(p)
         out = []
-        for t, s in sorted(starts):
+        for t in live:
             label, need, base = self.entries[t]
-            mine = self.words[t]
-            if any(s + at < 0 or ws[s + at : s + at + len(key)] != key for at, key in self.keys[t]):
+            if base:
+                starts = set.intersection(*({p - i for p in at[w]} for w, places in self.places[t].items() for i in places))
+                out += [(s, label, 1.0, True) for s in sorted(starts)]
                 continue
-            share = sum(a == b for a, b in zip(mine[max(0, -s) :], ws[max(0, s) : s + len(mine)], strict=False)) / len(mine)
-            if share >= need:
-                out.append((max(0, s), label, share, base))
+            for s in self.meeting(t, at, rare[t]):
+                if (found := self.verified(t, ws, s)) and found[1] >= need:
+                    out.append((found[0], label, found[1], False))
         return out
 
 
@@ -105,8 +152,9 @@ def license_scan(docs: DataFrame, index: RareTokenIndex | None = None, id_col: s
 
     n_base counts the places of phrases; first_word and last_word are their smallest and largest
     start, null without any. Labels are distinct, sorted and comma-joined. score is the largest
-    share of a matched template, 1 for a phrase, 0 for none. Null texts count as empty: no words,
-    empty labels. Whole texts are read; repeated rows give repeated results."""
+    share of a matched template, 1 for a phrase, 0 for none; matches stand by template, then place.
+    Null texts count as empty: no words, empty labels. Whole texts are read; repeated rows give
+    repeated results, an empty table none; other columns, whatever their names, stay behind."""
     index = index or RareTokenIndex()
     match = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string()), ("share", pa.float64()), ("base", pa.bool_())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("matches", match)])

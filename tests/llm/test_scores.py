@@ -50,6 +50,35 @@ def test_templates_survive_changes():
     assert any(m[1] == "mit" and 0.9 < m[2] < 1 for m in index.scan(license_scan.words_of(mit)))
     cut = license_scan.words_of(" ".join(license_scan.TEMPLATES[0][1].split()[4:]))
     assert not any(m[1] == "mit" for m in index.scan(cut))
+    assert {m[1] for m in index.scan(license_scan.words_of("Creative Commons Attribution-NonCommercial 4.0: this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"))} == {"cc-by-nc"}
+
+
+def test_words_put_in_or_left_out():
+    index, said = license_scan.RareTokenIndex(), {label: text for label, text, _ in reversed(license_scan.TEMPLATES)}
+    labels = lambda text: {m[1] for m in index.scan(license_scan.words_of(text))}
+    bsd = said["bsd"].replace("are met redistributions", "are met:\n1. Redistributions").replace("disclaimer", "disclaimer. 2.")
+    assert labels(f"Copyright 2001, all rights reserved. {bsd}") == {"bsd"}
+    assert labels(said["isc"].replace(" and or ", " and/ ")) == {"isc"}
+    assert labels("x = 1 # " + " # ".join(said["mit"].split())) == {"mit"}
+    assert labels(" ".join(w + (" really" if i % 9 == 4 and i > 6 else "") for i, w in enumerate(said["unlicense"].split()))) == {"unlicense"}
+
+
+def test_labels_and_score_against_trying_every_place(spark):
+    r, index = random.Random(4), license_scan.RareTokenIndex()
+    texts = []
+    for _ in range(120):
+        words = r.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(r.randint(0, 12)):
+            k = r.randrange(len(words))
+            words[k : k + 1] = r.choice([[], [words[k], "extra"], ["other"], [words[k]]])
+        texts.append(f"{prose(r, r.randint(0, 20))} {' '.join(words)} {prose(r, r.randint(0, 20))} {r.choice(['', 'under the MIT license', 'the bsd license 3'])}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in license_scan.license_scan(df, index).collect():
+        ws = license_scan.words_of(texts[row["doc_id"]])
+        found = [(index.entries[t][0], v[1]) for t in range(len(index.entries)) for s in range(-5, len(ws)) if (v := index.verified(t, ws, s)) and v[1] >= index.entries[t][1] and not index.entries[t][2]]
+        found += [(label, 1.0) for _, label in plain_phrases(texts[row["doc_id"]])]
+        assert row["labels"] == ",".join(sorted({x for x, _ in found}))
+        assert row["score"] <= max((v for _, v in found), default=0) <= row["score"] + 0.1
 
 
 def test_licence_edges(odd_docs, no_docs):
