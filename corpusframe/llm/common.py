@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder, as spark.checkpoint.dir names it. Only a local session, where
+    everything is one machine, may do without; it gets a temporary one (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named and (own := sc.getCheckpointDir()):
         named = own
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="corpusframe-")
         sc.setCheckpointDir(named)
     return named
@@ -42,13 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage there.
 
-    The files go when the session's JVM ends."""
+    The files go with discard(), at the latest when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusframe-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.corpusframe_path = path
+    return back
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete tables of materialize() that no plan to come reads any more."""
+    for df in made:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.corpusframe_path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def reclaim(spark: SparkSession) -> None:
@@ -130,6 +142,18 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
     return docs.mapInArrow(run, docs.schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that df has no column of, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """docs without the rows whose `on` columns are in gone: a broadcast of gone while its counted
     rows are within the bound, else a shuffle of both sides."""

@@ -7,31 +7,33 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, small, table, without
+from .common import discard, fresh, id_text, materialize, small, table, without
 
-#: Filter bits a row: with two bits a row, about one unrepeated row in a hundred is suspected.
-BITS_PER_ROW = 16
-#: Broadcast bounds in rows: filter words of 16 bytes, groups of about 90 bytes.
-WORDS_BOUND, GROUPS_BOUND = 1_000_000, 200_000
+#: Filter bits a row: with two bits a row, about one unrepeated row in a hundred is suspected. The
+#: filter has MAX_WORDS words of 64 bits at most (16 bytes each when broadcast), however many rows
+#: there are: beyond some 20 million rows more and more unrepeated ones are suspected too.
+BITS_PER_ROW, MAX_WORDS = 16, 1 << 20
+#: Groups of about 90 bytes that may be broadcast.
+GROUPS_BOUND = 200_000
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Pass 1 hashes every text to two bits of one 64-bit filter word and keeps the bits that
-    more than one row sets (counts are combined before they shuffle; 16 bytes a cell). Pass 2
-    tests each row against that filter: a row whose bits were set once has no equal and goes
-    straight through; only (doc_id, digest) of suspected rows shuffle, never a text, and their
-    SHA-256 digests decide. The filter holds repeated cells only; it is broadcast up to
-    WORDS_BOUND rows, and joined by a shuffle beyond. A false suspicion costs a shuffled row
-    and never changes a result.
+    more than one row sets; what moves is one cell of 16 bytes a distinct hash and task. Pass 2
+    tests each row against that filter, which is broadcast and never larger than MAX_WORDS words: a
+    row whose bits were set once has no equal and goes straight through; only (doc_id, digest) of
+    suspected rows shuffle, never a text, and their SHA-256 digests decide. A false suspicion costs
+    a shuffled row and never changes a result, so a filter too small for its rows only costs time.
 
     Null texts equal empty ones. Of equal texts the largest doc_id stays; a null doc_id is
     smaller than any other. Rows repeated with id and text are all counted and all marked
-    kept. An empty table gives no rows.
+    kept. Texts of any length are hashed whole. An empty table gives no rows; other columns, whatever
+    their names, stay behind.
     """
     base = id_text(docs, id_col, text_col)
-    words = 1 << max(10, math.ceil(math.log2(max(1, docs.count()) * BITS_PER_ROW / 64)))
+    words = min(MAX_WORDS, 1 << max(10, math.ceil(math.log2(max(1, docs.count()) * BITS_PER_ROW / 64))))
     h = F.xxhash64("text")
     bit = lambda shift: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {shift}) & 63 AS INT))")
     hashed = base.select("doc_id", "text", h.alias("h"))
@@ -39,14 +41,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     seen = hashed.select(*cell).groupBy("w", "bits").agg(F.count("*").alias("n"))
     repeated = materialize(seen.where("n > 1").groupBy("w").agg(F.bit_or("bits").alias("again")))
-    filter_ = small(repeated, repeated.count(), WORDS_BOUND)
 
     marked = hashed.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), *cell)
     marked = materialize(
-        marked.join(filter_, "w", "left").select(
+        marked.join(F.broadcast(repeated), "w", "left").select(
             "doc_id", "text_sha256", F.expr("coalesce(again & bits = bits, false)").alias("suspect")
         )
     )
+    discard(repeated)
     alone = marked.where("not suspect").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = marked.where("suspect").select("doc_id", "text_sha256")
     groups = materialize(suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
@@ -61,15 +63,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated with id and text keep one of them. Only ids and digests of rows to go are moved,
     unless they are too many to be broadcast."""
     made = materialize(exact_dedup(docs, id_col, text_col))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    name = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("")).alias("__id")
-    keyed = docs.withColumns({"__id": name(id_col), "__sha": sha})
-    key = ["__id", "__sha"]
-    gone = made.where("not kept").select(name("doc_id"), F.col("text_sha256").alias("__sha"))
-    twice = made.where("kept and group_size > 1").groupBy(name("doc_id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    id_, sha, n = fresh(docs, "id", "sha", "n")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    name = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("")).alias(id_)
+    keyed = docs.withColumns({id_: name(id_col), sha: digest})
+    key = [id_, sha]
+    gone = made.where("not kept").select(name("doc_id"), F.col("text_sha256").alias(sha))
+    twice = made.where("kept and group_size > 1").groupBy(name("doc_id"), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(*key)
     left = without(keyed, gone, key)
-    if n := twice.count():
-        again = left.join(small(twice, n), key, "left_semi").dropDuplicates(key)
+    if k := twice.count():
+        again = left.join(small(twice, k), key, "left_semi").dropDuplicates(key)
         left = without(left, twice, key).unionByName(again)
     return left.select(*docs.columns)
 
