@@ -8,8 +8,8 @@ difference D of the sets, and similarity 4/5 needs D <= (a + b) / 9 for sets of
    each document, and a count of all shingles in 2^22 cells (4 MB, whatever the input; a task's
    share of a cell counts to 255, which is enough to tell rare from common). Documents
    with equal sets are one class; only its smallest id goes on.
-2. Pass over the texts: per size band [2^k, 2^(k+1)) the sketch is cut into 2^k slices; a slice is
-   held as the XOR of its bits' 64-bit codes. By the pigeonhole principle two similar documents
+2. Pass over the texts: per size band [2^k, 2^(k+1)) the sketch is cut into 2^k slices (2^16 for
+   sets under 64); a slice is held as the XOR of its bits' 64-bit codes. By the pigeonhole principle two similar documents
    agree in one of the first D + 1 occupied slices of each, in any order fixed for all; here
    slices of rarely counted shingles come first. Smaller documents also take part in the next band
    when a partner can be there.
@@ -32,17 +32,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, id_text, map_texts, materialize, reclaim, release, small, table, without
+from .common import BROADCAST_ROWS, chunks, fresh, id_text, map_texts, materialize, reclaim, release, small, table, without
 from .components import components
 from .shingles import mix, shingle_sets
 
 CELLS, PARTS = 1 << 22, 64
 FOLDED = 1024
-#: Sizes below this are sliced so finely that a slice is one shingle.
-FINE = 64
+#: Partial counts that one task adds up at a time.
+FAN = 32
 #: Ratio of the narrow size bands of step 4.
 NARROW = 1.1
 #: Bits that tell the second reading which slices are shared: 16 MB at most.
@@ -61,8 +62,8 @@ def fold(s: np.ndarray) -> np.ndarray:
 
 def describe(docs: DataFrame) -> DataFrame:
     """Rows of two kinds in one reading: of each document (doc_id, n, f1, f2, sketch), and of each
-    task its shingle counts (part, counts)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
+    task its shingle counts (task, part, counts)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("task", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         cells = np.zeros(CELLS, dtype=np.uint8)
@@ -74,33 +75,47 @@ def describe(docs: DataFrame) -> DataFrame:
                 f1 = [mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64) for s in sets]
                 f2 = [np.bitwise_xor.reduce(mix(s + _U(0x14057B7EF767814F)), initial=_U(0)).astype(np.int64) for s in sets]
                 none = [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, [len(s) for s in sets], f1, f2, [fold(s) for s in sets], none, none), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, [len(s) for s in sets], f1, f2, [fold(s) for s in sets], none, none, none), schema, strict=True)], schema=schema)
         if cells.any():
             packed = [zlib.compress(c.tobytes(), 1) for c in cells.reshape(PARTS, -1)]
             del cells
-            none = [None] * PARTS
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((none, none, none, none, none, list(range(PARTS)), packed), schema, strict=True)], schema=schema)
+            none, task = [None] * PARTS, [TaskContext.get().partitionId()] * PARTS
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((none, none, none, none, none, task, list(range(PARTS)), packed), schema, strict=True)], schema=schema)
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, task int, part int, counts binary")
 
 
 def levels(described: DataFrame) -> np.ndarray:
-    """Twice the log2 of the count of each cell over all tasks: CELLS bytes."""
+    """Twice the log2 of the count of each cell over all tasks: CELLS bytes. Counts of FAN tasks are
+    added at a time, then sums of those, so that no task holds those of all."""
+    size = CELLS // PARTS
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(CELLS // PARTS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint64)
         for c in t["counts"].to_pylist():
-            total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
-        return pa.table({"part": t["part"][:1], "levels": pa.array([(2 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
-
-    got = described.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, levels binary").collect()
-    out = np.zeros((PARTS, CELLS // PARTS), dtype=np.uint8)
-    for r in got:
-        out[r.part] = np.frombuffer(r.levels, dtype=np.uint8)
+            raw = zlib.decompress(c)
+            total += np.frombuffer(raw, dtype=np.uint8 if len(raw) == size else np.uint64)
+        return pa.table({"task": t["task"][:1], "part": t["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    rows = described.where("part is not null").select("task", "part", "counts")
+    tasks, steps = (rows.agg(F.max("task")).first()[0] or 0) + 1, 0
+    while tasks > 1 or not steps:
+        rows = rows.withColumn("task", F.expr(f"task div {FAN}").cast("int")).groupBy("task", "part").applyInArrow(add, "task int, part int, counts binary")
+        tasks, steps = -(-tasks // FAN), steps + 1
+    out = np.zeros((PARTS, size), dtype=np.uint8)
+    for r in rows.select("part", "counts").collect():
+        out[r.part] = 2 * np.log2(np.frombuffer(zlib.decompress(r.counts), dtype=np.uint64) + 1.0)
     return out.reshape(-1)
 
 
+def cut_bits(band: int) -> int:
+    """Slices that a sketch of a size band is cut into, as a power of two. Small sets get many: were
+    all of a set's few shingles to fall in one slice with one that another lacks, the two would agree
+    in none; the odds of that are those of equal 64-bit hashes."""
+    return band if band >= 6 else 16
+
+
 def slices(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Keys of the slices that a set takes part with, one array for all its bands."""
     n = len(s)
@@ -109,15 +124,12 @@ def slices(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     rare = level[(s % _U(CELLS)).astype(np.int64)]
     out = []
     for band in (k, k + 1) if 5 * n // 4 >= 1 << k + 1 else (k,):
-        if 1 << band < FINE:
-            key, order = mix(s ^ _U(band)), rare
-        else:
-            at = (s >> _U(20)) % _U(1 << band)
-            by = np.argsort(at, kind="stable")
-            at, code = at[by], s[by]
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            key = mix(np.bitwise_xor.reduceat(code, first) ^ mix(at[first] + _U(band << 40)))
-            order = np.minimum.reduceat(rare[by], first)
+        at = (s >> _U(20)) % _U(1 << cut_bits(band))
+        by = np.argsort(at, kind="stable")
+        at, code = at[by], s[by]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        key = mix(np.bitwise_xor.reduceat(code, first) ^ mix(at[first] + _U(band << 40)))
+        order = np.minimum.reduceat(rare[by], first)
         out.append(key[np.lexsort((key, order))[:need]] if len(key) > need else key)
     return np.concatenate(out)
 
@@ -313,10 +325,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all columns, one document of each component: that of the smallest id."""
+    """docs, with all columns whatever their names, one document of each component: that of the
+    smallest id. Rows without an id and those without shingles stay; repeated rows stay or go
+    together; an empty table stays empty."""
+    (id_,) = fresh(docs, "id")
     made = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id")
-    gone = materialize(made.select(F.col("doc_id").alias("__id")).distinct())
-    return without(docs.withColumn("__id", F.col(id_col).cast("long")), gone, ["__id"]).select(*docs.columns)
+    gone = materialize(made.select(F.col("doc_id").alias(id_)).distinct())
+    return without(docs.withColumn(id_, F.col(id_col).cast("long")), gone, [id_]).select(*docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
