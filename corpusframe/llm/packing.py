@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import struct
 import zlib
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_texts, materialize, table
+from .token_count import shown_bytes
 
 SEQ_LEN = 2048
 #: Pieces that one group packs; groups are dealt by a hash, so more documents make more groups.
@@ -21,72 +22,46 @@ GROUP_PIECES = 8192
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The bin number of each size.
 
-    Sizes go in from the largest. Each is placed, in an open bin or a new one, where the sum
-    over gaps of (number of open bins with that gap)^2 becomes smallest; ties take the
-    smallest gap. Then the emptiest bins are dissolved one by one as long as all their pieces
-    fit into the gaps of the others, each into the smallest that takes it."""
+    Sizes go in from the largest. Each is placed in the open bin that takes it where the sum
+    over gaps of (number of open bins with that gap)^2 becomes smallest; ties take the smallest
+    gap, and of bins with that gap the one that got it last. A bin is opened only where no open
+    one takes the size."""
     n = np.zeros(capacity + 1, dtype=np.int64)
     open_: dict[int, list[int]] = {}
-    held: list[list[int]] = []
     where = np.empty(len(sizes), dtype=np.int64)
-
-    def put(i: int, gap: int, b: int) -> None:
-        s = int(sizes[i])
-        if gap < capacity:
-            n[gap] -= 1
-        held[b].append(i)
-        where[i] = b
-        if gap > s:
-            n[gap - s] += 1
-            open_.setdefault(gap - s, []).append(b)
-
+    bins = 0
     for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
         gaps = np.flatnonzero(n[s:capacity]) + s
-        new = 2 * n[capacity - s] + 1 if s < capacity else 0
         if len(gaps):
             rise = 1 - 2 * n[gaps] + np.where(gaps > s, 2 * n[gaps - s] + 1, 0)
-            at = int(np.argmin(rise))
-            if rise[at] <= new:
-                gap = int(gaps[at])
-                put(i, gap, open_[gap].pop())
-                continue
-        held.append([])
-        put(i, capacity, len(held) - 1)
-
-    for gap in range(capacity - 1, 0, -1):
-        for b in list(open_.get(gap, ())):
-            if b not in open_[gap]:
-                continue
-            open_[gap].remove(b)
+            gap = int(gaps[np.argmin(rise)])
+            b = open_[gap].pop()
             n[gap] -= 1
-            moves, free = [], n.copy()
-            for i in sorted(held[b], key=lambda i: -sizes[i]):
-                s = int(sizes[i])
-                fit = np.flatnonzero(free[s:capacity])
-                if not len(fit):
-                    break
-                g = int(fit[0]) + s
-                moves.append((i, g))
-                free[g] -= 1
-                if g > s:
-                    free[g - s] += 1
-            if len(moves) < len(held[b]):
-                n[gap] += 1
-                open_[gap].append(b)
-                continue
-            held[b] = []
-            for i, g in moves:
-                put(i, g, open_[g].pop())
+        else:
+            gap, b, bins = capacity, bins, bins + 1
+        where[i] = b
+        if gap > s:
+            n[gap - s] += 1
+            open_.setdefault(gap - s, []).append(b)
     return where
 
 
-def tokenizer(path: str, pattern: str, special: dict[str, int]):
-    """Ids of a text, special strings inside it as their single ids."""
+def tokenizer(path: str, pattern: str):
+    """Ids of a text as the tokenizers library has them for a byte-level BPE file, special strings
+    inside it as their single ids. The file's vocabulary is run by tiktoken, which gives the same ids
+    in a fifth of the time; its merges must be in the order of their ids."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    vocab = said["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in said["added_tokens"]}
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in said["model"]["merges"]]
+    if made != sorted(made):
+        raise ValueError(f"{path}: merges are not in the order of their ids")
+    value = {s: b for b, s in enumerate(shown_bytes())}
+    ranks = {bytes(value[c] for c in token): i for token, i in vocab.items() if token not in special}
     coding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
@@ -97,12 +72,12 @@ def tokenizer(path: str, pattern: str, special: dict[str, int]):
     return encode
 
 
-def cut(docs: DataFrame, path: str, pattern: str, special: dict[str, int], capacity: int = SEQ_LEN, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, path: str, pattern: str, capacity: int = SEQ_LEN, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32. A document is its text's ids and end_id;
     one longer than capacity is cut so that all pieces but the first are full."""
 
     def make():
-        encode = tokenizer(path, pattern, special)
+        encode = tokenizer(path, pattern)
 
         def work(ids: list, texts: list[str]) -> list:
             out: list[list] = [[], [], [], [], []]
@@ -154,19 +129,20 @@ def pack(pieces: DataFrame, capacity: int = SEQ_LEN, group: int = GROUP_PIECES)
     return packed.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, special: dict[str, int], capacity: int = SEQ_LEN, group: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = SEQ_LEN, group: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset. The cut pieces are written once, so texts are encoded once.
 
-    Null texts count as empty: a piece of one id. Repeated rows are packed each; an empty table
-    gives no rows; ties of size go by doc_id and piece."""
-    return pack(materialize(cut(docs, path, pattern, special, capacity, 0, id_col, text_col)), capacity, group)
+    Null texts count as empty: a piece of one id. Texts of any length are encoded whole. Repeated
+    rows are packed each; an empty table gives no rows; ties of size go by doc_id and piece; other
+    columns, whatever their names, stay behind."""
+    return pack(materialize(cut(docs, path, pattern, capacity, 0, id_col, text_col)), capacity, group)
 
 
-def gpt_parts() -> tuple[str, str, dict[str, int]]:
+def gpt_parts() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

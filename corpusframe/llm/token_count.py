@@ -20,6 +20,13 @@ ROUNDS = 48
 LIMIT = 1024
 
 
+def shown_bytes() -> list[str]:
+    """The character that stands for each byte in byte-level files: itself where it shows, else one
+    from 256 on."""
+    odd = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255)]
+    return [chr(256 + odd.index(c)) if c in odd else chr(c) for c in range(256)]
+
+
 class RankMerger:
     """Byte-level BPE counts of many pre-tokens at once.
 
@@ -42,11 +49,7 @@ class RankMerger:
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.rank, self.result = keys[order], order.astype(np.int64), made
-        shown = [chr(c) for c in range(256)]
-        odd = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255)]
-        for i, c in enumerate(odd):
-            shown[c] = chr(256 + i)
-        self.byte_id = np.array([vocab[s] for s in shown], dtype=np.int64)
+        self.byte_id = np.array([vocab[s] for s in shown_bytes()], dtype=np.int64)
         self.special = [t["content"] for t in said["added_tokens"]]
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -32,35 +32,40 @@ def test_bins_are_few():
         assert len(where) == len(sizes) and (fill <= 2048).all()
     sizes = r.integers(1, 1200, 4000)
     bins = len(np.unique(packing.sum_of_squares(sizes, 2048)))
-    assert bins <= 1.005 * -(-sizes.sum() // 2048)
+    assert bins <= 1.001 * -(-sizes.sum() // 2048)
+    sizes = r.integers(1, 2049, 8192)
+    assert len(np.unique(packing.sum_of_squares(sizes, 2048))) <= 1.01 * max(-(-sizes.sum() // 2048), (sizes > 1024).sum())
 
 
 def slow_sum_of_squares(sizes, capacity):
-    """The rule by trying every gap for every size; before bins are dissolved."""
-    gaps = []
-    for s in sorted(sizes, reverse=True):
+    """Each size's bin by trying every open bin and adding up all squares anew."""
+    left, where = [], [0] * len(sizes)
+    born = []  # when each bin got its gap
+    for turn, i in enumerate(sorted(range(len(sizes)), key=lambda i: -sizes[i])):
         best = None
-        for g in [*sorted(set(gaps)), capacity]:
-            if g >= s:
-                new = list(gaps)
-                if g < capacity:
-                    new.remove(g)
-                if g > s:
-                    new.append(g - s)
-                cost = sum(new.count(x) ** 2 for x in set(new))
-                if best is None or cost < best[0]:
-                    best = cost, new
-        gaps = best[1]
-    return gaps
-
-
-def test_rule_against_loop():
+        for b, gap in enumerate(left):
+            if 0 < gap and gap >= sizes[i]:
+                after = left[:b] + [gap - sizes[i]] + left[b + 1 :]
+                cost = sum(after.count(g) ** 2 for g in set(after) - {0})
+                if best is None or (cost, gap, -born[b]) < best[0]:
+                    best = (cost, gap, -born[b]), b
+        if best is None:
+            where[i] = len(left)
+            left.append(capacity - sizes[i])
+            born.append(turn)
+        else:
+            where[i] = best[1]
+            left[best[1]] -= sizes[i]
+            born[best[1]] = turn
+    return where
+
+
+def test_rule_placement_by_placement():
     r = random.Random(3)
-    for _ in range(30):
-        sizes = [r.randint(1, 12) for _ in range(r.randint(1, 25))]
-        slow = slow_sum_of_squares(sizes, 12)
-        bins = len(np.unique(packing.sum_of_squares(np.array(sizes), 12)))
-        assert -(-sum(sizes) // 12) <= bins <= (sum(sizes) + sum(slow)) // 12
+    for _ in range(200):
+        capacity = r.choice([5, 12, 40])
+        sizes = [r.randint(1, capacity) for _ in range(r.randint(1, 40))]
+        assert list(packing.sum_of_squares(np.array(sizes), capacity)) == slow_sum_of_squares(sizes, capacity)
 
 
 def test_query(spark, odd_docs, no_docs):
