@@ -1,79 +1,95 @@
-"""Edit distances between word lists: native expressions, and Arrow functions for alignments."""
+"""Edit distances between word lists, and their alignment, in Arrow batches."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Private-use characters that stand for the distinct words of a pair.
-SYMBOLS = "".join(map(chr, range(0xE000, 0xF900)))
-
-
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Word edit distance, inside generated code: each distinct word of the pair becomes one
-    character, and characters are compared. For pairs of up to 6,400 distinct words; use
-    word_edits_long beyond."""
-    both = F.array_distinct(F.concat(ref, hyp))
-    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(F.lit(SYMBOLS), F.array_position(both, w).cast("int"), F.lit(1))), "")
-    return F.levenshtein(spell(ref), spell(hyp))
-
 
 def char_edits(ref: Column, hyp: Column) -> Column:
     """Edit distance in characters; spaces count."""
     return F.levenshtein(ref, hyp)
 
 
-def edit_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Last row of the edit distance table of a against all beginnings of b."""
-    along = np.arange(len(b) + 1)
-    row = along.copy()
-    for k, x in enumerate(a, 1):
-        step = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        # an insertion continues from the left: a running minimum of value minus place
-        row = np.minimum.accumulate(np.r_[k, step] - along) + along
-    return row
-
-
-def _ids(*lists) -> list[np.ndarray]:
-    known: dict[str, int] = {}
-    return [np.array([known.setdefault(w, len(known)) for w in ws], dtype=np.int64) for ws in lists]
+def edit_distance(a, b) -> int:
+    """Edit distance of two sequences of hashable items. A column of the table of distances is held
+    as two integers, whose bits say where it rises and where it falls, so one step takes a whole
+    column; equal ends are skipped first."""
+    end = min(len(a), len(b))
+    k = 0
+    while k < end and a[-1 - k] == b[-1 - k]:
+        k += 1
+    lead = 0
+    while lead < end - k and a[lead] == b[lead]:
+        lead += 1
+    a, b = a[lead : len(a) - k], b[lead : len(b) - k]
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    mask, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance = mask, 0, len(a)
+    for x in b:
+        same = places.get(x, 0)
+        level = same | falls
+        across = ((same & rises) + rises ^ rises) | same
+        up, down = falls | ~(across | rises) & mask, rises & across
+        distance += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        rises, falls = (down | ~(level | up)) & mask, up & level
+    return distance
+
+
+def coded(*lists: pa.Array) -> list[list[list[int]]]:
+    """Columns of word lists as lists of numbers; equal words of any of them have equal numbers."""
+    arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in lists]
+    flat = [pc.list_flatten(a) for a in arrays]
+    numbers = pc.dictionary_encode(pa.concat_arrays([f.cast(pa.string()) for f in flat]), null_encoding="encode").indices.to_pylist()
+    out, at = [], 0
+    for a in arrays:
+        rows = []
+        for n in pc.list_value_length(a).to_pylist():
+            rows.append(numbers[at : at + (n or 0)])
+            at += n or 0
+        out.append(rows)
+    return out
 
 
-def edit_distance(a, b) -> int:
-    """Words that no other list has can't hold on memory: two rows at a time; equal ends are skipped."""
-    a, b = list(a), list(b)
-    while a and b and a[-1] == b[-1]:
-        a.pop(), b.pop()
-    lead = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    x, y = _ids(a[lead:], b[lead:])
-    return int(edit_row(x, y)[-1])
-
-
-@F.pandas_udf(T.IntegerType())
-def word_edits_long(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Word edit distance of lists of any length; null if either is null."""
-    return pd.Series([None if r is None or h is None else edit_distance(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="Int32")
-
-
-def align(pivot: list[str], other: list[str]) -> list[str]:
-    """For each pivot word the aligned word of other, '' where it has none; words of other
-    between pivot words fall away. Of equal costs the path back goes diagonally first, then
-    drops a pivot word, then a word of other."""
-    p, o = _ids(pivot, other)
-    rows = [np.arange(len(o) + 1)]
-    for i in range(1, len(p) + 1):
-        step = np.minimum(rows[-1][1:] + 1, rows[-1][:-1] + (o != p[i - 1]))
-        along = rows[0]
-        rows.append(np.minimum.accumulate(np.r_[i, step] - along) + along)
-    out, i, j = [""] * len(p), len(p), len(o)
-    while i > 0:
+@F.arrow_udf(T.IntegerType())
+def word_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Word edit distance of two lists of any length; null if either is null."""
+    a, b = coded(ref, hyp)
+    there = pc.and_(ref.is_valid(), hyp.is_valid()).to_pylist()
+    return pa.array([edit_distance(x, y) if ok else None for x, y, ok in zip(a, b, there, strict=True)], pa.int32())
+
+
+def align(pivot: list, other: list) -> list[int]:
+    """For each pivot item the place of the aligned item of other, -1 where it has none; items of
+    other between pivot items fall away. Of equal costs the path back goes diagonally first, then
+    drops a pivot item, then one of other. Equal ends always pair up, and are not put in the table."""
+    k, end = 0, min(len(pivot), len(other))
+    while k < end and pivot[-1 - k] == other[-1 - k]:
+        k += 1
+    i, j = len(pivot) - k, len(other) - k
+    out = [-1] * i + list(range(j, j + k))
+    rows = [list(range(j + 1))]
+    for n in range(i):
+        x, above = pivot[n], rows[-1]
+        row = [n + 1]
+        for m in range(j):
+            row.append(min(above[m] + (x != other[m]), above[m + 1] + 1, row[m] + 1))
+        rows.append(row)
+    while i:
         here = rows[i][j]
-        if j > 0 and here == rows[i - 1][j - 1] + (p[i - 1] != o[j - 1]):
+        if j and here == rows[i - 1][j - 1] + (pivot[i - 1] != other[j - 1]):
             i, j = i - 1, j - 1
-            out[i] = other[j]
+            out[i] = j
         elif here == rows[i - 1][j] + 1:
             i -= 1
         else:
@@ -81,9 +97,9 @@ def align(pivot: list[str], other: list[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def align_to_pivot(pivot: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([align(list(p), list(o)) for p, o in zip(pivot, other, strict=True)])
+def aligned_words(pivot: list[str], other: list[str]) -> list[str]:
+    """For each pivot word the aligned word of other, '' where it has none."""
+    return [other[k] if k >= 0 else "" for k in align(pivot, other)]
 
 
 def utterance_rate(edits: Column, n_ref: Column, n_hyp: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit import align_to_pivot
+from ..functions.edit import align, coded
 
 
 def complete_ids(systems: DataFrame, n_systems: int, key: str = "utt_id") -> DataFrame:
@@ -13,20 +14,38 @@ def complete_ids(systems: DataFrame, n_systems: int, key: str = "utt_id") -> Dat
     return systems.groupBy(key).agg(F.count_distinct("sys_idx").alias("n")).where(F.col("n") == n_systems).select(key)
 
 
+def voted(lists: list[list[str]], codes: list[list[int]], weights: list[float]) -> list[str]:
+    """The winning words of the first list's slots. Weights are added as doubles in the order of the
+    lists; the largest sum wins, then the pivot's own word, then that of the earlier list."""
+    if all(c == codes[0] for c in codes[1:]):
+        return [w for w in lists[0] if w != ""]
+    slots = [align(codes[0], c) for c in codes[1:]]
+    out = []
+    for k, own in enumerate(lists[0]):
+        sums = {own: weights[0]}  # in order of the first to say it, the pivot's own word ahead
+        for words, at, w in zip(lists[1:], slots, weights[1:], strict=True):
+            word = words[at[k]] if at[k] >= 0 else ""
+            sums[word] = sums.get(word, 0.0) + w
+        best = max(sums, key=sums.get)
+        if best != "":
+            out.append(best)
+    return out
+
+
 def vote(systems: DataFrame, weights: list[float], key: str = "utt_id") -> DataFrame:
     """(key, words): of rows (key, sys_idx, words), system 0 being the pivot, the winning word of
-    each pivot slot; a slot won by '' falls away, and an empty pivot gives no words.
-
-    Weights are added as doubles in system order, so equal sums are told apart as the order says.
-    The largest sum wins, then the pivot's own word, then the word of the smaller system."""
-    systems = systems.join(complete_ids(systems, len(weights), key), key, "left_semi")
-    pivot = systems.where("sys_idx = 0").select(key, F.col("words").alias("pivot"))
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("sys_idx"))
-    rows = systems.join(pivot, key).withColumn("slots", F.when(F.col("sys_idx") == 0, F.col("pivot")).otherwise(align_to_pivot("pivot", "words")))
-    rows = rows.select(key, "sys_idx", weight.alias("w"), "pivot", F.posexplode("slots").alias("pos", "word"))
-    votes = rows.groupBy(key, "pos", "word").agg(F.sort_array(F.collect_list(F.struct("sys_idx", "w"))).alias("v"), F.max(F.col("sys_idx") == 0).alias("own"), F.min("sys_idx").alias("first"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"])
-    won = votes.groupBy(key, "pos").agg(F.max_by("word", F.struct(total, "own", -F.col("first"))).alias("word"))
-    said = won.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("s"))
-    words = F.filter(F.transform("s", lambda x: x["word"]), lambda w: w != "")
-    return pivot.select(key).join(said, key, "left").select(key, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    each pivot slot; a slot won by '' falls away, and an empty pivot gives no words. Keys that some
+    system lacks are left out; of a system's repeated rows for a key one counts.
+
+    Each system's words meet once by key, in one shuffle; alignment and votes are one Arrow step."""
+    n = len(weights)
+    each = [F.max(F.when(F.col("sys_idx") == i, F.col("words"))).alias(f"w{i}") for i in range(n)]
+    met = systems.where(F.col("sys_idx").between(0, n - 1)).groupBy(key).agg(*each).dropna(subset=[f"w{i}" for i in range(n)])
+
+    @F.arrow_udf("array<string>")
+    def decided(*columns: pa.Array) -> pa.Array:
+        codes, lists = coded(*columns), [c.to_pylist() for c in columns]
+        made = [voted([c[r] for c in lists], [c[r] for c in codes], weights) for r in range(len(lists[0]))]
+        return pa.array(made, pa.list_(pa.string()))
+
+    return met.select(key, decided(*[f"w{i}" for i in range(n)]).alias("words"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,28 @@ def build_lexicon(rows: DataFrame, group: str, words: str, order: list[str], fol
 
 def canonicalize(rows: DataFrame, lexicon: DataFrame, key: str, group: str, words: str, fold: Callable[[Column], Column]) -> DataFrame:
     """rows' (key, group, words) with words spelled as the lexicon says, and changed: whether any
-    differs. A word without an entry stays. The lexicon is broadcast when counted small."""
+    differs. A word without an entry stays, and so does every row, repeated ones too. A lexicon
+    counted small goes to every task and no text moves; a larger one is joined word by word."""
     n = lexicon.count()
-    table = F.broadcast(lexicon) if n <= BROADCAST_ROWS else lexicon
-    each = rows.select(key, group, F.posexplode_outer(words).alias("pos", "w")).withColumn("folded", fold(F.col("w")))
-    each = each.join(table, [group, "folded"], "left").withColumn("new", F.coalesce("surface", "w"))
-    out = each.groupBy(key, group).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "new")))).alias("s"), F.max(F.coalesce(F.col("new") != F.col("w"), F.lit(False))).alias("changed"))
-    return out.select(key, group, F.transform("s", lambda x: x["new"]).alias("words"), "changed")
+    rows = rows.select(key, group, words).withColumn("__folded", F.transform(words, fold))
+    if n <= BROADCAST_ROWS:
+        held = rows.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in lexicon.select(group, "folded", "surface").toLocalIterator()})
+
+        @F.arrow_udf("array<string>")
+        def spelled(groups: pa.Array, old: pa.Array, folded: pa.Array) -> pa.Array:
+            get = held.value.get
+            return pa.array([None if w is None else [get((g, f), x) for x, f in zip(w, fs, strict=True)] for g, w, fs in zip(groups.to_pylist(), old.to_pylist(), folded.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+        out = rows.withColumn("__new", spelled(group, words, "__folded"))
+    else:
+        rows = rows.withColumn("__row", F.monotonically_increasing_id())
+        each = rows.select("__row", group, F.posexplode(F.arrays_zip(F.col(words).alias("w"), F.col("__folded").alias("folded"))).alias("pos", "x")).select("__row", group, "pos", "x.w", "x.folded")
+        each = each.join(lexicon, [group, "folded"], "left").select("__row", F.struct("pos", F.coalesce("surface", "w").alias("w")).alias("p"))
+        made = each.groupBy("__row").agg(F.sort_array(F.collect_list("p"))["w"].alias("__new"))
+        out = rows.join(made, "__row", "left").withColumn("__new", F.coalesce("__new", words))
+    return out.select(key, group, F.coalesce("__new", F.array().cast("array<string>")).alias("words"), F.coalesce(F.col("__new") != F.col(words), F.lit(False)).alias("changed"))
+
+
+def changed_rows(canonical: DataFrame) -> DataFrame:
+    """One row: rows, and those of them whose text the lexicon changed."""
+    return canonical.agg(F.count("*").alias("rows"), F.count(F.when(F.col("changed"), 1)).alias("changed"))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.edit import SYMBOLS, char_edits, utterance_rate, word_edits, word_edits_long
+from ..functions.edit import char_edits, utterance_rate, word_edits
 
 
 def with_edits(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
-    """df with edits, n_ref, n_hyp of two word-list columns. Pairs of more distinct words than
-    there are symbols are counted in Python, which sees nulls for all others."""
-    bound = len(SYMBOLS)
-    long = (F.size(ref) + F.size(hyp) > bound) & (F.size(F.array_distinct(F.concat(ref, hyp))) > bound)
-    edits = F.when(long, word_edits_long(F.when(long, ref), F.when(long, hyp))).otherwise(word_edits(ref, hyp))
+    """df with edits, n_ref, n_hyp of two word-list columns. Pairs that are equal are not counted in
+    Python, which sees nulls for them."""
+    same = ref == hyp
+    edits = F.when(same, 0).otherwise(word_edits(F.when(~same, ref), F.when(~same, hyp)))
     return df.withColumns({"edits": edits, "n_ref": F.size(ref), "n_hyp": F.size(hyp)})
 
 

@@ -62,7 +62,7 @@ SLOTS = [
 
 @pytest.mark.parametrize(("pivot", "other", "want"), SLOTS)
 def test_alignment(pivot, other, want):
-    assert edit.align(pivot.split(), other.split()) == want.split("|")
+    assert edit.aligned_words(pivot.split(), other.split()) == want.split("|")
 
 
 def slow_distance(a, b):
@@ -77,29 +77,39 @@ def slow_distance(a, b):
 def test_edit_distances_agree(spark):
     r = random.Random(4)
     rows = [([r.choice("abcd") * r.randint(1, 2) for _ in range(r.randint(0, 9))], [r.choice("abcd") for _ in range(r.randint(0, 9))]) for _ in range(200)]
+    rows += [([r.choice("abcdefgh") for _ in range(200)], [r.choice("abcdefgh") for _ in range(150)]), (["a", None], ["a"]), ([], None)]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    got = df.select("a", "b", edit.word_edits(F.col("a"), F.col("b")).alias("n"), edit.word_edits_long("a", "b").alias("l")).collect()
-    assert all(g["n"] == g["l"] == slow_distance(g["a"], g["b"]) for g in got)
+    got = df.select("a", "b", edit.word_edits("a", "b").alias("n")).collect()
+    assert all(g["n"] == (None if g["b"] is None else slow_distance(g["a"], g["b"])) for g in got)
     chars = spark.createDataFrame([("é", "e"), ("🙂x", "x")], "a string, b string").select(edit.char_edits(F.col("a"), F.col("b")).alias("n")).collect()
     assert [c["n"] for c in chars] == [1, 1]
 
 
-def test_edits_beyond_the_symbols(spark):
-    n = len(edit.SYMBOLS)
+def test_edits_of_many_distinct_words(spark):
+    n = 7000
     words = [f"w{i}" for i in range(n + 200)]
-    rows = [
-        (0, words, words[:n] + [f"x{i}" for i in range(150)], 200),
-        (1, words, words[:-7], 7),
-        (2, words[: n - 1], [*words[: n - 2], "x", "y"], 2),  # one distinct word more than symbols
-        (3, ["a", "b"], ["a"], 1),
-        (4, [], [], 0),
-        (5, None, ["a"], None),
-    ]
+    rows = [(0, words, words[:n] + [f"x{i}" for i in range(150)], 200), (1, words, words[:-7], 7), (2, words, words[500:] + words[:500], 1000), (3, ["a", "b"], ["a"], 1), (4, [], [], 0), (5, None, ["a"], None)]
     df = spark.createDataFrame(rows, "i int, r array<string>, h array<string>, want int")
     got = metrics.with_edits(df, F.col("r"), F.col("h")).select("i", "edits", "want").collect()
     assert len(got) == len(rows) and [g for g in got if g["edits"] != g["want"]] == []
 
 
+def test_canonicalize_keeps_repeated_rows(spark):
+    rows = [(1, "g", ["Ab", "x"]), (1, "g", ["ab"]), (1, "g", ["ab"]), (2, "h", ["Ab"]), (3, "g", []), (4, None, ["AB"])]
+    df = spark.createDataFrame(rows, "k int, g string, w array<string>")
+    lex = spark.createDataFrame([("g", "ab", "aB")], "g string, folded string, surface string")
+    want = sorted([(1, ("aB", "x"), True), (1, ("aB",), True), (1, ("aB",), True), (2, ("Ab",), False), (3, (), False), (4, ("AB",), False)])
+    bound = lexicon.BROADCAST_ROWS
+    for rows_held in (bound, 0):
+        lexicon.BROADCAST_ROWS = rows_held
+        try:
+            got = lexicon.canonicalize(df, lex, "k", "g", "w", F.lower)
+            assert sorted((r["k"], tuple(r["words"]), r["changed"]) for r in got.collect()) == want
+            assert tuple(lexicon.changed_rows(got).first()) == (6, 3)
+        finally:
+            lexicon.BROADCAST_ROWS = bound
+
+
 def scored(spark, pairs):
     df = spark.createDataFrame(pairs, "g string, r string, h string")
     ref, hyp = text.tokens(text.normalize_scoring(F.col("r"))), text.tokens(text.normalize_scoring(F.col("h")))
@@ -155,7 +165,7 @@ def test_vote(spark):
 
 def slow_vote(systems, weights):
     pivot = systems[0]
-    slots = [pivot] + [edit.align(pivot, s) for s in systems[1:]]
+    slots = [pivot] + [edit.aligned_words(pivot, s) for s in systems[1:]]
     out = []
     for p in range(len(pivot)):
         votes = {}
