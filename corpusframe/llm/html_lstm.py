@@ -184,6 +184,9 @@ AROUND = {
 }
 CONTENT = ["article", "div.article", "div.content", "main", "div#content", "section.post", "div.entry-content", "div.post-body", "main article", "div.main div.story", "article div.body", "div", "div#main", "div.text", "section"]
 SAYINGS = "we use cookies|subscribe to our newsletter|all rights reserved|advertisement|sponsored content|share this|read more|log in|sign up|privacy policy|terms of use|accept all|related articles|leave a reply|posted by|contact us|follow us|menu|home|search|about|copyright".split("|")
+#: Words of plain English prose, and names that say nothing about what they wrap.
+PLAIN = "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if will each about how up out them then many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know river house garden night morning letter city train bread music history weather children street mountain question answer winter bridge market".split()
+UTILITY = ["overflow-hidden", "mx-auto", "col-md-8", "hentry", "is-visible", "container-fluid", "md:flex", "p-4", "has-sidebar", "js-loaded", "lang-en", "hidden-xs", "clearfix"]
 
 
 def made_page(r: random.Random) -> tuple[str, list[str]]:
@@ -193,6 +196,9 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
     # some pages are poor writing: marks between or behind words, capitals, one word again and again
     odd = r.choice([""] * 6 + ["|", "mark", "caps", "same"])
     marks = [r.choice("*#$%&@~+=") * r.randint(1, 4) for _ in range(4)]
+    if r.random() < 0.45:
+        vocab = PLAIN if r.random() < 0.7 else PLAIN + vocab
+    bare = r.random() < 0.35  # little or nothing stands round the main text
 
     def text(lo: int, hi: int) -> str:
         words = [r.choice(vocab) + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(lo, hi))]
@@ -209,7 +215,7 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
         for s in reversed(spec.split()):
             tag, _, name = s.replace("#", ".#").partition(".")
             name = name.replace(".#", "#")
-            attr = "" if not name else f' id="{name[1:]}"' if name[0] == "#" else f' class="{name}{r.choice(["", "", " clearfix", " wrap", " x" + str(r.randint(1, 99))])}"'
+            attr = (f' class="{r.choice(UTILITY)}"' if r.random() < 0.15 else "") if not name else f' id="{name[1:]}"' if name[0] == "#" else f' class="{name}{r.choice(["", "", " clearfix", " wrap", " x" + str(r.randint(1, 99)), " " + r.choice(UTILITY)])}"'
             inner = f"<{tag}{attr}>{inner}</{tag}>"
         return inner
 
@@ -224,7 +230,7 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
         elif form == "form":
             inner = f'<label>{junk(1, 3)}</label><input name="q"><button>{junk(1, 2)}</button><p>{junk(2, 10)}</p>'
         elif form == "comments":
-            inner = f"<h3>{r.choice(['Comments', 'Responses', text(1, 2)])}</h3>" + "".join(wrap(r.choice(["div.comment", "li", "div", "article.comment"]), f"<p>{text(3, 40)}</p>") for _ in items)
+            inner = f"<h3>{r.choice(['Comments', 'Responses', text(1, 2)])}</h3>" + "".join(wrap(r.choice(["div.comment", "li", "div", "article.comment"]), r.choice(["", "", f"<b>{text(1, 2)}</b>", f"<span>{text(1, 2)} says:</span>"]) + f"<p>{text(3, 40)}</p>" + r.choice(["", "", "<a href='#'>Reply</a>"])) for _ in items)
         elif form == "mixed":
             inner = f"<h3>{junk(1, 4)}</h3>" + r.choice(["<ul>" + "".join(f"<li>{link()}</li>" for _ in items) + "</ul>", "".join(f"<p>{junk(3, 25)}</p>" for _ in items)])
         else:
@@ -246,7 +252,7 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
         return f"<{tag}>{s}</{tag}>"
 
     inner = [say(r.choice(["h1", "h1", "h2"]), text(2, 12))] if r.random() < 0.85 else []
-    short = r.random() < 0.25
+    short = r.random() < (0.5 if bare else 0.25)
     for _ in range(r.randint(1, 3) if short else r.randint(15, 90) if r.random() < 0.08 else r.randint(1, 14)):
         kind = r.random()
         if kind < 0.78:
@@ -264,11 +270,14 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
             inner.append("<table><tr>" + "".join(say("td", text(1, 5)) for _ in range(3)) + "</tr></table>")
         else:
             inner.append(around(r.choice(["ad", "share", "ad", "notice"])))
-    body = wrap(r.choice(CONTENT), "".join(inner))
-    if r.random() < 0.3:
+    body = wrap(r.choice(CONTENT[:8] if bare else CONTENT), "".join(inner))
+    if r.random() < (0.1 if bare else 0.3):
         body = wrap(r.choice(["div.container", "div#page", "div.wrapper", "div.row div.col"]), body)
-    top = [around(k) for k in ("notice", "header", "nav", "ad", "form", "side") if r.random() < 0.4]
-    end = [around(k) for k in ("share", "side", "comments", "form", "ad", "footer", "notice") if r.random() < 0.4]
+    often = 0.07 if bare else 0.4
+    top = [around(k) for k in ("notice", "header", "nav", "ad", "form", "side") if r.random() < often]
+    end = [around(k) for k in ("share", "side", "comments", "form", "ad", "footer", "notice") if r.random() < (0.35 if bare and k == "comments" else often)]
+    if bare and r.random() < 0.5:
+        return "".join(top) + body + "".join(end), kept
     page = f"<!DOCTYPE html><html><head><title>{text(2, 8)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>" + "".join(top) + body + "".join(end) + "</body></html>"
     return page, kept
 
@@ -285,7 +294,7 @@ def lesson(r: random.Random) -> tuple[np.ndarray, np.ndarray, list[Block]]:
     return features(found), y, found
 
 
-def train(rounds: int = 1500, batch: int = 32, seed: int = 5, rate: float = 4e-3) -> BlockLabeller:
+def train(rounds: int = 2000, batch: int = 32, seed: int = 5, rate: float = 4e-3) -> BlockLabeller:
     """Fit on made pages with Adam; the same seed gives the same numbers."""
     r, model = random.Random(seed), BlockLabeller.fresh(seed)
     m = {k: np.zeros_like(v) for k, v in model.w.items()}
