@@ -27,11 +27,11 @@ def build_lexicon(rows: DataFrame, group: str, words: str, order: list[str], fol
 def canonicalize(rows: DataFrame, lexicon: DataFrame, key: str, group: str, words: str, fold: Callable[[Column], Column]) -> DataFrame:
     """rows' (key, group, words) with words spelled as the lexicon says, and changed: whether any
     differs. A word without an entry stays, and so does every row, repeated ones too. A lexicon
-    counted small goes to every task and no text moves; a larger one is joined word by word."""
-    n = lexicon.count()
+    of BROADCAST_ROWS at most goes to every task and no text moves; a larger one is joined word by word."""
+    entries = lexicon.select(group, "folded", "surface").limit(BROADCAST_ROWS + 1).collect()
     rows = rows.select(key, group, words).withColumn("__folded", F.transform(words, fold))
-    if n <= BROADCAST_ROWS:
-        held = rows.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in lexicon.select(group, "folded", "surface").toLocalIterator()})
+    if len(entries) <= BROADCAST_ROWS:
+        held = rows.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in entries})
 
         @F.arrow_udf("array<string>")
         def spelled(groups: pa.Array, old: pa.Array, folded: pa.Array) -> pa.Array:
