@@ -134,3 +134,74 @@ def duration_summary(df: DataFrame, value: str) -> DataFrame:
     w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     at = coarse.join(F.broadcast(hit), "b").withColumn("upto", F.col("before") + F.sum("k").over(w)).where("upto > n div 2").agg(F.min("v").alias("upper_median"))
     return total.crossJoin(at).select("n", "min", "upper_median", "max", "mean")
+
+
+def class_counts(df: DataFrame, label: str, classes: list) -> DataFrame:
+    """(label, n) of every class, 0 for those that no row has; classes are few."""
+    spark = df.sparkSession
+    all_ = spark.createDataFrame([(c,) for c in classes], [label])
+    return F.broadcast(all_).join(df.groupBy(label).agg(F.count("*").alias("n")), label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def top_values(df: DataFrame, value: str, k: int = 3) -> DataFrame:
+    """The k most frequent values (errors, say) with their counts, ties by value; nulls and '' don't
+    count."""
+    return df.where((F.col(value) != "") & F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), value).limit(k)
+
+
+def coverage(df: DataFrame, cue: str) -> DataFrame:
+    """One row: rows, and the share of them whose cue is neither null nor ''."""
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.avg(F.coalesce(F.col(cue) != "", F.lit(False)).cast("double")), F.lit(0.0)).alias("share"))
+
+
+def hour_accounts(df: DataFrame, group: str, source: str, seconds: str, sources: list[str]) -> DataFrame:
+    """Per group the hours of each source and of all, largest total first."""
+    hours = [(F.coalesce(F.sum(F.when(F.col(source) == s, F.col(seconds))), F.lit(0.0)) / 3600).alias(f"{s}_h") for s in sources]
+    return df.groupBy(group).agg(*hours, (F.sum(seconds) / 3600).alias("total_h")).orderBy(F.col("total_h").desc(), group)
+
+
+def by_total(df: DataFrame, group: str, amount: str) -> DataFrame:
+    """Groups by falling total of amount, ties by name."""
+    return df.groupBy(group).agg(F.sum(amount).alias("total")).orderBy(F.col("total").desc(), group)
+
+
+def problems(df: DataFrame, total: str, speech: str, reason: Column, id_: str = "id") -> DataFrame:
+    """Flagged clips (their columns, ratio, reason), the lowest ratio first: clips that failed (a
+    negative duration) have ratio -1 and reason decode_fail."""
+    failed = (F.col(total) < 0) | (F.col(speech) < 0)
+    ratio = F.when(failed, -1.0).otherwise(F.when(F.col(total) > 0, F.col(speech) / F.col(total)).otherwise(0.0))
+    rows = df.withColumn("speech_ratio", ratio).withColumn("reason", F.when(failed, "decode_fail").otherwise(reason))
+    return rows.where("reason is not null").orderBy("speech_ratio", id_)
+
+
+def problem_summary(flagged: DataFrame, clips: DataFrame) -> DataFrame:
+    """(reason, n, share of all clips) and the same for all reasons together (reason null)."""
+    total = clips.agg(F.count("*").alias("__all"))
+    per = flagged.groupingSets([["reason"], []], "reason").agg(F.count("*").alias("n"))
+    return per.crossJoin(F.broadcast(total)).select("reason", "n", F.when(F.col("__all") > 0, F.col("n") / F.col("__all")).otherwise(0.0).alias("share"))
+
+
+def bank_summary(voices: DataFrame, clips: DataFrame, group: str, min_dur: float = 30.0, long: float = 60.0) -> DataFrame:
+    """Per group and for all (group null): clips, hours, voices of min_dur and of long seconds or more
+    and their minutes. clips has (group, dur), voices (group, dur)."""
+    c = clips.groupingSets([[group], []], group).agg(F.count("*").alias("clips"), (F.sum("dur") / 3600).alias("hours"))
+    ok, more = F.col("dur") >= min_dur, F.col("dur") >= long
+    v = voices.groupingSets([[group], []], group).agg(
+        F.count(F.when(more, 1)).alias("long_voices"),
+        (F.coalesce(F.sum(F.when(more, F.col("dur"))), F.lit(0.0)) / 60).alias("long_minutes"),
+        F.count(F.when(ok, 1)).alias("voices"),
+        (F.coalesce(F.sum(F.when(ok, F.col("dur"))), F.lit(0.0)) / 60).alias("minutes"),
+    )
+    v = v.withColumnRenamed(group, "__g")
+    out = c.join(v, c[group].eqNullSafe(v["__g"]), "left").drop("__g")
+    return out.fillna(0, ["long_voices", "long_minutes", "voices", "minutes"])
+
+
+def named_values(**values: Column) -> Column:
+    """One line of 'name=value' with two decimals for doubles, two spaces apart; counts as they are."""
+    parts = [F.concat(F.lit(f"{k}="), v) for k, v in values.items()]
+    return F.concat_ws("  ", *parts)
+
+
+def two_decimals(x: Column) -> Column:
+    return F.format_string("%.2f", x.cast("double"))

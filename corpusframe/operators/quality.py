@@ -47,3 +47,33 @@ def require(checks: DataFrame) -> None:
 def original_training_audio(path: Column) -> Column:
     """Is this path of original training audio, and none of the validation set?"""
     return F.contains(path, F.lit("/audio/original/")) & ~F.contains(path, F.lit("original_val"))
+
+
+MODES = ("filtered", "identity", "none")
+
+
+def chosen(rows: DataFrame, mode: str, keep: Column) -> DataFrame:
+    """The rows that a build takes: those that keep holds for, all of them, or none."""
+    if mode not in MODES:
+        raise ValueError(f"{mode} is none of {MODES}")
+    return rows if mode == "identity" else rows.where(keep if mode == "filtered" else F.lit(False))
+
+
+def unexpected_counts(df: DataFrame, group: str, expected: dict, name: str = "unexpected_counts") -> DataFrame:
+    """Groups that have another number of rows than expected, missing and surplus ones included."""
+    want = df.sparkSession.createDataFrame([(g, int(n)) for g, n in expected.items()], f"{group} {dict(df.dtypes)[group]}, m long")
+    n = df.groupBy(group).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(want), group, "full_outer").where(~F.col("n").eqNullSafe(F.col("m"))).agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
+
+
+def missing_files(rows: DataFrame, files: DataFrame, path: str, name: str = "missing_files") -> DataFrame:
+    """Rows whose path is not in a file inventory."""
+    return rows.join(files.select(path).distinct(), path, "left_anti").agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
+
+
+def metadata_checks(rows: DataFrame, clean: DataFrame, groups: list[str], prefix: str) -> DataFrame:
+    """Source metadata (audio, text, group, id) before it is used: original training audio, a known
+    group, the text's prefix, a clean counterpart (group, id), and a row of every group."""
+    own = violations(rows, original=original_training_audio(F.col("audio")), known_group=F.col("group").isin(groups), begins=F.startswith("text", F.lit(prefix)))
+    wanted = rows.sparkSession.createDataFrame([(g,) for g in groups], "group string")
+    return together(own, missing_rows(rows, clean, ["group", "id"], "no_counterpart"), missing_rows(wanted, rows, ["group"], "empty_group"))
