@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import segment_queries, select_queries, text_queries
+from . import array_queries, build_queries, file_queries, segment_queries, select_queries, text_queries
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "segment_queries", "select_queries", "text_queries"]
+__all__ = ["ORACLE", "QUERIES", "array_queries", "build_queries", "file_queries", "segment_queries", "select_queries", "text_queries"]

@@ -29,15 +29,23 @@ def json_rows(spark: SparkSession, path, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: Where a line stands: its file, the part of the file that a task reads, the line's place in it.
+ORDER = ("file", "part", "line")
+
+
+def lines_in_order(spark: SparkSession, path) -> DataFrame:
+    """(file, part, line, value) of the lines of text files that are not blank. Files are split
+    among tasks as Spark splits them; ordering by ORDER is the order of the lines."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"), "value")
+    return rows.where("trim(value) <> ''")
+
+
 def json_in_order(spark: SparkSession, path, schema: str) -> DataFrame:
-    """JSON lines with file and line, the order of rows. Each file is read as a whole: for the
-    small per-shard files of hypotheses, not for corpora."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "json")).where("trim(json) <> ''")
-    return lines.select("file", "line", F.from_json("json", schema).alias("r")).select("file", "line", "r.*")
+    """JSON lines with file, part and line, the order of rows."""
+    return lines_in_order(spark, path).select(*ORDER, F.from_json("value", schema).alias("r")).select(*ORDER, "r.*")
 
 
-def last_wins(rows: DataFrame, key: str, order: tuple[str, ...] = ("file", "line")) -> DataFrame:
+def last_wins(rows: DataFrame, key: str, order: tuple[str, ...] = ORDER) -> DataFrame:
     """One row per key, the last by order."""
     cols = [c for c in rows.columns if c not in order]
     got = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in cols if c != key]), F.struct(*order)).alias("r"))
@@ -45,7 +53,7 @@ def last_wins(rows: DataFrame, key: str, order: tuple[str, ...] = ("file", "line
 
 
 def hypotheses(spark: SparkSession, folder: str) -> DataFrame:
-    """All hypothesis rows of hyp.shard_* with file and line; a missing dataset is ''."""
+    """All hypothesis rows of hyp.shard_* with their order; a missing dataset is ''."""
     return json_in_order(spark, f"{folder}/hyp.shard_*", schemas.HYPOTHESIS).withColumn("dataset", F.coalesce("dataset", F.lit("")))
 
 
@@ -102,9 +110,8 @@ def clips(spark: SparkSession, path, root: str, layout: str) -> DataFrame:
 
 def id_values(spark: SparkSession, path) -> DataFrame:
     """Lines '<id> <value>'; the value is trimmed, '' if there is none."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "v")).where("trim(v) <> ''")
-    parts = F.split("v", " ", 2)
-    rows = rows.select("file", "line", F.get(parts, F.lit(0)).alias("id"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("value"))
+    rows, parts = lines_in_order(spark, path), F.split("value", " ", 2)
+    rows = rows.select(*ORDER, F.get(parts, F.lit(0)).alias("id"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("value"))
     return last_wins(rows, "id")
 
 
@@ -150,3 +157,85 @@ def existing(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     there = [p for p in paths if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
     return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
+#: Ways to name the corpora a build reads: folder, file prefix, where its id stands, names of splits.
+SOURCES: dict[str, dict] = {
+    "adi17": {"name": "ADI17", "id_key": "id", "splits": {"train": "train", "dev": "dev", "test": "test"}},
+    "adi20": {"name": "ADI20", "id_key": None, "splits": {"train": "train", "dev": "validation", "test": "test"}},
+}
+
+
+def source(name: str, settings: Mapping | None = None) -> dict:
+    """A corpus's entry of SOURCES with a run's settings over it; an unknown name is an error."""
+    if name not in SOURCES:
+        raise KeyError(f"{name} is none of {sorted(SOURCES)}")
+    return SOURCES[name] | dict(settings or {})
+
+
+def id_dialect(rows: DataFrame, entry: Mapping, split: str, label: str = "dialect", audio: str = "audio") -> DataFrame:
+    """(ID, dialect) of a corpus's rows (label, audio path, index and its id column, if it has one);
+    no sample is read."""
+    own = F.col(entry["id_key"]) if entry.get("id_key") else F.lit(None).cast("string")
+    return rows.select(clip_id(own, F.col(f"{audio}.path"), entry["splits"].get(split, split), F.col("index")).alias("ID"), F.col(label).alias("dialect"))
+
+
+def adi17(rows: DataFrame, split: str = "train") -> DataFrame:
+    return id_dialect(rows, source("adi17"), split)
+
+
+def adi20(rows: DataFrame, split: str = "train") -> DataFrame:
+    return id_dialect(rows, source("adi20"), split)
+
+
+def embeddings(spark: SparkSession, matrix, meta) -> DataFrame:
+    """(id, ..., embedding): rows of a matrix table (row, embedding) with the entry of the same place
+    of a JSON array of metadata. Different numbers of rows are an error when the table is read."""
+    whole = spark.read.text(meta, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<struct<id:string,dur:double,country:string>>").alias("all"))
+    entries = whole.select(F.posexplode("all").alias("row", "m")).select("row", "m.*")
+    met = spark.read.parquet(matrix).select("row", "embedding").join(entries, "row", "full_outer")
+    guard = F.when(F.col("embedding").isNull() | F.col("id").isNull(), F.raise_error(F.lit("a matrix row or a metadata entry stands alone")).cast("boolean")).otherwise(True)
+    return met.where(guard).select("id", "dur", "country", "embedding")
+
+
+def bank(spark: SparkSession, path: str) -> DataFrame:
+    """The voices of a bank file (a JSON array); none if there is no file."""
+    from .scratch import exists
+
+    return spark.read.option("multiLine", True).schema(schemas.VOICE).json(path) if exists(spark, path) else spark.createDataFrame([], schemas.VOICE)
+
+
+def augmentation_table(spark: SparkSession, root: str, path: str, extension: str = "wav", largest: float | None = None) -> DataFrame:
+    """(ID, duration, wav, wav_format) of a folder's files, written as CSV once: where the table is
+    there already it is only read. Files longer than `largest` seconds are listed in parts of that
+    length (start, stop). A folder without such files is an error."""
+    from ..functions.signal import wav_seconds
+    from .scratch import exists
+
+    schema = "ID STRING, duration DOUBLE, wav STRING, wav_format STRING, start DOUBLE, stop DOUBLE"
+    if not exists(spark, path):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
+        rows = found.select("path", wav_seconds("content").alias("all"))
+        parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / largest).cast("int") - 1, F.lit(0))) if largest else F.array(F.lit(0))
+        rows = rows.select("path", "all", F.explode(parts).alias("k"))
+        start = F.col("k") * (largest or 0.0)
+        stop = F.least(start + largest, F.col("all")) if largest else F.col("all")
+        rows = rows.select(F.concat(stem_simple("path"), F.lit("_"), F.col("k").cast("string")).alias("ID"), F.round(stop - start, 6).alias("duration"), F.col("path").alias("wav"), F.lit(extension).alias("wav_format"), start.alias("start"), stop.alias("stop"))
+        if rows.isEmpty():
+            raise NoInput(f"{root}/*.{extension}")
+        rows.write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def cached_durations(spark: SparkSession, listed: DataFrame, clips_: DataFrame, audio: str, path: str) -> DataFrame:
+    """(ID, duration) of a manifest's listed clips and of all others, which are measured from their
+    headers once and kept as CSV; a clip that can't be measured is kept with -1 there and left out
+    here. clips_ holds (ID, {bytes, path})."""
+    from ..functions.signal import wav_seconds
+    from .scratch import exists
+
+    if not exists(spark, path):
+        todo = clips_.join(listed.select("ID").distinct(), "ID", "left_anti")
+        todo.select("ID", F.round(wav_seconds(F.col(f"{audio}.bytes")), 3).alias("duration")).write.option("header", True).csv(path)
+    measured = spark.read.option("header", True).schema(schemas.DURATION).csv(path).where("duration > 0")
+    return listed.select("ID", "duration").join(measured.select("ID"), "ID", "left_anti").unionByName(measured)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import zipfile
 from collections.abc import Iterable
@@ -32,17 +33,21 @@ def write_segments(df: DataFrame, path: str, meta: dict) -> None:
     put_text(df, f"{path}.meta.json", json.dumps(meta, ensure_ascii=False, indent=1, sort_keys=True))
 
 
-def put_text(df: DataFrame, path: str, text: str) -> None:
-    """A small text file on the cluster's file system."""
+def put_bytes(df: DataFrame, path: str, raw: bytes) -> None:
+    """A small file on the cluster's file system."""
     spark = df.sparkSession
     h = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = h.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(h, True)
     try:
-        out.write(text.encode("utf-8"))
+        out.write(raw)
     finally:
         out.close()
 
 
+def put_text(df: DataFrame, path: str, text: str) -> None:
+    put_bytes(df, path, text.encode("utf-8"))
+
+
 def write_report(df: DataFrame, path: str, value: Column) -> None:
     """One row's struct or map as a JSON file."""
     row = df.select(F.to_json(value, {"ignoreNullFields": "false"}).alias("j")).first()
@@ -107,3 +112,131 @@ def export_audio(df: DataFrame, name: str, blob: str, root: str, encode=None) ->
             yield pd.DataFrame(out, columns=["name", "written", "error"])
 
     return df.select(name, blob).mapInPandas(run, "name string, written boolean, error string")
+
+
+def write_once(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
+    """df written where nothing is yet, and read back; what is there already is only read."""
+    from .scratch import exists
+
+    if not exists(df.sparkSession, path):
+        df.write.format(fmt).option("header", True).save(path)
+    return df.sparkSession.read.format(fmt).option("header", True).schema(df.schema).load(path)
+
+
+def write_problems(flagged: DataFrame, path: str) -> None:
+    """A problem list as CSV, ascending by ratio: seconds with three decimals, the ratio with four."""
+    number = lambda c, n: F.format_string(f"%.{n}f", F.col(c).cast("double")).alias(c)
+    rows = flagged.orderBy("speech_ratio", "id").select("id", "split", "dialect", number("dur_s", 3), number("speech_s", 3), number("speech_ratio", 4), "reason")
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_bank(voices: DataFrame, summary: DataFrame, settings: dict, path: str) -> None:
+    """Voices as JSON lines in a folder per group, and summary.json: the settings, the totals (the row
+    without a group) and a number of voices per group."""
+    voices.write.mode("overwrite").partitionBy("country").json(f"{path}/bank")
+    rows = [r.asDict() for r in summary.collect()]  # one row a group
+    group = next(c for c in summary.columns if c not in ("clips", "hours", "long_voices", "long_minutes", "voices", "minutes"))
+    said = settings | {"totals": {k: v for r in rows if r[group] is None for k, v in r.items() if k != group}, "per_dialect": {r[group]: {"voices": r["voices"], "long_voices": r["long_voices"]} for r in rows if r[group] is not None}}
+    put_text(voices, f"{path}/bank_summary.json", json.dumps(said, ensure_ascii=False, indent=1, sort_keys=True))
+
+
+def compacted(spark, log: str, schema: str, key: str, files: DataFrame, measure: Column, duration: str, path: str) -> DataFrame:
+    """The consolidated table of an append-only log: the files that are there (key, and what measure
+    needs) with the log's last readable row's duration, else a measured one; written to path."""
+    from ..operators.joins import rebuilt_metadata
+    from .manifests import readable_rows
+
+    rows = rebuilt_metadata(files, readable_rows(spark, log, schema, key), key, duration, measure)
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return rows
+
+
+def export_training(shards: DataFrame, name: str, audio_root: str, manifest: str, prefix: str, encode=None) -> DataFrame:
+    """A corpus's clips as files under <audio_root>/<name>, and their manifest rows (audio, text,
+    dialect) as JSON lines; gives the errors. shards holds (id, audio {bytes, path}, transcription)."""
+    clips = shards.select(F.concat(F.lit(f"{name}/"), "id", F.lit(".flac")).alias("file"), F.col("audio.bytes").alias("blob"), "transcription")
+    made = export_audio(clips, "file", "blob", audio_root, encode)
+    rows = clips.select("file", "transcription").join(made.where("error is null").select(F.col("name").alias("file")), "file", "left_semi")
+    write_json(rows.select(F.concat(F.lit(f"{audio_root}/"), "file").alias("audio"), F.concat(F.lit(prefix), "transcription").alias("text"), F.lit(name).alias("dialect")), manifest, "overwrite")
+    return made.where("error is not null")
+
+
+def error_report(pairs: DataFrame, ref: str, hyp: str, group: str, path: str, training: bool = True) -> DataFrame:
+    """The rates of metrics.corpus_rate per group and pooled, under the training normalizer (or the
+    scoring one), written as <path>/wer_report.json as well."""
+    from ..functions.text import normalize_scoring, normalize_training, tokens
+    from ..operators.metrics import corpus_rate, with_edits
+
+    rule = normalize_training if training else normalize_scoring
+    rates = corpus_rate(with_edits(pairs, tokens(rule(F.col(ref))), tokens(rule(F.col(hyp)))), group)
+    rows = {r[group] if r["pooled"] == 0 else "overall": {"wer": r["rate"], "n": r["n"], "words": r["units"]} for r in rates.collect()}
+    put_text(pairs, f"{path}/wer_report.json", json.dumps(rows, ensure_ascii=False, indent=1, sort_keys=True))
+    return rates
+
+
+def write_predictions(logits: DataFrame, order: str, id_: str, scores: str, classes: list[str], columns: list[int], scale: float, seconds: str, path: str) -> dict:
+    """A blind prediction's files under path: logits.tsv (six places, in the submission's column
+    order), predictions.tsv, predictions.csv, submission.zip of both, and summary.json. Rows keep
+    `order`; lines stream to the driver one partition at a time, as the files are single ones."""
+    from ..functions.arrays import argmax, permuted
+    from ..operators.metrics import class_counts, duration_summary
+
+    said = permuted(F.col(scores).cast("array<double>"), columns, scale)
+    rows = logits.select(order, F.col(id_).cast("string").alias("idx"), F.col(seconds).alias("seconds"), said.alias("s"))
+    rows = rows.withColumn("best", argmax(F.col("s"))).withColumn("line", tab_line([six_places(F.get("s", F.lit(i))) for i in range(len(columns))]))
+    texts = {"logits.tsv": [], "predictions.tsv": [], "predictions.csv": ["idx,dialect"]}
+    for r in rows.orderBy(order).select("idx", "best", "line").toLocalIterator():
+        texts["logits.tsv"].append(r["line"])
+        texts["predictions.tsv"].append(str(r["best"]))
+        texts["predictions.csv"].append(f"{r['idx']},{classes[r['best']]}")
+    files = {name: "".join(f"{x}\n" for x in lines) for name, lines in texts.items()}
+    for name, text in files.items():
+        put_text(logits, f"{path}/{name}", text)
+    put_bytes(logits, f"{path}/submission.zip", zipped([(n, files[n]) for n in ("logits.tsv", "predictions.tsv")]))
+    d = duration_summary(rows, "seconds").first()
+    named = rows.select(F.get(F.array(*map(F.lit, classes)), F.col("best")).alias("dialect"))
+    counts = {r["dialect"]: r["n"] for r in class_counts(named, "dialect", classes).collect()}
+    summary = {"n": d["n"], "duration_s": {"min": round(d["min"], 2), "median": round(d["upper_median"], 2), "max": round(d["max"], 2), "mean": round(d["mean"], 2)}, "predicted_counts": counts}
+    put_text(logits, f"{path}/summary.json", json.dumps(summary, ensure_ascii=False, indent=2))
+    return summary
+
+
+def write_arrow_cache(df: DataFrame, path: str, dataset: str, split: str, shards: int) -> DataFrame:
+    """df as `shards` Arrow stream files <path>/<dataset>-<split>-00000-of-0000N.arrow; gives (file, rows).
+    A file gets its name when it is complete."""
+    import pyarrow as pa
+
+    schema = df.schema
+
+    def run(batches):
+        from pyarrow import ipc
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        fs, base = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.create_dir(base, recursive=True)
+        name, n, out = f"{base}/{dataset}-{split}-{k:05d}-of-{shards:05d}.arrow", 0, None
+        with fs.open_output_stream(f"{name}.part") as f:
+            for b in batches:
+                out = out or ipc.new_stream(f, b.schema)
+                out.write_batch(b)
+                n += b.num_rows
+            if out:
+                out.close()
+        if out:
+            fs.move(f"{name}.part", name)
+        else:
+            fs.delete_file(f"{name}.part")
+        yield pa.RecordBatch.from_pydict({"file": [name], "rows": [n]})
+
+    return df.repartition(shards).select(*schema.names).mapInArrow(run, "file string, rows long").where("rows > 0")
+
+
+def zipped(parts: Iterable[tuple[str, str]]) -> bytes:
+    """A ZIP of (name, text) with the names at its root."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts:
+            z.writestr(name, text)
+    return held.getvalue()
