@@ -198,7 +198,8 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
     marks = [r.choice("*#$%&@~+=") * r.randint(1, 4) for _ in range(4)]
     if r.random() < 0.45:
         vocab = PLAIN if r.random() < 0.7 else PLAIN + vocab
-    bare = r.random() < 0.35  # little or nothing stands round the main text
+    bare = r.random() < 0.4  # little or nothing stands round the main text
+    para = "div" if r.random() < (0.25 if bare else 0.04) else "p"
 
     def text(lo: int, hi: int) -> str:
         words = [r.choice(vocab) + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(lo, hi))]
@@ -251,12 +252,12 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
             s = f"<a href='/r'>{a}</a> {b}"
         return f"<{tag}>{s}</{tag}>"
 
-    inner = [say(r.choice(["h1", "h1", "h2"]), text(2, 12))] if r.random() < 0.85 else []
+    inner = [say(r.choice(["h1", "h1", "h2"]), text(2, 12))] if r.random() < (0.65 if bare else 0.85) else []
     short = r.random() < (0.5 if bare else 0.25)
     for _ in range(r.randint(1, 3) if short else r.randint(15, 90) if r.random() < 0.08 else r.randint(1, 14)):
         kind = r.random()
         if kind < 0.78:
-            inner.append(say("p", text(1, 12) if r.random() < 0.3 else text(8, 70)))
+            inner.append(say(para, text(1, 12) if r.random() < 0.3 else text(8, 70)))
         elif kind < 0.84:
             inner.append(say(r.choice(["h2", "h3"]), text(1, 7)))
         elif kind < 0.89:
@@ -270,7 +271,7 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
             inner.append("<table><tr>" + "".join(say("td", text(1, 5)) for _ in range(3)) + "</tr></table>")
         else:
             inner.append(around(r.choice(["ad", "share", "ad", "notice"])))
-    body = wrap(r.choice(CONTENT[:8] if bare else CONTENT), "".join(inner))
+    body = wrap(r.choice([*CONTENT[:8], "", "", "", "div", "main"] if bare else [*CONTENT, "main", "main", "article", "article"]), "".join(inner))
     if r.random() < (0.1 if bare else 0.3):
         body = wrap(r.choice(["div.container", "div#page", "div.wrapper", "div.row div.col"]), body)
     often = 0.07 if bare else 0.4
@@ -294,7 +295,7 @@ def lesson(r: random.Random) -> tuple[np.ndarray, np.ndarray, list[Block]]:
     return features(found), y, found
 
 
-def train(rounds: int = 2000, batch: int = 32, seed: int = 5, rate: float = 4e-3) -> BlockLabeller:
+def train(rounds: int = 3000, batch: int = 32, seed: int = 5, rate: float = 4e-3) -> BlockLabeller:
     """Fit on made pages with Adam; the same seed gives the same numbers."""
     r, model = random.Random(seed), BlockLabeller.fresh(seed)
     m = {k: np.zeros_like(v) for k, v in model.w.items()}

@@ -129,6 +129,32 @@ def test_pages_never_seen():
     assert miss < 0.02 * hit and false < 0.02 * hit
 
 
+#: Pages written by hand, with the text a reader would take for the article.
+GOLD = [
+    ("<article><p>The ferry leaves the harbour at six every morning and returns late in the evening.</p><p>Most of the passengers are students who live on the island.</p></article>",
+     ["The ferry leaves the harbour at six every morning and returns late in the evening.", "Most of the passengers are students who live on the island."]),
+    ("<article class='overflow-hidden'><h1>Winter on the island</h1><p>The ferry leaves the harbour at six every morning and returns late in the evening.</p><p>Most of the passengers are students who live on the island.</p><p>In January the sea freezes and the crossing takes twice as long.</p></article><div class='comments'><h3>2 comments</h3><div class='comment'><p>I took this ferry once, great view.</p></div><div class='comment'><p>Too cold for me!</p></div></div>",
+     ["Winter on the island", "The ferry leaves the harbour at six every morning and returns late in the evening.", "Most of the passengers are students who live on the island.", "In January the sea freezes and the crossing takes twice as long."]),
+    ("<html><body><div class='mx-auto'><nav class='navbar'><ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li></ul></nav><main class='hidden-xs p-4'><h1>Bread without yeast</h1><p>Mix the flour with water and let it stand for a day.</p><p>Bake it in a hot oven until the crust is dark.</p></main><footer>&copy; 2020 The Baker. All rights reserved.</footer></div></body></html>",
+     ["Bread without yeast", "Mix the flour with water and let it stand for a day.", "Bake it in a hot oven until the crust is dark."]),
+    ("<html><body><header class='site-header'><h1><a href='/'>My Blog</a></h1></header><div id='content'><article class='post hentry'><h2>The last steam line</h2><div class='entry-content'><p>It was raining when we reached the station.</p><p>The driver told us that the <b>line</b> would close in the spring.</p><ul><li>Three engines are left.</li><li>Two of them still run.</li></ul></div><div class='share'><a href='#'>Tweet</a></div></article><section id='comments'><h3>Leave a reply</h3><p>Anna: lovely story, thank you for writing it down!</p></section></div><aside id='sidebar'><h3>Recent posts</h3><ul><li><a href='/a'>A bridge in the north</a></li></ul></aside><footer>Powered by a press</footer></body></html>",
+     ["The last steam line", "It was raining when we reached the station.", "The driver told us that the line would close in the spring.", "Three engines are left.", "Two of them still run."]),
+    ("<body><div class='cookie-banner'><p>We use cookies to improve your experience. Accept all</p></div><div class='wrapper'><div class='main'><div class='story'><h1>Council votes on new bridge</h1><p>The city council voted on Tuesday to build a second bridge over the river.</p><div class='ad'><p>Advertisement: buy two lamps, get one free.</p></div><p>Work is to begin next year and will cost forty million.</p><blockquote><p>We have waited for this for twenty years, said the mayor.</p></blockquote></div></div><div class='related'><h3>Related articles</h3><p><a href='/1'>Old bridge closed</a></p></div></div></body>",
+     ["Council votes on new bridge", "The city council voted on Tuesday to build a second bridge over the river.", "Work is to begin next year and will cost forty million.", "We have waited for this for twenty years, said the mayor."]),
+    ("<article><h1>Heights</h1><p>These are the two highest hills of the county, measured last summer.</p><table><tr><td>Red Hill</td><td>412 m</td></tr></table><pre>north = 3</pre></article>",
+     ["Heights", "These are the two highest hills of the county, measured last summer.", "Red Hill", "412 m", "north = 3"]),
+    ("<article><p>A short note.</p></article>", ["A short note."]),
+    ("<body><form><label>Name</label><input><button>Send</button></form></body>", []),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), GOLD)
+def test_pages_written_by_hand(page, want):
+    found = blocks(page)
+    p = html_lstm.BlockLabeller.load().label([found])[0]
+    assert [b.text for b, x in zip(found, p, strict=True) if x >= html_lstm.THRESHOLD] == want
+
+
 def test_training_learns():
     m = html_lstm.train(rounds=60, batch=12)
     r = random.Random(1)
