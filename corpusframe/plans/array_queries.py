@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import arrays, signal
 from ..operators import segments
 from .file_queries import _waves
-from .registry import query
+from .registry import query, sql_tokens
 
 E = "list_transform(embedding, lambda x: x::DOUBLE)"
 
@@ -106,14 +105,10 @@ def q106_cut_sources(t):
     return cut.unionByName(said)
 
 
-@F.udf(T.ArrayType(T.IntegerType()))
-def _target(text: str):
-    return segments.alignment_target(text or "", {c: k for k, c in enumerate("|abcdefghijklmnopqrstuvwxyz")})[0]
-
-
-@query("""
-WITH w AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ' '), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> '') AS ws FROM conversations)
+@query(f"""
+WITH w AS (SELECT conv_id, turn, list_filter(list_transform({sql_tokens('text')}, lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> '') AS ws FROM conversations)
 SELECT conv_id, turn, list_transform(string_split(array_to_string(ws, '|'), ''), lambda c: CASE WHEN c = '|' THEN 0 ELSE ascii(c) - 96 END) AS target FROM w WHERE len(ws) > 0
 """)
 def q107_alignment_target(t):
-    return t("conversations").select("conv_id", "turn", _target("text").alias("target")).where("size(target) > 0")
+    ids = segments.alignment_ids({c: k for k, c in enumerate("|abcdefghijklmnopqrstuvwxyz")})
+    return t("conversations").select("conv_id", "turn", ids("text").alias("target")).where("size(target) > 0")

@@ -170,8 +170,8 @@ def q87_sharded_head(t):
 
 
 @query(f"""
-WITH {SPANS}, c AS (SELECT conv_id || ':' || turn AS utt, i, j, nw, (dur >= 0.5::DOUBLE)::INT + (dur >= 0.6::DOUBLE)::INT + (dur >= 0.7::DOUBLE)::INT + (dur >= 0.8::DOUBLE)::INT + (dur >= 0.9::DOUBLE)::INT AS bin, gap FROM spans)
-SELECT utt, i, j, row_number() OVER (PARTITION BY nw, bin ORDER BY least(gap, 0.5) DESC, j - i DESC, utt, i, j) AS place FROM c
+WITH {SPANS}, cand AS (SELECT conv_id || ':' || turn AS utt, i, j, nw, (dur >= 0.5::DOUBLE)::INT + (dur >= 0.6::DOUBLE)::INT + (dur >= 0.7::DOUBLE)::INT + (dur >= 0.8::DOUBLE)::INT + (dur >= 0.9::DOUBLE)::INT AS bin, gap FROM spans)
+SELECT utt, i, j, row_number() OVER (PARTITION BY nw, bin ORDER BY least(gap, 0.5) DESC, j - i DESC, utt, i, j) AS place FROM cand
 """)
 def q88_candidate_order(t):
     s = spans_of(t).select(F.concat_ws(":", "conv_id", "turn").alias("utt"), "i", "j", "nw", "bin", "gap", (F.col("j") - F.col("i")).alias("score"))
@@ -276,6 +276,8 @@ def q97_metadata_checks(t):
     return quality.together(checks, quality.unexpected_counts(d, "lang", {"zz": 1}))
 
 
+LETTERS_ONLY = r"[^ء-ي\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+BRANCH = r"[,.،;؛@#؟?!&$ـ_\[\]()]+ *"
 ARABIC = "ابتثجحخدذرزسشصضطظعغفقكلمنه"
 
 
@@ -283,8 +285,8 @@ ARABIC = "ابتثجحخدذرزسشصضطظعغفقكلمنه"
 WITH a AS (SELECT doc_id, replace(replace(replace(regexp_replace(text, '<[\\p{{L}}\\p{{N}}\\p{{M}}_]+>', '', 'g'), '< ⁇ n ⁇ >', ''), '<', ' <'), '>', '> ') AS x FROM documents),
 b AS (SELECT doc_id, translate(array_to_string(list_filter(string_split(replace(x, '▁', ' '), ' '), lambda w: NOT (w LIKE '<%' OR w LIKE '%>')), ' '), 'iIEBC', 'jgGGG') AS x FROM a),
 l AS (SELECT doc_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{ARABIC}') AS x FROM documents)
-SELECT doc_id, {sql_normalized("regexp_replace(b.x, '[,.،;؛@#؟?!&$ـ_\\[\\]()]+ *', ' ', 'g')").replace("regexp_replace(regexp_replace(regexp_replace(", "regexp_replace(regexp_replace(regexp_replace(", 1)} AS asmo,
-array_to_string({sql_tokens("regexp_replace(regexp_replace(l.x, '[ً-ْٰـ]', '', 'g'), '[^ء-ي\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]', ' ', 'g')")}, ' ') AS letters FROM b JOIN l USING (doc_id)
+SELECT doc_id, {sql_normalized(f"regexp_replace(b.x, '{BRANCH}', ' ', 'g')")} AS asmo,
+array_to_string({sql_tokens(f"regexp_replace(regexp_replace(l.x, '[ً-ْٰـ]', '', 'g'), '{LETTERS_ONLY}', ' ', 'g')")}, ' ') AS letters FROM b JOIN l USING (doc_id)
 """)
 def q98_letter_rules(t):
     """The substitution branch of the training rule, under the scoring rule as well, and letters only."""

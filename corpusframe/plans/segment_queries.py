@@ -45,8 +45,9 @@ def timed_turns(t):
     c = t("conversations").select("conv_id", "turn", F.filter(F.split("text", "(?U)[\\s\\x1c-\\x1f]+"), lambda x: x != "").alias("ws"))
     cost = F.transform("ws", lambda w, i: 60 + 20 * F.char_length(w) + 20 * ((i * 7 + F.col("turn")) % 4))
     c = c.withColumn("cost", cost)
-    begin = lambda i: F.aggregate(F.slice("cost", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x)
-    words = F.transform("ws", lambda w, i: F.struct(w.alias("w"), (begin(i) / 1000).alias("start"), ((begin(i) + 60 + 20 * F.char_length(w)) / 1000).alias("end"), F.lit(True).alias("aligned")))
+    sums = F.aggregate("cost", F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    c = c.withColumn("begin", sums)
+    words = F.transform("ws", lambda w, i: F.struct(w.alias("w"), (F.get("begin", i) / 1000).alias("start"), ((F.get("begin", i) + 60 + 20 * F.char_length(w)) / 1000).alias("end"), F.lit(True).alias("aligned")))
     return c.select("conv_id", "turn", words.alias("words")).withColumn("dur_clip", F.coalesce(F.element_at("words", -1)["end"] + 0.2, F.lit(0.0)))
 
 
@@ -90,9 +91,10 @@ def q38_boundary_filter(t):
 
 @query(f"""
 WITH {SPANS}
-SELECT a.conv_id, a.turn, a.i, a.j, b.i AS k, b.j AS m, round((least(a.j, b.j) - b.i + 1) / (a.nw + b.nw - (least(a.j, b.j) - b.i + 1)), 9) AS share
-FROM spans a JOIN spans b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.i BETWEEN a.i AND a.j AND (a.i, a.j) < (b.i, b.j)
-WHERE (least(a.j, b.j) - b.i + 1) / (a.nw + b.nw - (least(a.j, b.j) - b.i + 1)) > 0.65
+SELECT conv_id, turn, i, j, k, m, round(common / (nw + w - common), 9) AS share FROM (
+SELECT conv_id, turn, a.i, a.j, a.nw, k, b.j AS m, b.nw AS w, least(a.j, b.j) - k + 1 AS common
+FROM (SELECT conv_id, turn, i, j, nw, unnest(range(i, j + 1)) AS k FROM spans) a JOIN (SELECT conv_id, turn, i AS k, j, nw FROM spans) b USING (conv_id, turn, k) WHERE a.i < k OR a.j < b.j)
+WHERE common / (nw + w - common) > 0.65
 """)
 def q39_span_overlaps(t):
     """Overlapping spans of a turn that share too many words; a span meets the few that start in it."""
