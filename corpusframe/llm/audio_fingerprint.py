@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small, table
 
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
-#: Recordings align if so few bits differ over so many codes, found by so many equal codes.
+#: Recordings align if so few bits differ over so many codes, found by so many codes equal
+#: but for one bit.
 BIT_ERROR, OVERLAP, HITS = 0.15, 16, 2
 
 
@@ -157,36 +159,50 @@ def fingerprints(recordings: DataFrame, id_col: str, source_col: str, decode: Ca
     return base.mapInArrow(run, "rec_id long, codes array<int>")
 
 
-def align(prints: DataFrame, is_query: Column, bit_error: float = BIT_ERROR, overlap: int = OVERLAP, hits: int = HITS) -> DataFrame:
+@lru_cache(maxsize=8)
+def silence(s: Settings) -> int:
+    """The code of a window in which nothing sounds."""
+    return int(codes(np.zeros(s.frame + s.hop * (s.window + len(SMOOTH))), s)[0])
+
+
+def align(prints: DataFrame, is_query: Column, bit_error: float = BIT_ERROR, overlap: int = OVERLAP, hits: int = HITS, silent: int | None = None, is_indexed: Column | None = None) -> DataFrame:
     """One row per row of prints: rec_id, class_id, n_codes, is_query, n_matches, match_id,
     offset, error.
 
     Recordings of equal codes are one class, of which only the smallest id is compared. Codes of
     the classes that hold a query are joined with those of all classes; for each pair a histogram
-    of place differences names the offset, where at least `hits` codes are equal, and the bits
-    that differ over the overlap decide. n_matches counts other classes that align; match_id is
+    of place differences names the offsets where at least `hits` codes are equal but for one bit (a
+    lookup's codes are asked for with each bit turned), and at each of them the bits that differ over
+    the overlap decide. The code `silent` says nothing about a recording:
+    it finds no pairs, but counts in overlaps. is_indexed says which rows may be found; by default
+    all. n_matches counts other classes that align; match_id is
     the best of them (fewest errors, then smallest id), offset its place less the query's. Rows
     that are no query, or have no codes or no match, have 0 and nulls there. Every row is indexed
-    and nothing is capped."""
+    and nothing is capped. Recordings of any length are taken whole; repeated rows give repeated
+    results, an empty table none."""
     digest = F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)
-    rows = materialize(prints.withColumn("digest", digest).withColumn("q", is_query))
-    groups = rows.where("size(codes) > 0").groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.max("q").alias("asked"), F.count("*").alias("n"))
+    rows = materialize(prints.withColumn("digest", digest).withColumns({"q": is_query, "ix": F.lit(True) if is_indexed is None else is_indexed}))
+    groups = rows.where("size(codes) > 0").groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.max("q").alias("asked"), F.max("ix").alias("listed"), F.count("*").alias("n"))
     groups = materialize(groups.where("class_id is not null"))
     n_groups = groups.count()
-    reps = materialize(rows.join(small(groups, n_groups), "digest").where("rec_id = class_id").select("class_id", "asked", "codes").dropDuplicates(["class_id"]))
-    placed = reps.select("class_id", "asked", F.posexplode("codes").alias("at", "code"))
+    reps = materialize(rows.join(small(groups, n_groups), "digest").where("rec_id = class_id").select("class_id", "asked", "listed", "codes").dropDuplicates(["class_id"]))
+    placed = reps.select("class_id", "asked", "listed", F.posexplode("codes").alias("at", "code"))
+    if silent is not None:
+        placed = placed.where(F.col("code") != silent)
     asked = placed.where("asked").select(F.col("class_id").alias("a"), F.col("at").alias("i"), "code")
-    found = asked.join(placed.select(F.col("class_id").alias("b"), F.col("at").alias("j"), "code"), "code").where("a <> b")
+    masks = [0, *(1 << k for k in range(31)), -(1 << 31)]
+    asked = asked.select("a", "i", "code", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("a", "i", F.col("code").bitwiseXOR(F.col("mask")).alias("code"))
+    found = asked.join(placed.where("listed").select(F.col("class_id").alias("b"), F.col("at").alias("j"), "code"), "code").where("a <> b")
     offsets = found.groupBy("a", "b", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("k")).where(F.col("k") >= hits)
-    best = materialize(offsets.groupBy("a", "b").agg(F.max_by("offset", F.struct("k", -F.abs("offset"), "offset")).alias("offset")))
+    offsets = materialize(offsets.select("a", "b", "offset"))
     side = lambda c: reps.select(F.col("class_id").alias(c), F.col("codes").alias(f"codes_{c}"))
-    both = best.join(side("a"), "a").join(side("b"), "b")
+    both = offsets.join(side("a"), "a").join(side("b"), "b")
     x = F.expr("slice(codes_a, greatest(0, -offset) + 1, greatest(0, least(size(codes_a) + least(0, offset), size(codes_b) - greatest(0, offset))))")
     y = F.expr("slice(codes_b, greatest(0, offset) + 1, greatest(0, least(size(codes_a) + least(0, offset), size(codes_b) - greatest(0, offset))))")
     both = both.withColumns({"x": x, "y": y})
     wrong = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     judged = both.withColumn("error", wrong / (32 * F.greatest(F.size("x"), F.lit(1)))).where((F.size("x") >= overlap) & (F.col("error") <= bit_error))
-    top = judged.groupBy("a").agg(F.count("*").alias("n_matches"), F.min(F.struct("error", "b", "offset")).alias("m"))
+    top = judged.groupBy("a").agg(F.count_distinct("b").alias("n_matches"), F.min(F.struct("error", "b", "offset")).alias("m"))
     top = materialize(top.select(F.col("a").alias("class_id"), "n_matches", F.col("m.b").alias("match_id"), F.col("m.offset").alias("offset"), F.col("m.error").alias("error")))
     out = rows.select("rec_id", "digest", F.size("codes").cast("long").alias("n_codes"), "q").join(small(groups.select("digest", "class_id"), n_groups), "digest", "left")
     out = out.join(small(top, top.count()), "class_id", "left")
@@ -194,7 +210,29 @@ def align(prints: DataFrame, is_query: Column, bit_error: float = BIT_ERROR, ove
     return out.select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"), "n_codes", F.col("q").alias("is_query"), F.coalesce(only("n_matches"), F.lit(0)).cast("long").alias("n_matches"), only("match_id"), F.when(F.col("q"), F.col("offset").cast("long")).alias("offset"), only("error"))
 
 
+#: How much of a lookup's recording is cut off ahead, and the noise laid over the rest.
+CUT, NOISE = 0.3, 0.03
+
+
+def excerpt(vector: list) -> np.ndarray:
+    """A recording as a listener may hold it: begun late, with noise over it. Equal vectors give equal
+    excerpts."""
+    x = sonify(vector)
+    x = x[int(len(x) * CUT) :]
+    seed = zlib.crc32(np.round(np.nan_to_num(np.array([0.0 if v is None else v for v in vector], float)), 6).tobytes())
+    return x + NOISE * np.random.default_rng(seed).normal(size=len(x))
+
+
 def op2_audio_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """Each vector of embeddings as a recording; every id divisible by 50 is looked up."""
-    made = fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", sonify, SHORT)
-    return align(made, F.coalesce(F.col("rec_id") % 50 == 0, F.lit(False)))
+    """Each vector of embeddings is a recording, and all are indexed. Of every id divisible by 50 a
+    noisy excerpt is looked up; its own recording is what it should find, offset codes later."""
+    table_ = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    whole = fingerprints(table_, "vec_id", "embedding", sonify, SHORT)
+    asked = F.coalesce(F.col("rec_id") % 50 == 0, F.lit(False))
+    looked = fingerprints(table_.where("vec_id % 50 = 0"), "vec_id", "embedding", excerpt, SHORT)
+    both = whole.unionByName(looked.select((-1 - F.col("rec_id")).alias("rec_id"), "codes"))
+    made = materialize(align(both, F.col("rec_id") < 0, silent=silence(SHORT), is_indexed=F.coalesce(F.col("rec_id") >= 0, F.lit(True))))
+    found = made.where("is_query").select((-1 - F.col("rec_id")).alias("rec_id"), "n_matches", "match_id", "offset", "error").dropDuplicates(["rec_id"])
+    own = made.where("not coalesce(rec_id < 0, false)").select("rec_id", "class_id", "n_codes", asked.alias("is_query"))
+    out = own.join(small(found, found.count()), "rec_id", "left")
+    return out.select("rec_id", "class_id", "n_codes", "is_query", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), "match_id", "offset", "error")

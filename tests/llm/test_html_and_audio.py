@@ -256,6 +256,29 @@ def test_search_recall(spark):
     assert wanted == 12 and found >= 0.9 * wanted
 
 
+def test_recall_of_the_query(spark):
+    """Every lookup of the query's own table against all recordings at all offsets."""
+    folder = "/root/testdata/sf0.01"
+    got = {r["rec_id"]: r for r in audio.op2_audio_fingerprint(spark, folder).collect()}
+    rows = sorted((r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect())
+    index = np.stack([audio.codes(audio.sonify(v), audio.SHORT).view(np.uint32) for _, v in rows])
+    pairs = found = own = 0
+    for q, v in rows:
+        if q % 50:
+            continue
+        c = audio.codes(audio.excerpt(v), audio.SHORT).view(np.uint32)
+        near = np.ones(len(rows))
+        for off in range(audio.OVERLAP - len(c), index.shape[1] - audio.OVERLAP + 1):
+            a, b = c[max(0, -off) :], index[:, max(0, off) :]
+            n = min(len(a), b.shape[1])
+            near = np.minimum(near, np.bitwise_count(a[:n] ^ b[:, :n]).sum(1) / (32 * n))
+        pairs += int((near <= audio.BIT_ERROR).sum())
+        found += got[q]["n_matches"]
+        own += got[q]["match_id"] == got[q]["class_id"] and got[q]["offset"] > 0
+    lookups = sum(q % 50 == 0 for q, _ in rows)
+    assert lookups >= 10 and pairs >= lookups and 0.9 * pairs <= found <= pairs and own >= 0.9 * lookups
+
+
 def test_audio_query(spark, sf):
     out = audio.op2_audio_fingerprint(spark, sf)
     n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
