@@ -144,6 +144,12 @@ GOLD = [
     ("<article><h1>Heights</h1><p>These are the two highest hills of the county, measured last summer.</p><table><tr><td>Red Hill</td><td>412 m</td></tr></table><pre>north = 3</pre></article>",
      ["Heights", "These are the two highest hills of the county, measured last summer.", "Red Hill", "412 m", "north = 3"]),
     ("<article><p>A short note.</p></article>", ["A short note."]),
+    ("<html><body><p>The ferry leaves the harbour at six every morning and returns late in the evening.</p><p>Most of the passengers are students who live on the island.</p></body></html>",
+     ["The ferry leaves the harbour at six every morning and returns late in the evening.", "Most of the passengers are students who live on the island."]),
+    ("<div><div>The river rose by two metres in the night, and the lower town was flooded by the morning.</div><div>Boats were brought from the coast to reach the people on the roofs.</div></div>",
+     ["The river rose by two metres in the night, and the lower town was flooded by the morning.", "Boats were brought from the coast to reach the people on the roofs."]),
+    ("<html><body><div class='overflow-hidden mx-auto'><nav class='navbar'><ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/about'>About</a></li></ul></nav><main class='hidden-xs p-4'><h1>Bread without yeast</h1><p>Mix the flour with water and let it stand for a day.</p><p>Bake it in a hot oven until the crust is dark.</p></main><footer>&copy; 2020 The Baker. All rights reserved.</footer></div></body></html>",
+     ["Bread without yeast", "Mix the flour with water and let it stand for a day.", "Bake it in a hot oven until the crust is dark."]),
     ("<body><form><label>Name</label><input><button>Send</button></form></body>", []),
 ]
 
@@ -183,6 +189,8 @@ def test_page_edges(spark):
     rows = html_lstm.extract(df, ("url",)).collect()
     assert len(rows) == 4 and [r["text"] for r in rows if r["page_id"]] == ["", "", ""]
     assert html_lstm.extract(df.limit(0)).count() == 0
+    both = html_lstm.extract(df.select("page_id", "html", "text", "url"), ("text", "html", "page_id"))
+    assert both.columns == ["page_id", "text_", "html", "page_id_", "text"] and both.count() == 4
 
 
 # ---- recordings
