@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character classes and names that results depend on.
 DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
@@ -116,3 +118,14 @@ def seconds_from_id(uid: Column) -> Column:
     """Duration from a suffix _<start>-<end> in hundredths of a second, else 0."""
     at = lambda i: F.regexp_extract(uid, "_(\\d+)-(\\d+)$", i)
     return F.when(at(1) != "", (at(2).cast("double") - at(1).cast("double")) / 100).otherwise(F.lit(0.0))
+
+
+def fixed_places(n: int):
+    """A function of a double column: its text with n decimals, from the exact binary value (which
+    format_string rounds otherwise at ties); null for null and NaN."""
+
+    @F.arrow_udf(T.StringType())
+    def said(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None or v != v else f"{v:.{n}f}" for v in x.to_pylist()], pa.string())
+
+    return said

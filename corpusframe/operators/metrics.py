@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edit import char_edits, utterance_rate, word_edits
+from ..functions.text import fixed_places
 
 
 def with_edits(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
@@ -204,4 +205,4 @@ def named_values(**values: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    return F.format_string("%.2f", x.cast("double"))
+    return fixed_places(2)(x.cast("double"))

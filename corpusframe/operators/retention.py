@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .select import first_k
+
 
 def retained(scores: DataFrame, groups: list[str], step: str, score: str, k: int) -> DataFrame:
     """scores with keep: whether the step is among its group's k lowest scores (none counts as
-    infinite, ties by step) or the latest."""
-    w = Window.partitionBy(*groups)
-    place = F.row_number().over(w.orderBy(F.coalesce(F.col(score), F.lit(float("inf"))), step))
-    return scores.withColumn("keep", (place <= k) | (F.col(step) == F.max(step).over(w)))
+    infinite, ties by step) or the latest. A group's steps are cut to k in every task, and the rows that
+    stay are joined back by step, so a large group is not one task's."""
+    order = [F.coalesce(F.col(score), F.lit(float("inf"))), step]
+    best = first_k(scores.select(*groups, step, score), groups, order, k)
+    latest = scores.groupBy(*groups).agg(F.max(step).alias(step))
+    kept = best.select(*groups, step).unionByName(latest.select(*groups, step)).distinct().withColumn("__kept", F.lit(True))
+    same = F.lit(True)
+    for c in [*groups, step]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return scores.alias("l").join(kept.alias("r"), same, "left").select("l.*", F.coalesce("r.__kept", F.lit(False)).alias("keep"))
 
 
 class TopK:

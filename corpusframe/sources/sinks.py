@@ -6,12 +6,12 @@ import io
 import json
 import zipfile
 from collections.abc import Iterable
-from decimal import ROUND_HALF_EVEN, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.text import fixed_places
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -59,10 +59,9 @@ def is_encoded(blob: Column) -> Column:
     return F.substring(blob, 1, 4).isin(F.lit(b"fLaC"), F.lit(b"RIFF"))
 
 
-@F.pandas_udf(T.StringType())
-def six_places(x: pd.Series) -> pd.Series:
-    """'%.6f' of doubles: the exact binary value rounded half to even, unlike format_string."""
-    return x.map(lambda v: None if v is None or v != v else str(Decimal(v).quantize(Decimal("0.000001"), ROUND_HALF_EVEN)))
+def six_places(x: Column | str) -> Column:
+    """'%.6f' of doubles."""
+    return fixed_places(6)(F.col(x).cast("double") if isinstance(x, str) else x.cast("double"))
 
 
 def tab_line(values: list[Column]) -> Column:
@@ -125,7 +124,7 @@ def write_once(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
 
 def write_problems(flagged: DataFrame, path: str) -> None:
     """A problem list as CSV, ascending by ratio: seconds with three decimals, the ratio with four."""
-    number = lambda c, n: F.format_string(f"%.{n}f", F.col(c).cast("double")).alias(c)
+    number = lambda c, n: fixed_places(n)(F.col(c).cast("double")).alias(c)
     rows = flagged.orderBy("speech_ratio", "id").select("id", "split", "dialect", number("dur_s", 3), number("speech_s", 3), number("speech_ratio", 4), "reason")
     rows.write.mode("overwrite").option("header", True).csv(path)
 

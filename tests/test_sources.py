@@ -107,3 +107,47 @@ def test_sinks(spark, tmp_path):
     sinks.append_new(df, None, "row", str(tmp_path / "app"))
     sinks.append_new(df, spark.read.json(str(tmp_path / "app")), "row", str(tmp_path / "app"))
     assert spark.read.json(str(tmp_path / "app")).count() == 3
+
+
+def test_bank_durations_and_once(spark, tmp_path):
+    assert manifests.bank(spark, str(tmp_path / "none.json")).count() == 0
+    p = put(tmp_path / "bank.json", [json.dumps([{"clips": ["a"], "dur": 61.0}, {"clips": ["b"], "dur": 31.0}])])
+    assert sorted(r["dur"] for r in manifests.bank(spark, p).collect()) == [31.0, 61.0]
+    df = spark.createDataFrame([(1,)], "x int")
+    assert sinks.write_once(df, str(tmp_path / "once")).collect() == sinks.write_once(df.withColumn("x", F.col("x") + 1), str(tmp_path / "once")).collect()
+    assert manifests.source("adi20", {"name": "other"})["name"] == "other"
+    with pytest.raises(KeyError):
+        manifests.source("none")
+
+
+def test_bank_files(spark, tmp_path):
+    from corpusframe.operators import metrics
+
+    clips = spark.createDataFrame([("EG", 100.0), ("EG", 20.0), ("MA", 5.0)], "country string, dur double")
+    voices = spark.createDataFrame([("EG", 61.0, ["a"]), ("EG", 31.0, ["b"])], "country string, dur double, clips array<string>")
+    summary = metrics.bank_summary(voices, clips, "country")
+    got = {r["country"]: r for r in summary.collect()}
+    assert (got[None]["voices"], got[None]["long_voices"], got["MA"]["voices"], got["EG"]["clips"]) == (2, 1, 0, 2)
+    sinks.write_bank(voices, summary, {"exp": "x"}, str(tmp_path / "b"))
+    said = json.loads((tmp_path / "b" / "bank_summary.json").read_text())
+    assert said["exp"] == "x" and said["totals"]["voices"] == 2 and said["per_dialect"]["EG"] == {"voices": 2, "long_voices": 1}
+
+
+def test_embedding_pairs_must_match(spark, tmp_path):
+    spark.createDataFrame([(0, [1.0]), (1, [2.0])], "row int, embedding array<float>").write.parquet(str(tmp_path / "m"))
+    p = put(tmp_path / "meta.json", [json.dumps([{"id": "a", "dur": 1.0, "country": "EG"}])])
+    with pytest.raises(Exception, match="stands alone"):
+        manifests.embeddings(spark, str(tmp_path / "m"), p).collect()
+
+
+def test_large_logs_are_split_and_stay_in_order(spark, tmp_path):
+    rows = [{"utt_id": f"u{i % 50}", "hyp": str(i)} for i in range(4000)]
+    put(tmp_path / "hyp.shard_0", rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = manifests.hypotheses(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 5
+        assert {r["utt_id"]: r["hyp"] for r in manifests.hypotheses_by_id(spark, str(tmp_path)).collect()} == {f"u{i}": str(3950 + i) for i in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
