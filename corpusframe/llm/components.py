@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import discard, materialize, small
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,10 +22,12 @@ def components(links: DataFrame) -> DataFrame:
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # larger neighbours of a get a's least; a link to itself keeps an id in the list
         far = both.where("b > a").join(small(least, least.count()), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(far.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        near = edges.join(small(least, least.count()), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        handed = materialize(far.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(edges, least)
+        least = materialize(handed.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        near = handed.join(small(least, least.count()), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(near.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(handed, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == said:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, fresh, id_text, map_texts, materialize, reclaim, release, small, table, without
+from .common import BROADCAST_ROWS, chunks, discard, fresh, id_text, map_texts, materialize, reclaim, release, small, table, without
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -196,6 +196,7 @@ def shared_only(keys: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             place = np.asarray(b.column(2).flatten())
             place = place[hit] if len(place) else np.zeros(int(hit.sum()), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(ids[hit]), pa.array(place)], names=["key", "doc_id", "place"])
+        release()
 
     return keys.select("doc_id", "keys", "places").mapInArrow(run, "key long, doc_id long, place int")
 
@@ -234,8 +235,11 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 if inter and 100 * inter >= 80 * (len(p) + len(q) - inter):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+        release()
 
-    return materialize(both.mapInArrow(run, "a long, b long"))
+    found = materialize(both.mapInArrow(run, "a long, b long"))
+    discard(pairs, ends)
+    return found
 
 
 def close(pairs: DataFrame, meta: DataFrame, n_meta: int) -> DataFrame:
@@ -275,6 +279,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_shared = shared.count()
     reclaim(base.sparkSession)
     members = materialize(shared_only(keys, shared, n_shared).join(small(shared, n_shared), "key").select("key", "doc_id"))
+    discard(keys, shared)
     # the centre of a slice: the document with most shared slices, as the text that others were
     # copied from has, however its id compares
     degree = materialize(members.groupBy("doc_id").agg(F.count("*").alias("d")))
@@ -311,6 +316,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         picked = shared_only(fine, several, n_several).join(small(several, n_several), "key", "left_semi").join(small(comp, n_sketches), "doc_id")
         picked = picked.join(small(sketches.select("doc_id", "n"), n_sketches), "doc_id")
         picked = materialize(picked.select("key", "doc_id", "c", "n", "place"))
+        discard(fine, several)
         other = picked.select("key", F.col("doc_id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("place").alias("q"))
         # a band's prefix is for its smallest size: with both sizes known it is shorter
         fit = "place <= n - (4 * (n + m) + 8) div 9 and q <= m - (4 * (n + m) + 8) div 9"
