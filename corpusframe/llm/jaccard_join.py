@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and are their own component. Rows repeated with id and text give repeated results. Ids
     tell texts apart: where one id has several texts each row has its own size, but they share a
     component, found by any of them. Null ids are compared with nothing. An empty table gives no
-    rows."""
+    rows; other columns, whatever their names, stay behind."""
     base = id_text(docs, id_col, text_col)
     described = materialize(describe(base))
     meta = described.where("part is null").select("doc_id", "n", "f1", "f2", "sketch")

@@ -221,7 +221,8 @@ def encode_decode(docs: DataFrame, path: str, keep: bool = False, id_col: str =
 
     Each whole text is encoded with begin and end ids and decoded again. Null texts count as
     empty: two ids, an empty decoding. Long runs without a space take linear time. Repeated
-    rows give repeated results; an empty table gives none."""
+    rows give repeated results; an empty table gives none; other columns, whatever their names, stay
+    behind."""
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     said = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep:

@@ -16,8 +16,9 @@ ODD = [None, "", " ", "\n\t ", "a", "x" * 5000, "word " * 3000, "<|endoftext|>",
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Odd texts, one row twice, a null id, and extra columns whose names operators use inside."""
-    rows = [(i, t, "x", 1, b"k") for i, t in enumerate(ODD)] + [(4, "a", "x", 1, b"k"), (None, "a", None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, score string, n int, key binary")
+    more = ("x", 1, b"k", "y", "z", 2, "w", True)
+    rows = [(i, t, *more) for i, t in enumerate(ODD)] + [(4, "a", *more), (None, "a", *[None] * len(more))]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string, n int, key binary, id string, sha string, g int, predicted string, kept boolean")
 
 
 @pytest.fixture(scope="session")

@@ -1,12 +1,15 @@
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusframe.llm import compression_quality, license_scan, toxic_crf
-from corpusframe.llm.labelled import Logistic
+from corpusframe.llm.labelled import Logistic, sample
 
 from .conftest import ODD, prose
 
@@ -207,3 +210,77 @@ def test_logistic_and_prior():
     m = Logistic(x, y, 1e-6)
     assert np.abs(m(x).mean() - y.mean()) < 0.01 and m.w[0] > 1.5 > 0.3 > abs(m.w[1])
     assert m.shift(0.5, 0.9)(x).mean() > y.mean()
+
+
+# ---- the queries against plain scoring
+
+
+def plain_probability(curve, x):
+    z = (np.asarray(x, float) - curve.mean) / curve.std
+    return 1 / (1 + math.exp(-(float(z @ curve.w[:-1]) + curve.w[-1])))
+
+
+def test_quality_query_against_plain_scoring(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scorer = compression_quality.CompressionScorer.fit(*sample(docs, labels, "quality", ~compression_quality.held_out()))
+
+    def size(raw, held):
+        total = 0
+        for i in range(0, len(raw), 512):
+            d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total += len(zstandard.ZstdCompressor(level=7, dict_data=d, write_content_size=False, write_dict_id=False).compress(raw[i : i + 512]))
+        return total
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    rows = compression_quality.op3_quality(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows[:60]:
+        raw = texts[r["doc_id"]]
+        p = plain_probability(scorer.calibration, [(size(raw, scorer.bad) - size(raw, scorer.good)) / (len(raw) + 64)])
+        assert r["score"] == pytest.approx(p, abs=1e-9) and r["predicted"] == int(p >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def plain_marginals(emit, trans):
+    """In logarithms, one number at a time."""
+    add = lambda *xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    n = len(emit)
+    e = [(0.0, v) for v in emit]
+    a, b = [e[0]], [(0.0, 0.0)] * n
+    for t in range(1, n):
+        a.append(tuple(e[t][j] + add(*(a[t - 1][i] + trans[i][j] for i in (0, 1))) for j in (0, 1)))
+    for t in range(n - 2, -1, -1):
+        b[t] = tuple(add(*(trans[i][j] + e[t + 1][j] + b[t + 1][j] for j in (0, 1))) for i in (0, 1))
+    total = add(*a[-1])
+    return [math.exp(a[t][1] + b[t][1] - total) for t in range(n)]
+
+
+def test_toxicity_query_against_plain_scoring(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = toxic_crf.ToxicField.fit(*sample(docs, labels, "toxic", ~toxic_crf.held_out()))
+    weight = dict(zip(field.keep.tolist(), field.value.tolist(), strict=True))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = toxic_crf.op8_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts)
+    checked = 0
+    for r in rows:
+        text = texts[r["doc_id"]]
+        words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        if not 0 < len(words) < 300 or checked >= 60 and not r["predicted"]:
+            continue
+        checked += 1
+        p = plain_marginals([field.bias + sum(weight.get(k, 0.0) for k in toxic_crf.places(w)) for w, _, _ in words], field.trans)
+        spans = []
+        for q, (_, a, b), last in zip(p, words, [0.0, *p], strict=False):
+            if q >= 0.5:
+                if spans and last >= 0.5:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+        assert [[s["start"], s["end"]] for s in r["spans"]] == spans and r["n_spans"] == len(spans)
+        heard = [q for q in p if q > 0.2]
+        top = sorted(p)[-3:]
+        x = [top[-1], math.log1p(sum(heard)), sum(top) / 3, min(1.0, 20 * sum(heard) / len(p))]
+        want = plain_probability(field.calibration, x) if field.calibration else 0.0
+        assert r["score"] == pytest.approx(want, abs=1e-6) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert checked >= 60
