@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, signal
-from ..operators import segments
+from ..operators import models, segments
 from .file_queries import _waves
 from .registry import query, sql_tokens
 
@@ -112,3 +112,25 @@ SELECT conv_id, turn, list_transform(string_split(array_to_string(ws, '|'), ''),
 def q107_alignment_target(t):
     ids = segments.alignment_ids({c: k for k, c in enumerate("|abcdefghijklmnopqrstuvwxyz")})
     return t("conversations").select("conv_id", "turn", ids("text").alias("target")).where("size(target) > 0")
+
+
+@query("""
+WITH f AS (SELECT vec_id, unnest(embedding) > 0.1 AS act, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+s AS (SELECT vec_id, k, act, k - row_number() OVER (PARTITION BY vec_id, act ORDER BY k) AS g FROM f),
+r AS (SELECT vec_id, min(k) AS a, max(k) + 1 AS b FROM s WHERE act GROUP BY vec_id, g),
+n AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY vec_id ORDER BY a) < 5 THEN 0 ELSE 1 END AS new FROM r),
+c AS (SELECT vec_id, a, b, sum(new) OVER (PARTITION BY vec_id ORDER BY a) AS c FROM n),
+m AS (SELECT vec_id, max(b) - min(a) AS d FROM c GROUP BY vec_id, c)
+SELECT e.vec_id, round(coalesce(sum(d * 0.02) FILTER (d * 0.02 >= 0.24), 0), 6) AS speech FROM embeddings e LEFT JOIN m USING (vec_id) GROUP BY e.vec_id
+""")
+def q108_speech_seconds(t):
+    """Frame decisions to seconds of speech: short pauses are bridged, short stretches don't count."""
+    return t("embeddings").select("vec_id", F.round(signal.speech_of(0.02, 0.24)(F.transform("embedding", lambda v: v > 0.1)), 6).alias("speech"))
+
+
+@query("SELECT conv_id, turn, length(text) AS n, least(floor(length(text) / 400 * 8), 7)::INT AS bucket FROM conversations")
+def q109_model_batches(t):
+    """A model over batches of like length."""
+    models.register("letters", lambda: lambda b: b.assign(n=b["text"].str.len())[["conv_id", "turn", "n", "bucket"]])
+    rows = models.length_batches(t("conversations"), F.char_length("text"), 64, 8, 400.0)
+    return models.apply_model(rows, "letters", "conv_id long, turn long, n long, bucket int", ["conv_id", "turn", "text", "bucket"])

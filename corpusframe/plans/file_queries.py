@@ -308,3 +308,39 @@ def q73_rebuilt_metadata(t):
     files = v.select(F.col("vec_id").cast("string").alias("id"))
     made = sinks.compacted(spark, f"{root}/log", "id STRING, duration_s DOUBLE", "id", files, F.lit(0.25), "duration_s", f"{root}/all")
     return made.select("id", "duration_s", F.lit("v").alias("kind"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def q110_append_and_resume(t):
+    """A log that a stopped run left half written, and the run that ends it; partitions that are not there
+    are passed over."""
+    d = t("documents").select("doc_id", "lang")
+    spark = d.sparkSession
+    root = scratch.folder(spark, "resumed")
+    sinks.append_new(d.where("doc_id % 3 = 0"), None, "doc_id", f"{root}/log")
+    sinks.append_new(d, manifests.json_rows(spark, f"{root}/log", "doc_id LONG, lang STRING"), "doc_id", f"{root}/log")
+    manifests.json_rows(spark, f"{root}/log", "doc_id LONG, lang STRING").write.parquet(f"{root}/part")
+    return manifests.existing(spark, [f"{root}/part", f"{root}/none"], "doc_id LONG, lang STRING")
+
+
+@query(f"""
+WITH {SENTENCES}, e AS (SELECT doc_id, pos, ref, hyp, {sql_edits('ref', 'hyp')} AS n FROM pairs)
+SELECT doc_id || ':' || pos AS id, array_to_string(ref, ' ') AS ref, array_to_string(hyp, ' ') AS base, '' AS current,
+round(CASE WHEN len(ref) = 0 THEN CASE WHEN len(hyp) = 0 THEN 0.0 ELSE 1.0 END ELSE n / len(ref) END, 9) AS base_wer, CASE WHEN len(ref) = 0 THEN 0.0 ELSE 1.0 END AS current_wer FROM e
+""")
+def q111_sample_rows(t):
+    """Samples to look at: a reference, two systems' texts and their error rates."""
+    from ..operators.models import sample_rows
+
+    s = sentences(t("documents")).select(F.concat_ws(":", "doc_id", "pos").alias("id"), F.array_join("ref", " ").alias("ref"), F.array_join("hyp", " ").alias("base"), F.lit("").alias("current"))
+    return sample_rows(s, "id", "ref", "base", "current").withColumn("base_wer", F.round("base_wer", 9))
+
+
+@query("SELECT 'wav' AS kind, count(*) AS files, sum(44 + 2 * p_size * 160) AS bytes FROM part WHERE p_partkey % 20 = 0")
+def q112_inventory(t):
+    """Files of a folder by name and size; their contents are not read."""
+    p = t("part").where("p_partkey % 20 = 0")
+    root = scratch.folder(p.sparkSession, "inventory")
+    waves = _waves(p, "p_partkey", F.array_repeat(F.lit(0.0), (F.col("p_size") * 160).cast("int")))
+    sinks.export_audio(waves.withColumn("file", F.concat("id", F.lit(".wav"))), "file", "audio", root).write.format("noop").mode("overwrite").save()
+    return manifests.inventory(p.sparkSession, root, "*.wav").agg(F.lit("wav").alias("kind"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
