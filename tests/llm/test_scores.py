@@ -180,6 +180,11 @@ def test_score_edges(spark, odd_docs, no_docs, score):
     assert [r["score"] for r in all_.orderBy("doc_id").collect()] == [r["score"] for r in all_.orderBy("doc_id").collect()]
 
 
+def test_places_are_those_of_forms():
+    for word in ["", "a", "ab", "abc", "achlichkeiten", "ñandúes", "漢字仮名交", "🙂🙂🙂🙂", "x\ud800yz"]:
+        assert toxic_crf.places(word) == [zlib.crc32(f.encode("utf-8", "replace")) % toxic_crf.DIM for f in toxic_crf.forms(word)]
+
+
 def test_marginals_against_all_labellings():
     r = np.random.default_rng(7)
     trans = np.array([[0.0, -0.7], [0.4, 1.1]])
