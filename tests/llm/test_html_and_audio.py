@@ -162,7 +162,7 @@ def test_pages_written_by_hand(page, want):
 
 
 def test_training_learns():
-    m = html_lstm.train(rounds=60, batch=12)
+    m = html_lstm.train(rounds=120, batch=12)
     r = random.Random(1)
     good = total = 0
     for _ in range(40):
