@@ -139,7 +139,7 @@ def test_long_documents_fit_the_field(spark):
     r = random.Random(8)
     texts, y = [], []
     for i in range(60):
-        words = prose(r, 14_000 if i == 1 else 200 if i % 2 else 20).split()
+        words = prose(r, 14_000 if i == 1 else 60).split()
         texts.append(" ".join([*words, "vexo", "grumbit"] if i % 2 else words))
         y.append(i % 2)
     assert len(texts[1]) > 64_000
