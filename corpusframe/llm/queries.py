@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_fingerprint, compression_quality, exact_dedup, html_lstm, jaccard_join, license_scan, packing, piece_codec, token_count, toxic_crf
+from . import audio_fingerprint, compression_quality, divergence, exact_dedup, html_lstm, jaccard_join, license_scan, packing, piece_codec, token_bits, token_count, toxic_crf, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxic_crf.op8_toxicity,
         "op9_html_extract": html_lstm.op9_html_extract,
         "op10_token_count": token_count.op10_token_count,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_token_bits": token_bits.op12_token_bits,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": jaccard_join.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_jaccard_join": jaccard_join.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE}
