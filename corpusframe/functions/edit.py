@@ -69,28 +69,50 @@ def word_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.array([edit_distance(x, y) if ok else None for x, y, ok in zip(a, b, there, strict=True)], pa.int32())
 
 
+def falling_bits(pivot: list, other: list) -> tuple[list[bytes], list[bytes]]:
+    """The table of distances, pivot items down, other's across, by its falls alone. For each column
+    from 0 on, bit i of the first says that the cell below row i is one less than the cell of row i;
+    bit i of the second, that the cell of row i is one less than that of the column before. Both are
+    found for a whole column at once, in integers as long as pivot."""
+    places: dict = {}
+    for i, x in enumerate(pivot):
+        places[x] = places.get(x, 0) | 1 << i
+    mask, size = (1 << len(pivot)) - 1, -(-len(pivot) // 8)
+    rises, falls = mask, 0
+    down_in, across_in = [falls.to_bytes(size, "little")], [bytes(size)]
+    for x in other:
+        same = places.get(x, 0)
+        level = same | falls
+        across = ((same & rises) + rises ^ rises) | same
+        up, down = falls | ~(across | rises) & mask, rises & across
+        up, down = up << 1 | 1, down << 1
+        rises, falls = (down | ~(level | up)) & mask, up & level & mask
+        down_in.append(falls.to_bytes(size, "little"))
+        across_in.append((down & mask).to_bytes(size, "little"))
+    return down_in, across_in
+
+
 def align(pivot: list, other: list) -> list[int]:
     """For each pivot item the place of the aligned item of other, -1 where it has none; items of
     other between pivot items fall away. Of equal costs the path back goes diagonally first, then
-    drops a pivot item, then one of other. Equal ends always pair up, and are not put in the table."""
+    drops a pivot item, then one of other.
+
+    Equal ends always pair up, and are not put in the table. The path needs two bits a cell: a
+    neighbour that is one less than the diagonal one is the way to go, and only then."""
     k, end = 0, min(len(pivot), len(other))
     while k < end and pivot[-1 - k] == other[-1 - k]:
         k += 1
     i, j = len(pivot) - k, len(other) - k
     out = [-1] * i + list(range(j, j + k))
-    rows = [list(range(j + 1))]
-    for n in range(i):
-        x, above = pivot[n], rows[-1]
-        row = [n + 1]
-        for m in range(j):
-            row.append(min(above[m] + (x != other[m]), above[m + 1] + 1, row[m] + 1))
-        rows.append(row)
-    while i:
-        here = rows[i][j]
-        if j and here == rows[i - 1][j - 1] + (pivot[i - 1] != other[j - 1]):
+    if not i or not j:
+        return out
+    down, across = falling_bits(pivot[:i], other[:j])
+    while i and j:
+        at, bit = (i - 1) >> 3, 1 << (i - 1 & 7)
+        if pivot[i - 1] == other[j - 1] or not (down[j - 1][at] & bit or across[j][at] & bit):
             i, j = i - 1, j - 1
             out[i] = j
-        elif here == rows[i - 1][j] + 1:
+        elif across[j][at] & bit:
             i -= 1
         else:
             j -= 1

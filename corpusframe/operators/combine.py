@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.edit import align, coded
@@ -32,20 +32,27 @@ def voted(lists: list[list[str]], codes: list[list[int]], weights: list[float])
     return out
 
 
+def vote_columns(weights: list[float], *words: Column) -> Column:
+    """The winning words of one row's lists, the first being the pivot: an array; null if any list is."""
+
+    @F.arrow_udf("array<string>")
+    def decided(*columns: pa.Array) -> pa.Array:
+        codes, lists = coded(*columns), [c.to_pylist() for c in columns]
+        there = [all(c[r] is not None for c in lists) for r in range(len(lists[0]))]
+        made = [voted([c[r] for c in lists], [c[r] for c in codes], weights) if ok else None for r, ok in enumerate(there)]
+        return pa.array(made, pa.list_(pa.string()))
+
+    return decided(*words)
+
+
 def vote(systems: DataFrame, weights: list[float], key: str = "utt_id") -> DataFrame:
     """(key, words): of rows (key, sys_idx, words), system 0 being the pivot, the winning word of
     each pivot slot; a slot won by '' falls away, and an empty pivot gives no words. Keys that some
     system lacks are left out; of a system's repeated rows for a key one counts.
 
-    Each system's words meet once by key, in one shuffle; alignment and votes are one Arrow step."""
+    Each system's words meet once by key, in one shuffle; alignment and votes are one Arrow step. Where
+    the systems already are columns of one table, vote_columns() needs no shuffle."""
     n = len(weights)
     each = [F.max(F.when(F.col("sys_idx") == i, F.col("words"))).alias(f"w{i}") for i in range(n)]
     met = systems.where(F.col("sys_idx").between(0, n - 1)).groupBy(key).agg(*each).dropna(subset=[f"w{i}" for i in range(n)])
-
-    @F.arrow_udf("array<string>")
-    def decided(*columns: pa.Array) -> pa.Array:
-        codes, lists = coded(*columns), [c.to_pylist() for c in columns]
-        made = [voted([c[r] for c in lists], [c[r] for c in codes], weights) for r in range(len(lists[0]))]
-        return pa.array(made, pa.list_(pa.string()))
-
-    return met.select(key, decided(*[f"w{i}" for i in range(n)]).alias("words"))
+    return met.select(key, vote_columns(weights, *[F.col(f"w{i}") for i in range(n)]).alias("words"))

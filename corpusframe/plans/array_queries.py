@@ -110,8 +110,9 @@ WITH w AS (SELECT conv_id, turn, list_filter(list_transform({sql_tokens('text')}
 SELECT conv_id, turn, list_transform(string_split(array_to_string(ws, '|'), ''), lambda c: CASE WHEN c = '|' THEN 0 ELSE ascii(c) - 96 END) AS target FROM w WHERE len(ws) > 0
 """)
 def q107_alignment_target(t):
-    ids = segments.alignment_ids({c: k for k, c in enumerate("|abcdefghijklmnopqrstuvwxyz")})
-    return t("conversations").select("conv_id", "turn", ids("text").alias("target")).where("size(target) > 0")
+    vocabulary = {c: k for k, c in enumerate("|abcdefghijklmnopqrstuvwxyz")}
+    words = t("conversations").select("conv_id", "turn", segments.alignment_words(F.col("text"), vocabulary).alias("words"))
+    return words.select("conv_id", "turn", segments.alignment_ids(F.col("words"), vocabulary).alias("target")).where("size(target) > 0")
 
 
 @query("""

@@ -215,7 +215,7 @@ SELECT utt AS utt_id, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (word <
 """)
 def q44_rover(t):
     """Three perturbed systems of every sentence, combined."""
-    s = sentences(t("documents"), None).select("doc_id", "pos", F.concat_ws(":", "doc_id", "pos").alias("utt_id"), "ref")
-    made = [s.withColumn("sys_idx", F.lit(i)).withColumn("words", perturbed(F.col("ref"), *m)) for i, m in enumerate([(10**9, 11), (7, 11), (5, 13)])]
-    systems = made[0].unionByName(made[1]).unionByName(made[2]).select("utt_id", "sys_idx", "words")
-    return combine.vote(systems, [1.30, 1.10, 1.05]).select("utt_id", F.array_join("words", " ").alias("line"))
+    s = sentences(t("documents"), None)
+    lists = [perturbed(F.col("ref"), *m) for m in ((10**9, 11), (7, 11), (5, 13))]
+    words = combine.vote_columns([1.30, 1.10, 1.05], *lists)
+    return s.select(F.concat_ws(":", "doc_id", "pos").alias("utt_id"), F.array_join(words, " ").alias("line"))

@@ -1,8 +1,12 @@
+import random
+import tracemalloc
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusframe.operators import models, segments, vectors
+from corpusframe.operators import models, scan, segments, vectors
 
 
 @pytest.mark.parametrize(
@@ -76,8 +80,80 @@ def test_alignment_column_and_target(spark):
     df = spark.createDataFrame([(p, [1, 2]), (p[:1], [1, 2]), ([], [1])], "p array<array<double>>, i array<int>")
     rows = [r["a"] for r in df.select(segments.align_labels("p", "i").alias("a")).collect()]
     assert rows[0]["error"] is None and len(rows[0]["spans"]) == 2 and "hold" in rows[1]["error"] and rows[2]["spans"] is None
-    ids, ranges = segments.alignment_target("پا، ؟ ba", {"ب": 1, "ا": 2, "|": 9, "a": 3})
-    assert ids == [1, 2, 9, 3] and ranges == [("پا،", 0, 2), ("؟", None, None), ("ba", 3, 4)]
+    known = {"ب": 1, "ا": 2, "|": 9, "a": 3}
+    said = spark.createDataFrame([("پا، ؟ ba",), ("؟",), (None,)], "text string").select(segments.alignment_words(F.col("text"), known).alias("w"))
+    got = said.select(segments.alignment_ids(F.col("w"), known).alias("ids"), segments.alignment_ranges(F.col("w")).alias("r")).collect()
+    assert got[0]["ids"] == [1, 2, 9, 3] and [tuple(r) for r in got[0]["r"]] == [("پا،", 0, 2), ("؟", None, None), ("ba", 3, 4)]
+    assert got[1]["ids"] == [] and got[2]["ids"] is None
+
+
+def full_table(log_prob, ids, blank=0):
+    """The same alignment with every row of sums kept."""
+    frames, n = len(log_prob), len(ids)
+    states = [blank, *(x for i in ids for x in (i, blank))]
+    best, came = np.full((frames, len(states)), -np.inf), np.zeros((frames, len(states)), int)
+    best[0, :2] = log_prob[0, states[:2]]
+    for t in range(1, frames):
+        for s in range(len(states)):
+            steps = [s] + [s - 1] * (s > 0) + [s - 2] * (s > 1 and states[s] != blank and states[s] != states[s - 2])
+            came[t, s] = max(steps, key=lambda k: best[t - 1, k])
+            best[t, s] = best[t - 1, came[t, s]] + log_prob[t, states[s]]
+    s = 2 * n - 1 if best[-1, 2 * n - 1] > best[-1, 2 * n] else 2 * n
+    path = [s]
+    for t in range(frames - 1, 0, -1):
+        path.append(s := came[t, s])
+    path = path[::-1]
+    return [[min(t for t, s in enumerate(path) if s == 2 * k + 1), max(t for t, s in enumerate(path) if s == 2 * k + 1) + 1] for k in range(n)]
+
+
+def test_stretches_of_an_alignment_equal_the_full_table():
+    r = np.random.default_rng(11)
+    for _ in range(60):
+        ids = r.integers(1, 4, r.integers(1, 9))
+        frames = len(ids) + int((ids[1:] == ids[:-1]).sum()) + int(r.integers(0, 60))
+        # whole numbers, so that many paths are equally likely
+        logp = r.integers(-3, 0, (frames, 4)).astype(float) if r.random() < 0.5 else np.log(r.dirichlet(np.ones(4), frames))
+        assert segments.forced_alignment(logp, ids)[0].tolist() == full_table(logp, ids.tolist())
+
+
+def test_an_hour_aligns_in_little_memory():
+    r = np.random.default_rng(4)
+    frames, n = 180_000, 300
+    ids = r.integers(1, 8, n)
+    logp = np.full((frames, 8), -3.0, dtype=np.float32)
+    logp[:, 0] = -0.1
+    at = np.sort(r.choice(np.arange(10, frames - 10, 2), n, replace=False))
+    logp[at, 0], logp[at, ids] = -3.0, -0.1
+    tracemalloc.start()
+    spans, _ = segments.forced_alignment(logp, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [a for a, _ in spans.tolist()] == at.tolist() and peak < 40e6 < frames * n * 8
+
+
+def test_scan_over_ranges_equals_windows(spark):
+    r = random.Random(6)
+    rows = [(None if (g := r.choice([0, 0, 0, 0, 1, 2, None])) is None else f"g{g}", r.randrange(400), i, r.choice([None, r.random()])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, p int, i int, v double")
+    w = Window.partitionBy("g").orderBy(F.desc("p"), "i")
+    want = df.select("i", F.row_number().over(w).alias("n"), F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"))
+    want = {x["i"]: (x["n"], x["c"]) for x in want.collect()}
+    order = [F.col("p").desc(), "i"]
+    for ranges in (1, 3, 40):
+        n = {x["i"]: x["n"] for x in scan.numbered_in_order(df, ["g"], order, "n", ranges).collect()}
+        c = {x["i"]: x["c"] for x in scan.carried_forward(df, ["g"], order, "v", "c", ranges).collect()}
+        assert {i: (n[i], c[i]) for i in n} == want and len(c) == len(rows)
+    assert [x["n"] for x in scan.numbered_in_order(df, [], ["i"], "n", 7).orderBy("i").collect()] == list(range(1, 4001))
+    assert scan.numbered_in_order(df.limit(0), ["g"], ["i"]).collect() == []
+
+
+def test_one_group_of_a_million_rows_meets_in_no_task(spark):
+    df = spark.range(1_000_000).select(F.lit("one").alias("g"), F.col("id"), F.when(F.col("id") % 1000 == 0, F.col("id")).alias("v"))
+    scanned = scan.scanned_ranges(df, ["g"], ["id"], "v", 16)
+    assert max(x["count"] for x in scanned.groupBy("__range").count().collect()) < 200_000
+    got = scan.carried_forward(df, ["g"], ["id"], "v", "c", 16)
+    assert got.where("c is distinct from case when id > 0 then floor((id - 1) / 1000) * 1000 end").count() == 0
+    assert scan.numbered_in_order(df, ["g"], ["id"], "n", 16).where("n <> id + 1").count() == 0
 
 
 def test_carried_end(spark):

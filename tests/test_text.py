@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,46 @@ def test_alignment(pivot, other, want):
     assert edit.aligned_words(pivot.split(), other.split()) == want.split("|")
 
 
+def table_alignment(pivot, other):
+    """The whole table of distances, and the path back by the stated order of ties."""
+    t = [[i + j if not i or not j else 0 for j in range(len(other) + 1)] for i in range(len(pivot) + 1)]
+    for i in range(1, len(pivot) + 1):
+        for j in range(1, len(other) + 1):
+            t[i][j] = min(t[i - 1][j - 1] + (pivot[i - 1] != other[j - 1]), t[i - 1][j] + 1, t[i][j - 1] + 1)
+    out, i, j = [-1] * len(pivot), len(pivot), len(other)
+    while i:
+        if j and t[i][j] == t[i - 1][j - 1] + (pivot[i - 1] != other[j - 1]):
+            i, j = i - 1, j - 1
+            out[i] = j
+        elif t[i][j] == t[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_alignment_by_bits_equals_the_table():
+    r = random.Random(8)
+    for _ in range(3000):
+        words = r.choice([1, 2, 3, 8])
+        a, b = ([r.randrange(words) for _ in range(r.randrange(14))] for _ in range(2))
+        assert edit.align(a, b) == table_alignment(a, b)
+
+
+def test_texts_of_20000_words_align():
+    r = random.Random(9)
+    a = [r.randrange(3000) for _ in range(20_000)]
+    b = [w if r.random() < 0.8 else r.randrange(3000) for w in a if r.random() < 0.95]
+    tracemalloc.start()
+    at = edit.align(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    there = [k for k in at if k >= 0]
+    assert there == sorted(set(there)) and sum(a[i] == b[k] for i, k in enumerate(at) if k >= 0) > 14_000
+    assert peak < 1.3 * len(a) * len(b) / 4
+
+
+
 def slow_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
