@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .percentiles import exact_percentiles, same_groups
+
 from ..functions.edit import char_edits, utterance_rate, word_edits
 from ..functions.text import fixed_places
 
@@ -100,14 +102,15 @@ def duration_stats(df: DataFrame, group: str, total: Column, speech: Column) ->
     """Per group: n, hours, speech hours, share of speech (ratio of sums), mean and median of the
     clips' shares in percent."""
     share = 100 * speech / total
-    return df.groupBy(group).agg(
+    sums = df.groupBy(group).agg(
         F.count("*").alias("n"),
         (F.sum(total) / 3600).alias("total_h"),
         (F.sum(speech) / 3600).alias("speech_h"),
         (100 * F.sum(speech) / F.sum(total)).alias("speech_pct"),
         F.avg(share).alias("mean_pct"),
-        F.percentile(share, 0.5).alias("median_pct"),
     )
+    medians = exact_percentiles(df, [group], share, [0.5]).alias("r")
+    return sums.alias("l").join(medians, same_groups([group])).select("l.*", F.get("r.percentiles", F.lit(0)).alias("median_pct"))
 
 
 def ratio_histogram(df: DataFrame, ratio: Column, bins: int = 39) -> DataFrame:
@@ -118,7 +121,7 @@ def ratio_histogram(df: DataFrame, ratio: Column, bins: int = 39) -> DataFrame:
 
 def percentile_gate(df: DataFrame, group: str, score: str, share: float) -> DataFrame:
     """Rows whose score reaches their group's percentile (linear interpolation)."""
-    gate = df.groupBy(group).agg(F.percentile(score, share).alias("gate"))
+    gate = exact_percentiles(df, [group], F.col(score), [share]).select(group, F.get("percentiles", F.lit(0)).alias("gate"))
     return df.join(gate, group).where(F.col(score) >= F.col("gate"))
 
 

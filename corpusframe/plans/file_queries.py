@@ -79,8 +79,7 @@ def q59_arrow_cache(t):
     rows = d.select(F.when(k == 0, F.concat(F.lit("id"), F.col("doc_id").cast("string"))).alias("id"), F.struct(F.lit(None).cast("binary").alias("bytes"), F.when(k != 2, F.concat(F.lit("/a/b/clip"), F.col("doc_id").cast("string"), F.lit(".wav"))).alias("path")).alias("audio"), F.col("lang").alias("dialect"), F.col("doc_id").alias("index"))
     shards = sinks.write_arrow_cache(rows, root, "corpus", "train", 4)
     names = arrow_cache.cache_shards([r["file"] for r in shards.select("file").collect()], "corpus", "train")
-    spark.dataSource.register(arrow_cache.ArrowCache)
-    back = spark.read.format("arrow_cache").schema(rows.schema).option("paths", ",".join(names)).load()
+    back = arrow_cache.read_cache(spark, names, split_bytes=1 << 14)
     one = manifests.adi17(back).withColumn("corpus", F.lit("adi17"))
     return one.unionByName(manifests.adi20(back, "dev").withColumn("corpus", F.lit("adi20")))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import segments, select, vectors
+from ..operators import segments, select, table_functions, vectors
 from .registry import query, sql_tokens
 
 
@@ -78,6 +79,28 @@ def q37_word_spans(t):
     return spans_of(t).select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("nw").cast("long").alias("nw"), _milli("t0").alias("t0_ms"), _milli("t1").alias("t1_ms"))
 
 
+@query(sql_windows(5000, 5000, 2000))
+def q113_windows_by_sql(t):
+    """The windows of q35 through a table function."""
+    d = t("documents").select("doc_id", (F.col("n_chars") / 100).alias("dur"))
+    table_functions.register(d.sparkSession)
+    made = d.sparkSession.sql("SELECT doc_id, start_s, dur_s FROM segment_windows(TABLE({clips}), 'dur', 5.0D, 5.0D, 2.0D)", clips=d)
+    return made.select("doc_id", _milli("start_s").alias("start_ms"), _milli("dur_s").alias("dur_ms"))
+
+
+@query(f"WITH {SPANS} SELECT conv_id, turn, i, j, nw, round(t0 * 1000)::BIGINT AS t0_ms, round(t1 * 1000)::BIGINT AS t1_ms FROM spans")
+def q114_spans_by_sql(t):
+    """The spans of q37 through a table function, which asks for a clip's words in order."""
+    c = t("conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", "(?U)[\\s\\x1c-\\x1f]+"), lambda x: x != "")).alias("k", "w"))
+    turn = Window.partitionBy("conv_id", "turn")
+    own = 60 + 20 * F.char_length("w")
+    begin = F.coalesce(F.sum(own + 20 * ((F.col("k") * 7 + F.col("turn")) % 4)).over(turn.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = c.select("*", (begin / 1000).alias("start"), ((begin + own) / 1000).alias("end")).withColumn("dur_clip", F.max("end").over(turn) + 0.2)
+    table_functions.register(words.sparkSession)
+    s = words.sparkSession.sql("SELECT * FROM word_spans(TABLE({words}), 'conv_id, turn', 'k', 'dur_clip')", words=words)
+    return s.select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("nw").cast("long").alias("nw"), _milli("t0").alias("t0_ms"), _milli("t1").alias("t1_ms"))
+
+
 @query(f"""
 WITH {SPANS}
 SELECT conv_id, turn, i, j, CASE WHEN gap >= 0.04::DOUBLE THEN 0 WHEN gap > 0.021::DOUBLE THEN 1 ELSE 2 END AS tier,

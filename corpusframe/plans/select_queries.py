@@ -37,7 +37,9 @@ count(*) AS n, round(avg(100 * ratio), 6) AS mean_pct, round(median(100 * ratio)
 def q17_severity(t):
     e = t("events").select("event_type", (F.col("value") / 100.0).alias("speech"), F.lit(5.0).alias("total"), (F.col("value") / 500.0).alias("ratio"))
     e = e.withColumn("reason", F.coalesce(arrays.speech_severity(F.col("speech"), F.col("ratio")), F.lit("fine")))
-    return e.groupBy("event_type", "reason").agg(F.count("*").alias("n"), F.round(F.avg(100 * F.col("ratio")), 6).alias("mean_pct"), F.round(F.percentile(100 * F.col("ratio"), 0.5), 6).alias("median_pct"))
+    e = e.withColumn("group", F.struct("event_type", "reason"))
+    d = metrics.duration_stats(e, "group", F.col("total"), F.col("speech"))
+    return d.select("group.*", "n", F.round("mean_pct", 6).alias("mean_pct"), F.round("median_pct", 6).alias("median_pct"))
 
 
 @query("""

@@ -200,11 +200,14 @@ def write_predictions(logits: DataFrame, order: str, id_: str, scores: str, clas
     return summary
 
 
-def write_arrow_cache(df: DataFrame, path: str, dataset: str, split: str, shards: int) -> DataFrame:
+def write_arrow_cache(df: DataFrame, path: str, dataset: str, split: str, shards: int, batch_rows: int = 1000) -> DataFrame:
     """df as `shards` Arrow stream files <path>/<dataset>-<split>-00000-of-0000N.arrow; gives (file, rows).
-    A file gets its name when it is complete."""
+    A file gets its name when it is complete. Batches have batch_rows rows at most, and say the
+    bounds of their columns."""
     import pyarrow as pa
 
+    from .arrow_cache import bounds_of
+
     schema = df.schema
 
     def run(batches):
@@ -219,7 +222,9 @@ def write_arrow_cache(df: DataFrame, path: str, dataset: str, split: str, shards
         with fs.open_output_stream(f"{name}.part") as f:
             for b in batches:
                 out = out or ipc.new_stream(f, b.schema)
-                out.write_batch(b)
+                for at in range(0, b.num_rows, batch_rows):
+                    some = b.slice(at, batch_rows)
+                    out.write_batch(some, custom_metadata=bounds_of(some))
                 n += b.num_rows
             if out:
                 out.close()

@@ -5,6 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql import datasource
+
 from corpusframe import schemas
 from corpusframe.sources import arrow_cache, manifests, sinks
 
@@ -80,11 +82,71 @@ def test_arrow_cache(spark, tmp_path):
     table = pa.table({"id": ["a", "b"], "dialect": ["EG", "MA"], "n": [1, 2]})
     with pa.OSFile(str(tmp_path / "d-train.arrow"), "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
         w.write_table(table)
-    spark.dataSource.register(arrow_cache.ArrowCache)
-    df = spark.read.format("arrow_cache").schema("id string, dialect string").option("paths", str(tmp_path / "d-train.arrow")).load()
+    df = arrow_cache.read_cache(spark, [str(tmp_path / "d-train.arrow")], "id string, dialect string")
     assert [tuple(r) for r in df.orderBy("id").collect()] == [("a", "EG"), ("b", "MA")]
 
 
+def written(path, kind, bounds=True):
+    """Ten batches of 100 rows, with a column of repeated texts in a dictionary."""
+    word = pa.DictionaryArray.from_arrays(pa.array([0, 1] * 50, pa.int8()), pa.array(["x", "y"]))
+    parts = [pa.record_batch({"n": pa.array(range(k, k + 100)), "audio": [{"bytes": bytes(500), "path": f"/a/{i}"} for i in range(100)], "word": word}) for k in range(0, 1000, 100)]
+    with pa.OSFile(str(path), "wb") as f, kind(f, parts[0].schema) as w:
+        for p in parts:
+            w.write_batch(p, **({"custom_metadata": arrow_cache.bounds_of(p)} if bounds else {}))
+
+
+@pytest.mark.parametrize("kind", [pa.ipc.new_stream, pa.ipc.new_file])
+def test_one_cache_file_is_read_by_many_tasks(spark, tmp_path, kind):
+    path = tmp_path / "c-train.arrow"
+    written(path, kind)
+    df = arrow_cache.read_cache(spark, [str(path)], split_bytes=60_000)
+    assert df.rdd.getNumPartitions() == -(-path.stat().st_size // 60_000) > 8
+    assert df.schema["audio"].dataType.simpleString() == "struct<bytes:binary,path:string>"
+    got = df.select("n", "word", F.length("audio.bytes").alias("b")).collect()
+    assert sorted(r["n"] for r in got) == list(range(1000)) and {r["b"] for r in got} == {500}
+    assert {(r["n"] % 2, r["word"]) for r in got} == {(0, "x"), (1, "y")}
+    with pytest.raises(OSError):
+        with open(path, "rb") as f:
+            raw = f.read()[: path.stat().st_size // 2]
+        (tmp_path / "half.arrow").write_bytes(raw[: raw.rindex(b"\xff\xff\xff\xff") + 20])
+        with open(tmp_path / "half.arrow", "rb") as f:
+            list(arrow_cache.messages(f))
+
+
+def test_filters_pass_over_batches(spark, tmp_path):
+    class Counted:
+        def __init__(self, f):
+            self.f, self.seek, self.n = f, f.seek, 0
+
+        def read(self, k):
+            self.n += k
+            return self.f.read(k)
+
+    path = tmp_path / "c-train.arrow"
+    written(path, pa.ipc.new_stream)
+    with open(path, "rb") as f:
+        told = Counted(f)
+        at_most = datasource.LessThan(("n",), 250)
+        got = list(arrow_cache.batches(told, 0, None, lambda b: arrow_cache.may_hold(at_most, b)))
+    assert [b.num_rows for b in got] == [100, 100, 100] and told.n < path.stat().st_size * 0.4
+    for test, n in ((datasource.EqualTo(("n",), 950), 1), (datasource.In(("n",), (5, 105)), 2), (datasource.GreaterThanOrEqual(("n",), 999), 1), (datasource.EqualTo(("word",), "x"), 10), (datasource.IsNull(("n",)), 10), (datasource.GreaterThan(("n",), "a"), 10)):
+        with open(path, "rb") as f:
+            assert len(list(arrow_cache.batches(f, 0, None, lambda b, t=test: arrow_cache.may_hold(t, b)))) == n
+    plain = tmp_path / "p-train.arrow"
+    written(plain, pa.ipc.new_stream, bounds=False)
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        reader = arrow_cache.FilteringReader([str(path)], ["n"], 1 << 20)
+        assert list(reader.pushFilters([at_most])) == [at_most]
+        assert sum(b.num_rows for b in reader.read(reader.partitions()[0])) == 300
+        for p in (path, plain):
+            assert arrow_cache.read_cache(spark, [str(p)]).where("n < 250 and word = 'x'").count() == 125
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("EG", 1, "b"), ("EG", 0, "أ"), ("MA", 0, None)], "d string, row int, hyp string")
     sinks.write_json(df, str(tmp_path / "j"))
