@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import zipfile
 from collections.abc import Iterable
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed_places
+from .export import export_clips
+from .ordered import write_ordered
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -152,12 +153,10 @@ def compacted(spark, log: str, schema: str, key: str, files: DataFrame, measure:
 
 def export_training(shards: DataFrame, name: str, audio_root: str, manifest: str, prefix: str, encode=None) -> DataFrame:
     """A corpus's clips as files under <audio_root>/<name>, and their manifest rows (audio, text,
-    dialect) as JSON lines; gives the errors. shards holds (id, audio {bytes, path}, transcription)."""
-    clips = shards.select(F.concat(F.lit(f"{name}/"), "id", F.lit(".flac")).alias("file"), F.col("audio.bytes").alias("blob"), "transcription")
-    made = export_audio(clips, "file", "blob", audio_root, encode)
-    rows = clips.select("file", "transcription").join(made.where("error is null").select(F.col("name").alias("file")), "file", "left_semi")
-    write_json(rows.select(F.concat(F.lit(f"{audio_root}/"), "file").alias("audio"), F.concat(F.lit(prefix), "transcription").alias("text"), F.lit(name).alias("dialect")), manifest, "overwrite")
-    return made.where("error is not null")
+    dialect) as JSON lines; gives the errors (name, error). shards holds (id, audio {bytes, path},
+    transcription). All is written once, here, and committed together or not at all."""
+    clips = shards.select(F.col("id").cast("string").alias("id"), F.col("audio.bytes").alias("blob"), F.col("transcription").alias("text"))
+    return export_clips(clips, name, audio_root, manifest, prefix, encode)
 
 
 def error_report(pairs: DataFrame, ref: str, hyp: str, group: str, path: str, training: bool = True) -> DataFrame:
@@ -176,25 +175,19 @@ def error_report(pairs: DataFrame, ref: str, hyp: str, group: str, path: str, tr
 def write_predictions(logits: DataFrame, order: str, id_: str, scores: str, classes: list[str], columns: list[int], scale: float, seconds: str, path: str) -> dict:
     """A blind prediction's files under path: logits.tsv (six places, in the submission's column
     order), predictions.tsv, predictions.csv, submission.zip of both, and summary.json. Rows keep
-    `order`; lines stream to the driver one partition at a time, as the files are single ones."""
+    `order`; tasks write sorted parts of the files, which are then joined, so the driver holds no line."""
     from ..functions.arrays import argmax, permuted
     from ..operators.metrics import class_counts, duration_summary
 
     said = permuted(F.col(scores).cast("array<double>"), columns, scale)
     rows = logits.select(order, F.col(id_).cast("string").alias("idx"), F.col(seconds).alias("seconds"), said.alias("s"))
+    named = F.get(F.array(*map(F.lit, classes)), F.col("best"))
     rows = rows.withColumn("best", argmax(F.col("s"))).withColumn("line", tab_line([six_places(F.get("s", F.lit(i))) for i in range(len(columns))]))
-    texts = {"logits.tsv": [], "predictions.tsv": [], "predictions.csv": ["idx,dialect"]}
-    for r in rows.orderBy(order).select("idx", "best", "line").toLocalIterator():
-        texts["logits.tsv"].append(r["line"])
-        texts["predictions.tsv"].append(str(r["best"]))
-        texts["predictions.csv"].append(f"{r['idx']},{classes[r['best']]}")
-    files = {name: "".join(f"{x}\n" for x in lines) for name, lines in texts.items()}
-    for name, text in files.items():
-        put_text(logits, f"{path}/{name}", text)
-    put_bytes(logits, f"{path}/submission.zip", zipped([(n, files[n]) for n in ("logits.tsv", "predictions.tsv")]))
+    rows = rows.withColumn("comma", F.concat_ws(",", "idx", named))
+    files = {"logits.tsv": "line", "predictions.tsv": "best", "predictions.csv": "comma"}
+    write_ordered(rows, [order], files, path, {"predictions.csv": "idx,dialect"}, {"submission.zip": ["logits.tsv", "predictions.tsv"]})
     d = duration_summary(rows, "seconds").first()
-    named = rows.select(F.get(F.array(*map(F.lit, classes)), F.col("best")).alias("dialect"))
-    counts = {r["dialect"]: r["n"] for r in class_counts(named, "dialect", classes).collect()}
+    counts = {r["dialect"]: r["n"] for r in class_counts(rows.select(named.alias("dialect")), "dialect", classes).collect()}
     summary = {"n": d["n"], "duration_s": {"min": round(d["min"], 2), "median": round(d["upper_median"], 2), "max": round(d["max"], 2), "mean": round(d["mean"], 2)}, "predicted_counts": counts}
     put_text(logits, f"{path}/summary.json", json.dumps(summary, ensure_ascii=False, indent=2))
     return summary
@@ -235,12 +228,3 @@ def write_arrow_cache(df: DataFrame, path: str, dataset: str, split: str, shards
         yield pa.RecordBatch.from_pydict({"file": [name], "rows": [n]})
 
     return df.repartition(shards).select(*schema.names).mapInArrow(run, "file string, rows long").where("rows > 0")
-
-
-def zipped(parts: Iterable[tuple[str, str]]) -> bytes:
-    """A ZIP of (name, text) with the names at its root."""
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts:
-            z.writestr(name, text)
-    return held.getvalue()
