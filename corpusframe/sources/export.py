@@ -100,14 +100,17 @@ class ClipWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Attempt | None]) -> None:
         (where, lists), (there, held) = self.folders()
         root = reached(self.root)[1]
-        there.delete_dir(held)  # from here on no attempt can give a name
-        for f in where.get_file_info(fs.FileSelector(lists, recursive=True)):
+        # attempts that still run find their folders renamed: from here on none can give a name
+        there.move(held, f"{held}-gone")
+        there.delete_dir(f"{held}-gone")
+        where.move(lists, f"{lists}-gone")
+        for f in where.get_file_info(fs.FileSelector(f"{lists}-gone", recursive=True)):
             if f.base_name == "names":
                 with where.open_input_stream(f.path) as names:
                     for name in names.read().decode().splitlines():
                         if there.get_file_info(f"{root}/{name}").type == fs.FileType.File:
                             there.delete_file(f"{root}/{name}")
-        where.delete_dir(lists)
+        where.delete_dir(f"{lists}-gone")
 
 
 class ClipExport(DataSource):
