@@ -42,13 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage there.
+def materialize(df: DataFrame, partitions: int | None = None, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage there. by: a column whose
+    values get folders of their own, so that a filter on it reads these only.
 
     The files go with discard(), at the latest when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusframe-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    (df if partitions is None else df.coalesce(partitions)).write.parquet(path, partitionBy=by)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     back = spark.read.schema(df.schema).parquet(path)

@@ -186,7 +186,8 @@ AROUND = {
     "share": (["div.share", "div.social", "ul.share-buttons", "div.tags", "div.author-bio", "div.byline", "div.meta"], "links"),
 }
 CONTENT = ["article", "div.article", "div.content", "main", "div#content", "section.post", "div.entry-content", "div.post-body", "main article", "div.main div.story", "article div.body", "div", "div#main", "div.text", "section"]
-SAYINGS = "we use cookies|subscribe to our newsletter|all rights reserved|advertisement|sponsored content|share this|read more|log in|sign up|privacy policy|terms of use|accept all|related articles|leave a reply|posted by|contact us|follow us|menu|home|search|about|copyright".split("|")
+ASKING = ["to improve your experience.", "on this site. Accept", "by using this site you agree.", "every week in your inbox.", "to continue reading.", "and our partners."]
+SAYINGS = "we use cookies|this site uses cookies|your privacy matters|news about contact|sign in|home news sports|subscribe to our newsletter|all rights reserved|advertisement|sponsored content|share this|read more|log in|sign up|privacy policy|terms of use|accept all|related articles|leave a reply|posted by|contact us|follow us|menu|home|search|about|copyright".split("|")
 #: Words of plain English prose, and names that say nothing about what they wrap.
 PLAIN = "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if will each about how up out them then many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know river house garden night morning letter city train bread music history weather children street mountain question answer winter bridge market".split()
 UTILITY = ["overflow-hidden", "mx-auto", "col-md-8", "hentry", "is-visible", "container-fluid", "md:flex", "p-4", "has-sidebar", "js-loaded", "lang-en", "hidden-xs", "clearfix"]
@@ -202,7 +203,8 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
     if r.random() < 0.45:
         vocab = PLAIN if r.random() < 0.7 else PLAIN + vocab
     bare = r.random() < 0.4  # little or nothing stands round the main text
-    para = "div" if r.random() < (0.25 if bare else 0.04) else "p"
+    para = "div" if r.random() < (0.3 if bare else 0.12) else "p"
+    nameless = r.random() < 0.2  # names are made by a machine, or there are none
 
     def text(lo: int, hi: int) -> str:
         words = [r.choice(vocab) + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(lo, hi))]
@@ -213,12 +215,19 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
         s = ((" | " if odd == "|" else " ").join(words) + r.choice([".", ".", "", "!"])).replace("&", "+")
         return s.upper() if odd == "caps" else s[:1].upper() + s[1:]
 
-    junk = lambda lo, hi: r.choice(SAYINGS).capitalize() + r.choice(["", ". " + text(lo, hi)]) if r.random() < 0.35 else text(lo, hi)
+    def junk(lo: int, hi: int) -> str:
+        if r.random() < (0.8 if nameless else 0.35):
+            return r.choice(SAYINGS).capitalize() + r.choice(["", ". " + text(lo, hi), f" {r.choice(ASKING)}"])
+        return text(lo, hi)
+
 
     def wrap(spec: str, inner: str) -> str:
         for s in reversed(spec.split()):
             tag, _, name = s.replace("#", ".#").partition(".")
             name = name.replace(".#", "#")
+            if nameless:
+                tag = tag if tag in ("ul", "ol", "li", "form", "fieldset") or r.random() < 0.3 else "div"
+                name = r.choice(["", f"css-{r.randrange(36**5):x}", f"c{r.randint(1, 40)}", f"sc-{r.randrange(36**4):x} {r.choice(vocab)}"])
             attr = (f' class="{r.choice(UTILITY)}"' if r.random() < 0.15 else "") if not name else f' id="{name[1:]}"' if name[0] == "#" else f' class="{name}{r.choice(["", "", " clearfix", " wrap", " x" + str(r.randint(1, 99)), " " + r.choice(UTILITY)])}"'
             inner = f"<{tag}{attr}>{inner}</{tag}>"
         return inner
@@ -233,6 +242,10 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
             inner = r.choice([f"<p>{junk(1, 12)}</p>", f"&copy; {junk(1, 12)}", f"<h1>{text(1, 6)}</h1><ul><li>{link()}</li><li>{link()}</li></ul>", f"<div>{junk(1, 9)}</div><p>{link()}</p>"])
         elif form == "form":
             inner = f'<label>{junk(1, 3)}</label><input name="q"><button>{junk(1, 2)}</button><p>{junk(2, 10)}</p>'
+        elif form == "comments" and r.random() < 0.4:
+            tag, said = r.choice(["ol", "ul"]), lambda: f"<p>{text(3, 40)}</p>" if r.random() < 0.8 else text(3, 40)
+            head = f"<h{r.choice('234')}>{r.choice(['Comments', f'{r.randint(2, 90)} comments', 'Responses', f'{r.randint(1, 30)} thoughts on this', text(1, 4)])}</h{r.choice('234')}>"
+            inner = head + f"<{tag}>" + "".join(f"<li>{r.choice(['', '', f'<cite>{text(1, 2)}</cite> ', f'<div>{text(1, 2)} says:</div>'])}{said()}{r.choice(['', '', '<a href=#>Reply</a>'])}</li>" for _ in items) + f"</{tag}>"
         elif form == "comments":
             inner = f"<h3>{r.choice(['Comments', 'Responses', text(1, 2)])}</h3>" + "".join(wrap(r.choice(["div.comment", "li", "div", "article.comment"]), r.choice(["", "", f"<b>{text(1, 2)}</b>", f"<span>{text(1, 2)} says:</span>"]) + f"<p>{text(3, 40)}</p>" + r.choice(["", "", "<a href='#'>Reply</a>"])) for _ in items)
         elif form == "mixed":
@@ -280,6 +293,14 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
     often = 0.07 if bare else 0.4
     top = [around(k) for k in ("notice", "header", "nav", "ad", "form", "side") if r.random() < often]
     end = [around(k) for k in ("share", "side", "comments", "form", "ad", "footer", "notice") if r.random() < (0.35 if bare and k == "comments" else often)]
+    if r.random() < 0.08:
+        # laid out as a table: menus, the main text and what stands beside it are cells
+        cell = lambda x: f"<td>{x}</td>"
+        links = lambda: r.choice([" ", " | ", "<br>"]).join(f'<a href="/{r.choice(vocab)}">{junk(1, 2)}</a>' for _ in range(r.randint(1, 6)))
+        rows = [f"<tr>{cell(r.choice([junk(1, 6), links()]))}</tr>"] * (r.random() < 0.5)
+        rows.append("<tr>" + (cell(links()) if r.random() < 0.8 else "") + cell(body) + (cell(r.choice([links(), around("side")])) if r.random() < 0.4 else "") + "</tr>")
+        rows += [f"<tr>{cell(junk(1, 8))}</tr>"] * (r.random() < 0.5)
+        body, top, end = f"<table>{''.join(rows)}</table>", top[:1], end[-1:]
     if bare and r.random() < 0.5:
         return "".join(top) + body + "".join(end), kept
     page = f"<!DOCTYPE html><html><head><title>{text(2, 8)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>" + "".join(top) + body + "".join(end) + "</body></html>"
@@ -326,10 +347,16 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = (), labeller: BlockLabelle
     """One row per input row: page_id, the columns of keep unchanged, text. text is the blocks that
     the labeller takes for main text, in page order, joined by two line feeds; empty if none. Null
     html counts as empty. Whole pages are read; repeated rows give repeated results; no markup can
-    fail; an empty table gives no rows. A kept column named page_id or text gets a line behind its
-    name; other columns stay behind."""
+    fail; an empty table gives no rows. A kept column whose name is taken, in any case
+    of letters, gets lines behind it; other columns stay behind."""
     model = labeller or BlockLabeller.load()
-    kept = [F.col(c).alias(f"{c}_" if c in ("page_id", "text") else c) for c in keep]
+    taken, kept = {"page_id", "text"}, []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        kept.append(F.col(c).alias(name))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col), F.lit("")), *kept)
     schema = T.StructType([f for i, f in enumerate(base.schema) if i != 1]).add("text", "string")
 

@@ -134,3 +134,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[100 + i] == 100 for i in range(30)) and got[500] == got[499] == 499
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_filter_ranges_keep_suspicion_low(spark):
+    """2,000 rows with a repeated word for each word that may be broadcast."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 100 == 0, F.col("id") + 1).otherwise(F.col("id")).cast("string")).alias("text"))
+    marked = exact_dedup.suspects_marked(rows, max_words=30)
+    got = marked.agg(F.count("*"), F.count_if("suspect")).first()
+    copies = 1200
+    assert got[0] == 60_000 and copies <= got[1] < copies + 0.02 * 60_000
+    made = exact_dedup.exact_dedup(rows, max_words=30)
+    assert made.where("group_size = 2").count() == copies and made.where("not kept").count() == copies // 2
+    assert made.where("not kept and keep_id <> doc_id + 1").count() == 0 and made.count() == 60_000
