@@ -120,10 +120,10 @@ def nearest(df: DataFrame, item: str, embedding: str, queries: DataFrame, k: int
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_targets(voices_: DataFrame, n: int, min_dur: float = 60.0) -> DataFrame:
-    """The n longest voices of at least min_dur; n <= 0 keeps all."""
+def top_targets(voices_: DataFrame, n: int, min_dur: float = 60.0, name: str = "voice") -> DataFrame:
+    """The n longest voices of at least min_dur, equally long ones by name; n <= 0 keeps all."""
     rows = voices_.where(F.col("dur") >= min_dur)
-    return rows if n <= 0 else rows.orderBy(F.col("dur").desc()).limit(n)
+    return rows if n <= 0 else rows.orderBy(F.col("dur").desc(), name).limit(n)
 
 
 def conversions(sources: DataFrame, targets: DataFrame, item: str, members: str) -> DataFrame:

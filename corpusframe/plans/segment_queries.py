@@ -143,7 +143,7 @@ SELECT vec_id, v.label AS target FROM embeddings e, v WHERE NOT list_contains(me
 def q41_conversions(t):
     e = t("embeddings")
     voices = e.groupBy("label").agg(F.collect_list("vec_id").alias("members"), F.count("*").alias("n"))
-    targets = vectors.top_targets(voices.withColumn("dur", F.col("n") - F.col("label") * 1e-6), 3, 0)
+    targets = vectors.top_targets(voices.withColumnRenamed("n", "dur"), 3, 0, "label")
     return vectors.conversions(e.select("vec_id"), targets.select("members", F.col("label").alias("target")), "vec_id", "members").select("vec_id", "target")
 
 
