@@ -1,10 +1,10 @@
-"""Embeddings: cohesion, voices by complete linkage, nearest neighbours, targets."""
+"""Embeddings: cohesion, voices by complete linkage, targets."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import l2_normalized
@@ -82,42 +82,8 @@ def voices(clustered: DataFrame, clips: DataFrame, group: str, item: str, embedd
     return agg.join(tight, "voice").where((F.col("cohesion") >= min_cohesion) & (F.col("dur") >= min_dur)).orderBy(F.col("dur").desc(), "voice")
 
 
-#: Queries that go to every task at once, and targets that may be broadcast.
-BLOCK, TARGETS = 4096, 10_000
-
-
-def nearest(df: DataFrame, item: str, embedding: str, queries: DataFrame, k: int = 4) -> DataFrame:
-    """(query, neighbour, cosine, rank): each query's k nearest other items, exactly. A stated query set
-    is compared in blocks of about BLOCK unit rows, dealt by a hash, so what goes to the tasks stays
-    bounded; each block reads the items once."""
-    spark = df.sparkSession
-    asked = queries.select(F.col(item).alias("query"), l2_normalized(F.col(embedding)).alias("e"))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    rows = df.select(F.col(item).alias("i"), l2_normalized(F.col(embedding)).alias("e"))
-
-    def block(b: int) -> DataFrame:
-        q = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()
-        held = spark.sparkContext.broadcast((q["query"].to_numpy(), np.stack(q["e"].to_numpy()) if len(q) else np.zeros((0, 1))))
-
-        def run(batches):
-            ids, m = held.value
-            for part in batches:
-                if not len(part) or not len(ids):
-                    continue
-                s = m @ np.stack(part["e"].to_numpy()).T
-                s[ids[:, None] == part["i"].to_numpy()] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                at = np.arange(len(ids))[:, None]
-                out = pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "neighbour": part["i"].to_numpy()[top].ravel(), "cosine": s[at, top].ravel()})
-                yield out[np.isfinite(out["cosine"])]
-
-        return rows.mapInPandas(run, "query long, neighbour long, cosine double")
-
-    near = block(0)
-    for b in range(1, blocks):
-        near = near.unionByName(block(b))
-    w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+#: Targets that may be broadcast.
+TARGETS = 10_000
 
 
 def top_targets(voices_: DataFrame, n: int, min_dur: float = 60.0, name: str = "voice") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import segments, select, table_functions, vectors
+from ..operators import neighbours, segments, select, table_functions, vectors
 from .registry import query, sql_tokens
 
 
@@ -164,7 +164,7 @@ SELECT query, neighbour, round(c, 6) AS cosine FROM p QUALIFY row_number() OVER
 """)
 def q43_cosine_topk(t):
     e = t("embeddings")
-    return vectors.nearest(e, "vec_id", "embedding", e.where("vec_id % 50 = 0")).select("query", "neighbour", F.round("cosine", 6).alias("cosine"))
+    return neighbours.nearest(e, "vec_id", "embedding", e.where("vec_id % 50 = 0")).select("query", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
 @query()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusframe.operators import models, scan, segments, vectors
+from corpusframe.operators import models, neighbours, scan, segments, vectors
 
 
 @pytest.mark.parametrize(
@@ -202,7 +202,7 @@ def test_voices_targets_and_sweep(spark):
     assert vectors.conversions(df.select("id"), vs.select("voice", "clips"), "id", "clips").count() == 12
     s = {(x["threshold"], x["min_cohesion"]): (x["n60"], x["n30"]) for x in vectors.sweep(df, "country", "id", "e", "dur", [0.01, 0.45], [0.7]).collect()}
     assert s[0.45, 0.7] == (2, 2)
-    near = vectors.nearest(df, "id", "e", df.where("id = 0"), 3).collect()
+    near = neighbours.nearest(df, "id", "e", df.where("id = 0"), 3).collect()
     assert {x["neighbour"] % 2 for x in near} == {0} and [x["rank"] for x in near] == [1, 2, 3]
 
 
@@ -210,3 +210,45 @@ def test_model_registry(spark):
     models.register("length", lambda: lambda b: b.assign(n=b["text"].str.len())[["id", "n"]])
     df = spark.createDataFrame([(1, "abc"), (2, "")], "id long, text string")
     assert {r["id"]: r["n"] for r in models.apply_model(df, "length", "id long, n long", ["id", "text"], "id").collect()} == {1: 3, 2: 0}
+
+
+def slow_neighbours(rows, asked, k):
+    unit = {i: np.array(e) / np.linalg.norm(e) for i, e in rows}
+    return {q: sorted(((round(-float(unit[q] @ unit[i]), 9), i) for i in unit if i != q))[:k] for q in asked}
+
+
+@pytest.mark.parametrize("block", [neighbours.BLOCK, 16])
+def test_nearest_prunes_and_is_exact(spark, monkeypatch, block):
+    """Forty tight clusters, a third of all rows one vector, and rows without clusters."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.02 * r.normal(size=16)).tolist()) for i in range(2400)]
+    rows += [(5000 + i, centres[7].tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows + rows[:10] * 3, "id long, e array<double>").repartition(5)
+    asked = df.where("id % 50 = 0")
+    compared = spark.sparkContext.accumulator(0)
+    got = neighbours.nearest(df, "id", "e", asked, 4, compared=compared).collect()
+    want = slow_neighbours(rows, [i for i, _ in rows if i % 50 == 0], 4)
+    for q, best in want.items():
+        mine = sorted((x["rank"], x["neighbour"], x["cosine"]) for x in got if x["query"] == q)
+        assert [x[0] for x in mine] == [1, 2, 3, 4] and [-round(x[2], 9) for x in mine] == pytest.approx([c for c, _ in best], abs=2e-9)
+        if q % 40 != 7 and q < 5000:
+            assert [x[1] for x in mine] == [i for _, i in best]
+    copies = [x for x in got if x["query"] >= 5000]
+    assert {x["neighbour"] for x in copies} <= {5000, 5001, 5002, 5003, 5004} and len(got) == 4 * len(want)
+    assert 0 < compared.value < 0.05 * len(rows) * len(want)
+
+
+def test_nearest_without_clusters_and_on_odd_rows(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(300)]
+    odd = [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] * 8), (None, [1.0] * 8), (904, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows + odd, "id long, e array<double>").withColumn("cell", F.lit("x")).withColumn("r", F.lit(None).cast("int"))
+    got = neighbours.nearest(df, "id", "e", df, 3, pivots=10).collect()
+    want = slow_neighbours(rows, range(300), 3)
+    assert {q: [x["neighbour"] for x in sorted(got, key=lambda x: x["rank"]) if x["query"] == q] for q in want} == {q: [i for _, i in b] for q, b in want.items()}
+    assert len(got) == 900
+    few = neighbours.nearest(df.where("id < 3"), "id", "e", df.where("id < 5"), 4).collect()
+    assert sorted((x["query"], x["rank"]) for x in few) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 1), (4, 2), (4, 3)]
+    assert neighbours.nearest(df.limit(0), "id", "e", df).count() == 0 and neighbours.nearest(df, "id", "e", df.limit(0)).count() == 0
