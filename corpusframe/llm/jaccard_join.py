@@ -33,8 +33,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, chunks, discard, fresh, id_text, map_texts, materialize, reclaim, release, small, table, without
 from .components import components
@@ -60,10 +61,25 @@ def fold(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set."""
+    f1 = [mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) for s in sets]
+    f2 = [np.bitwise_xor.reduce(mix(s + _U(0x14057B7EF767814F)), initial=_U(0)) for s in sets]
+    return np.array(f1, dtype=_U), np.array(f2, dtype=_U)
+
+
+def nodes(ids: list, sets: list[np.ndarray], f1: np.ndarray, f2: np.ndarray) -> pa.Array:
+    """A 64-bit hash of each id with its set; null for null ids. It names a text whose id has others."""
+    known = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(_U)
+    n = np.array([len(s) for s in sets], dtype=_U)
+    made = mix(mix(mix(f1 + n) ^ f2) ^ known).view(np.int64)
+    return pa.array(made, mask=np.array([i is None for i in ids], dtype=bool))
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds in one reading: of each document (doc_id, n, f1, f2, sketch), and of each
+    """Rows of two kinds in one reading: of each document (doc_id, n, f1, f2, sketch, node), and of each
     task its shingle counts (task, part, counts)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("task", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("node", pa.int64()), ("task", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         cells = np.zeros(CELLS, dtype=np.uint8)
@@ -72,18 +88,17 @@ def describe(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts)
                 at, n = np.unique((np.concatenate(sets) % _U(CELLS)).astype(np.int64), return_counts=True)
                 cells[at] = np.minimum(cells[at] + n, 255)
-                f1 = [mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64) for s in sets]
-                f2 = [np.bitwise_xor.reduce(mix(s + _U(0x14057B7EF767814F)), initial=_U(0)).astype(np.int64) for s in sets]
+                f1, f2 = fingerprints(sets)
                 none = [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, [len(s) for s in sets], f1, f2, [fold(s) for s in sets], none, none, none), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, [len(s) for s in sets], f1.view(np.int64), f2.view(np.int64), [fold(s) for s in sets], nodes(ids, sets, f1, f2), none, none, none), schema, strict=True)], schema=schema)
         if cells.any():
             packed = [zlib.compress(c.tobytes(), 1) for c in cells.reshape(PARTS, -1)]
             del cells
             none, task = [None] * PARTS, [TaskContext.get().partitionId()] * PARTS
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((none, none, none, none, none, task, list(range(PARTS)), packed), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((none, none, none, none, none, none, task, list(range(PARTS)), packed), schema, strict=True)], schema=schema)
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, task int, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, node long, task int, part int, counts binary")
 
 
 def levels(described: DataFrame) -> np.ndarray:
@@ -249,35 +264,64 @@ def close(pairs: DataFrame, meta: DataFrame, n_meta: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").where(far * 9 <= F.col("n_a") + F.col("n_b"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+def with_nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """df with the node of each row's id (a long) and text."""
+    at, text_at = df.columns.index(id_col), df.columns.index(text_col)
 
-    Two documents link when 100 * intersection >= 80 * union of their sets of 5-word shingles
-    (A-Z lower-cased; fewer words: the whole sequence as one shingle). component_id is the
-    smallest doc_id reachable by links. Null, empty and blank texts have no shingles, link with
-    nothing and are their own component. Rows repeated with id and text give repeated results. Ids
-    tell texts apart: where one id has several texts each row has its own size, but they share a
-    component, found by any of them. Null ids are compared with nothing. An empty table gives no
-    rows; other columns, whatever their names, stay behind."""
-    base = id_text(docs, id_col, text_col)
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(at).to_pylist(), [t or "" for t in batch.column(text_at).to_pylist()]
+            made = []
+            for i, t in chunks(ids, texts, CHARS):
+                sets = shingle_sets(t)
+                made.append(nodes(i, sets, *fingerprints(sets)))
+            if made:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(made)], names=[*batch.schema.names, name])
+        release()
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def linked(base: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Of (doc_id, text): the rows (doc_id, node, n); ids that have several sets, or None; and the
+    components (id, component) over nodes, of nodes that are not their component's name. A node is
+    the id, or a hash of id and set where an id has several of them: each text is then compared
+    by itself."""
     described = materialize(describe(base))
-    meta = described.where("part is null").select("doc_id", "n", "f1", "f2", "sketch")
+    meta = described.where("part is null").select("doc_id", "n", "f1", "f2", "sketch", "node")
     level = levels(described)
-
+    several = meta.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    several = materialize(several.select("doc_id"))
+    n_several = several.count()
+    named = base.where("doc_id is not null")
+    if n_several:
+        told = small(several, n_several)
+        parts = materialize(with_nodes(named.join(told, "doc_id", "left_semi").select("doc_id", "text"), "doc_id", "text", "node"))
+        named = named.join(told, "doc_id", "left_anti").unionByName(parts.select(F.col("node").alias("doc_id"), "text"))
+        marked = several.withColumn("several", F.lit(True))
+        meta = meta.join(small(marked, n_several), "doc_id", "left").withColumn("node", F.when(F.col("several"), F.col("node")).otherwise(F.col("doc_id")))
+    else:
+        meta = meta.withColumn("node", F.col("doc_id"))
+    rows = meta.select("doc_id", "node", "n")
+    meta = meta.select(F.col("node").alias("doc_id"), "n", "f1", "f2", "sketch")
+    return rows, several if n_several else None, node_components(base.sparkSession, named, meta, level)
+
+
+def node_components(spark: SparkSession, named: DataFrame, meta: DataFrame, level: np.ndarray) -> DataFrame:
+    """(id, component) of texts (doc_id, text) and their descriptions, where the two differ."""
     classes = meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     classes = materialize(classes.where("size > 1").select("n", "f1", "f2", "rep"))
     copies = meta.where("n > 0").select("doc_id", "n", "f1", "f2").join(small(classes, classes.count()), ["n", "f1", "f2"]).where("doc_id <> rep")
     copies = materialize(copies.select("doc_id", "rep"))
     n_copies = copies.count()
-    named = base.where("doc_id is not null")
     alone = named.join(small(copies.select("doc_id"), n_copies), "doc_id", "left_anti") if n_copies else named
 
     keys = materialize(keyed(alone, level, slices))
-    reclaim(base.sparkSession)
+    reclaim(spark)
     each = keys.select("doc_id", F.explode("keys").alias("key"))
     shared = materialize(each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"))
     n_shared = shared.count()
-    reclaim(base.sparkSession)
+    reclaim(spark)
     members = materialize(shared_only(keys, shared, n_shared).join(small(shared, n_shared), "key").select("key", "doc_id"))
     discard(keys, shared)
     # the centre of a slice: the document with most shared slices, as the text that others were
@@ -292,7 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = close(stars, sketches, n_sketches).groupBy("b").agg(F.max(F.struct("hits", -F.col("a"))).alias("m")).select("b", (-F.col("m.col2")).alias("a"))
     links = verified(alone, best.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    reclaim(base.sparkSession)
+    reclaim(spark)
     # documents of slices that lie in more than one component so far
     found = materialize(components(links))
     comp = reps.join(small(found.withColumnRenamed("id", "doc_id"), found.count()), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
@@ -324,20 +368,50 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(verified(alone, close(pairs, sketches, n_sketches)))
 
     whole = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    whole = materialize(whole.where("id <> component"))
-    n = whole.count()
-    out = meta.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(small(whole.withColumnRenamed("id", "doc_id"), n), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return materialize(whole.where("id <> component"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * intersection >= 80 * union of their sets of 5-word shingles
+    (A-Z lower-cased; fewer words: the whole sequence as one shingle). component_id is the
+    smallest doc_id reachable by links. Null, empty and blank texts have no shingles, link with
+    nothing and are their own component. Rows repeated with id and text give repeated results.
+    Where one id has several texts each row has its own size and is compared by itself, but the id
+    is one document: its rows share a component, with whatever any of them links with. Null ids are
+    compared with nothing. An empty table gives no rows; other columns, whatever their names, stay
+    behind."""
+    rows, several, whole = linked(id_text(docs, id_col, text_col))
+    if several is None:
+        found = small(whole.withColumnRenamed("id", "node"), whole.count())
+        return rows.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    same = rows.join(small(several, several.count()), "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    folded = materialize(components(whole.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(same)))
+    held = rows.join(small(folded.withColumnRenamed("id", "node"), folded.count()), "node", "left")
+    names = materialize(held.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")))
+    out = held.join(small(names, names.count()), "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all columns whatever their names, one document of each component: that of the
-    smallest id. Rows without an id and those without shingles stay; repeated rows stay or go
-    together; an empty table stays empty."""
-    (id_,) = fresh(docs, "id")
-    made = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id")
-    gone = materialize(made.select(F.col("doc_id").alias(id_)).distinct())
-    return without(docs.withColumn(id_, F.col(id_col).cast("long")), gone, [id_]).select(*docs.columns)
+    smallest id. Rows without an id and those without shingles stay; rows repeated with id and text
+    stay or go together; of an id with several texts each is judged by itself; an empty table stays
+    empty."""
+    id_, node = fresh(docs, "id", "node")
+    rows, several, whole = linked(id_text(docs, id_col, text_col))
+    docs_ = docs.withColumn(id_, F.col(id_col).cast("long"))
+    if several is None:
+        return without(docs_, whole.select(F.col("id").alias(id_)), [id_]).select(*docs.columns)
+    members = whole.unionByName(whole.select(F.col("component").alias("id"), "component").distinct())
+    owned = materialize(rows.distinct().join(members, F.col("node") == F.col("id")).select("doc_id", "node", "component"))
+    best = owned.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("best"))
+    gone = materialize(owned.join(best, "component").where("node <> best.node").select(F.col("node").alias(node)))
+    told = small(several.withColumnRenamed("doc_id", id_), several.count())
+    keyed_ = docs_.join(told, id_, "left_anti").select(*docs.columns, id_).withColumn(node, F.col(id_))
+    apart = docs_.join(told, id_, "left_semi").select(*docs.columns, id_)
+    return without(keyed_.unionByName(with_nodes(apart, id_, text_col, node)), gone, [node]).select(*docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

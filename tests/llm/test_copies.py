@@ -94,6 +94,18 @@ def test_jaccard_with_ids_missing_or_shared(spark):
     assert {r[1] for r in rows if r[0] == 2} == {57, 6}
 
 
+def test_ids_with_several_texts_link_by_each(spark):
+    """(1, A), (2, A), (2, B), (9, near B): 9 is found through 2; B is like no smaller id's text."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (2, b, "s"), (9, b + " more", "t"), (3, "alone in all this", "u"), (2, None, "v"), (None, b, "w"), (7, "x y", "x"), (7, "z", "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, node string")
+    got = sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=repr)
+    want = [(1, 56, 1), (2, 56, 1), (2, 56, 1), (2, 56, 1), (2, 0, 1), (9, 57, 1), (3, 1, 3), (None, 56, None), (7, 1, 7), (7, 1, 7)]
+    assert got == sorted(want, key=repr)
+    left = jaccard_join.drop_near_copies(df)
+    assert left.columns == df.columns and sorted(r["node"] for r in left.collect()) == ["p", "r", "s", "u", "v", "w", "x", "y"]
+
+
 def edited(r, words, n):
     words = list(words)
     for _ in range(n):
