@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,7 +84,7 @@ def voices(clustered: DataFrame, clips: DataFrame, group: str, item: str, embedd
     return agg.join(tight, "voice").where((F.col("cohesion") >= min_cohesion) & (F.col("dur") >= min_dur)).orderBy(F.col("dur").desc(), "voice")
 
 
-#: Targets that may be broadcast.
+#: Targets that are broadcast at a time.
 TARGETS = 10_000
 
 
@@ -93,11 +95,14 @@ def top_targets(voices_: DataFrame, n: int, min_dur: float = 60.0, name: str = "
 
 
 def conversions(sources: DataFrame, targets: DataFrame, item: str, members: str) -> DataFrame:
-    """Every source with every target that doesn't contain it. Targets are the few of top_targets; more
-    than TARGETS of them are an error, as each meets every source."""
-    if (n := targets.limit(TARGETS + 1).count()) > TARGETS:
-        raise ValueError(f"{n} targets are too many")
-    return sources.crossJoin(F.broadcast(targets)).where(~F.array_contains(F.col(members), F.col(item)))
+    """Every source with every target that doesn't contain it. Targets are the few of top_targets; where
+    they are more than TARGETS they go in blocks of about as many, each by a reading of the sources,
+    as each target meets every source in the result."""
+    parts = -(-targets.count() // TARGETS) or 1
+    block = F.pmod(F.xxhash64(*targets.columns), F.lit(parts))
+    blocks = [targets.where(block == k) if parts > 1 else targets for k in range(parts)]
+    met = reduce(DataFrame.unionByName, [sources.crossJoin(F.broadcast(b)) for b in blocks])
+    return met.where(~F.array_contains(F.col(members), F.col(item)))
 
 
 def sweep(df: DataFrame, group: str, item: str, embedding: str, duration: str, thresholds: list[float], cohesions: list[float]) -> DataFrame:

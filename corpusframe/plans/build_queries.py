@@ -251,7 +251,7 @@ def q95_label_codes(t):
 
 
 @query("""
-WITH f AS (SELECT doc_id AS id, lang AS dialect, n_chars * 10 AS ms FROM documents WHERE doc_id % 3 = 0), s AS (SELECT doc_id AS id, lang AS dialect, n_chars * 10 AS ms FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0),
+WITH f AS (SELECT doc_id AS id, lang AS dialect, n_chars * 10 AS ms FROM documents WHERE doc_id % 3 = 0), s AS (SELECT doc_id AS id, lang AS dialect, n_chars * 10 AS ms FROM documents WHERE doc_id % 3 <> 0),
 c AS (SELECT * FROM f UNION ALL SELECT * FROM s), n AS (SELECT *, CASE WHEN ms > 5000 THEN (ms - 5000) // 5000 + 1 ELSE 0 END AS n FROM c WHERE ms >= 2000),
 g AS (SELECT dialect, 5000 AS d FROM n, range(n) UNION ALL SELECT dialect, ms FROM n WHERE ms <= 5000 UNION ALL SELECT dialect, ms - n * 5000 FROM n WHERE ms > 5000 AND ms - n * 5000 >= 2000)
 SELECT dialect, count(*) AS n, round(count(*) / (SELECT count(*) FROM g), 9) AS share, round(sum(d) / 3600000, 6) AS hours FROM g GROUP BY dialect
@@ -259,7 +259,7 @@ SELECT dialect, count(*) AS n, round(count(*) / (SELECT count(*) FROM g), 9) AS
 def q96_segment_build(t):
     """Two corpora's segments; an id of both counts for the first."""
     d = t("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("dialect"), (F.col("n_chars") / 100).alias("duration"))
-    built = corpora.segment_build(d.where("id % 3 = 0"), d.where("id % 2 = 0"), 5.0, 5.0, 2.0)
+    built = corpora.segment_build(d.where("id % 3 = 0"), d, 5.0, 5.0, 2.0)
     return corpora.segment_totals(built).select("dialect", "n", F.round("share", 9).alias("share"), F.round("hours", 6).alias("hours"))
 
 
@@ -293,3 +293,42 @@ def q98_letter_rules(t):
     x = text.normalize_scoring(text.normalize_training(F.col("text"), asmo=True))
     y = text.normalize_letters(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", ARABIC))
     return t("documents").select("doc_id", x.alias("asmo"), y.alias("letters"))
+
+
+@query("""
+WITH a AS (SELECT count(*) AS n, count(*) FILTER (lang IN ('en', 'de')) AS held FROM documents)
+SELECT 'rows' AS "check", 2 * n AS violations FROM a UNION ALL SELECT 'whole', (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) FROM a
+UNION ALL SELECT 'begins', (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) + (SELECT count(*) FROM documents WHERE doc_id % 4 = 1) FROM a
+UNION ALL SELECT 'original', n - held FROM a UNION ALL SELECT 'leakage', (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) FROM a
+""")
+def q121_assembled(t):
+    """Two manifests as one, and the checks of what came together: how many rows there are, whole and
+    rightly begun texts, nothing of the held-out audio."""
+    d = t("documents")
+    text_ = F.concat(F.lit(text.TEXT_MARK), "source")
+    where = F.when(F.col("lang").isin("en", "de"), "/audio/original/").otherwise("/audio/original_val/")
+    first = d.select(F.concat(where, F.col("doc_id").cast("string")).alias("audio"), F.when(F.col("doc_id") % 7 != 0, text_).alias("text"), F.col("lang").alias("dialect"))
+    second = d.select(F.concat(F.lit("/audio/more/"), F.col("doc_id").cast("string")).alias("audio"), F.when(F.col("doc_id") % 4 == 1, "plain").otherwise(text_).alias("text"), F.col("lang").alias("dialect"))
+    rows, checks = corpora.assemble([first, second], second.where("cast(substring_index(audio, '/', -1) as long) % 10 = 0"), text.TEXT_MARK)
+    return rows.agg(F.lit("rows").alias("check"), F.count("*").alias("violations")).unionByName(checks)
+
+
+@query("SELECT source, sum(n_chars) AS total, row_number() OVER (ORDER BY sum(n_chars) DESC, source) AS place FROM documents GROUP BY source")
+def q122_groups_by_total(t):
+    """Groups by falling total, with their places."""
+    from pyspark.sql import Window
+
+    per = metrics.by_total(t("documents"), "source", "n_chars")  # one row a group
+    return per.withColumn("place", F.row_number().over(Window.orderBy(F.col("total").desc(), "source")))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, {sql_tokens('text')} AS words FROM documents)
+SELECT doc_id, len(words) AS n_words, round(CASE WHEN len(words) > 0 THEN list_sum(list_transform(words, lambda w: length(w))) / len(words) ELSE 0 END, 9) AS mean_length FROM w
+""")
+def q123_items(t):
+    """What two outputs need, and nothing else, from items that say what they take and provide."""
+    letters = lambda w: F.aggregate(w, F.lit(0), lambda s, x: s + F.char_length(x))
+    items = models.Items().provides("words", ("text",), text.tokens).provides("n_words", ("words",), F.size).provides("letters", ("words",), letters)
+    items.provides("mean_length", ("letters", "n_words"), lambda a, n: F.round(F.when(n > 0, a / n).otherwise(0.0), 9)).provides("unused", ("words",), F.array_distinct)
+    return items.select(t("documents"), ["doc_id", "n_words", "mean_length"])

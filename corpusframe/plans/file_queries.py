@@ -276,18 +276,17 @@ def q70_training_rows(t):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents")
 def q71_row_order(t):
-    """Rows numbered as they are stored."""
+    """Rows numbered as they are stored, over all files."""
     d = t("documents").select("doc_id")
     path = scratch.folder(d.sparkSession, "stored")
-    d.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
-    back = manifests.required(d.sparkSession.read.parquet(path), ["doc_id"])
-    return manifests.in_row_order(back).select("doc_id", "index")
+    d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return manifests.numbered_rows(d.sparkSession, path, ["doc_id"])
 
 
-@query("SELECT p_partkey::VARCHAR AS id, p_size * 160 / 16000 AS duration, 'listed' AS kind FROM part WHERE p_partkey % 50 = 0")
+@query("SELECT p_partkey::VARCHAR AS id, p_size * 160 / 16000 AS duration, 'listed' AS kind FROM part")
 def q72_augmentation_table(t):
     """A folder's clips as an augmentation table, which is made once and then only read."""
-    p = t("part").where("p_partkey % 50 = 0")
+    p = t("part")
     spark = p.sparkSession
     root = scratch.folder(spark, "noise")
     waves = _waves(p, "p_partkey", F.array_repeat(F.lit(0.0), (F.col("p_size") * 160).cast("int")))
@@ -335,11 +334,90 @@ def q111_sample_rows(t):
     return sample_rows(s, "id", "ref", "base", "current").withColumn("base_wer", F.round("base_wer", 9))
 
 
-@query("SELECT 'wav' AS kind, count(*) AS files, sum(44 + 2 * p_size * 160) AS bytes FROM part WHERE p_partkey % 20 = 0")
+@query("SELECT 'wav' AS kind, count(*) AS files, sum(44 + 2 * p_size * 160) AS bytes FROM part")
 def q112_inventory(t):
     """Files of a folder by name and size; their contents are not read."""
-    p = t("part").where("p_partkey % 20 = 0")
+    p = t("part")
     root = scratch.folder(p.sparkSession, "inventory")
     waves = _waves(p, "p_partkey", F.array_repeat(F.lit(0.0), (F.col("p_size") * 160).cast("int")))
     sinks.export_audio(waves.withColumn("file", F.concat("id", F.lit(".wav"))), "file", "audio", root).write.format("noop").mode("overwrite").save()
     return manifests.inventory(p.sparkSession, root, "*.wav").agg(F.lit("wav").alias("kind"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT 'd' || doc_id AS id, md5(trim(text)) AS said FROM documents WHERE trim(text) <> ''")
+def q115_parquet_shards(t):
+    """Transcribed clips of all groups' shards; clips without a transcript stay behind."""
+    d = t("documents")
+    spark = d.sparkSession
+    root = scratch.folder(spark, "shards")
+    audio = F.struct(F.lit(None).cast("binary").alias("bytes"), F.lit("x.wav").alias("path")).alias("audio")
+    d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("  "), "text", F.lit(" ")).alias("transcription"), audio, "lang").write.partitionBy("lang").parquet(root)
+    return manifests.parquet_shards(spark, root, "*", "part").select("id", F.md5("transcription").alias("said"))
+
+
+@query("""
+WITH n AS (SELECT doc_id, 'Org/' || upper(source) || '/' || lang || '-Set' AS name FROM documents)
+SELECT doc_id, replace(name, '/', '___') AS folder, lower(lang) || '-set' AS prefix FROM n JOIN documents USING (doc_id)
+""")
+def q116_cache_names(t):
+    """Where a published dataset's cache lies."""
+    name = F.concat(F.lit("Org/"), F.upper("source"), F.lit("/"), "lang", F.lit("-Set"))
+    return t("documents").select("doc_id", manifests.source_names(name).alias("n")).select("doc_id", "n.*")
+
+
+@query("SELECT vec_id::VARCHAR AS id, 'c' || vec_id % 3 AS folder_dialect, label::DOUBLE AS duration_s, 's' || label AS source_id FROM embeddings WHERE label >= 3")
+def q117_conversion_rows(t):
+    """Converted clips of three folders, long enough ones."""
+    e = t("embeddings")
+    spark = e.sparkSession
+    root = scratch.folder(spark, "converted")
+    rows = e.select("vec_id", F.col("vec_id").cast("string").alias("id"), F.lit("?").alias("dialect"), F.col("label").cast("double").alias("duration_s"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source_id"), F.lit("v").alias("target_voice"))
+    for k in range(3):
+        rows.where(F.col("vec_id") % 3 == k).drop("vec_id").write.json(f"{root}/c{k}/metadata.jsonl")
+    return manifests.conversion_rows(spark, root, 3.0).select("id", "folder_dialect", "duration_s", "source_id")
+
+
+@query("""
+WITH e AS (SELECT 'v' || lpad(vec_id::VARCHAR, 12, '0') AS id, 'c' || label AS country, CASE WHEN vec_id % 2 = 0 THEN 'dev' ELSE 'train' END AS split, label / 2 AS duration_s FROM embeddings)
+SELECT 'flat' AS layout, id, '/r/' || country || '/' || id || '.wav' AS wav_path, id[:11] AS prefix, duration_s FROM e
+UNION ALL SELECT 'split', id, '/r/' || country || '/' || split || '/' || id || '.wav', id[:11], duration_s FROM e
+""")
+def q118_clip_metadata(t):
+    """Arrays of clips in many files, under both layouts of folders."""
+    e = t("embeddings")
+    spark = e.sparkSession
+    path = scratch.folder(spark, "clips")
+    clip = F.struct(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("country"), F.when(F.col("vec_id") % 2 == 0, "dev").otherwise("train").alias("split"), (F.col("label") / 2).alias("duration_s"), F.lit("").alias("transcription"))
+    arrays_ = e.groupBy(F.expr("vec_id div 1000")).agg(F.to_json(F.collect_list(clip)).alias("value")).select("value")  # a thousand clips a file
+    arrays_.write.option("maxRecordsPerFile", 1).text(path)
+    one = lambda layout: manifests.clips(spark, path, "/r", layout).select(F.lit(layout).alias("layout"), "id", "wav_path", "prefix", "duration_s")
+    return one("flat").unionByName(one("split"))
+
+
+@query("""
+SELECT 'n' || c_nationkey AS country, count(*) AS voices, sum(c_custkey % 90) AS seconds, sum(c_custkey % 3 + 1) AS clips, count(*) FILTER (c_custkey % 90 >= 60) AS long_voices,
+(SELECT count(*) FROM customer WHERE c_custkey % 90 >= 30) AS all_voices FROM customer GROUP BY c_nationkey
+""")
+def q119_voice_bank(t):
+    """A bank of voices written by country with its summary, and both read again."""
+    c = t("customer")
+    spark = c.sparkSession
+    root = scratch.folder(spark, "bank")
+    country, dur = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("country"), (F.col("c_custkey") % 90).cast("double").alias("dur")
+    names = F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int")), lambda k: F.concat_ws("-", F.col("c_custkey").cast("string"), k.cast("string")))
+    voices = c.select(country, dur, names.alias("clips"), names.alias("wav_paths"), F.lit(1).alias("n_video"), F.lit(0.9).alias("cohesion"), F.array(country).alias("dialects"))
+    sinks.write_bank(voices, metrics.bank_summary(voices, c.select(country, dur), "country"), {"exp": "x"}, root)
+    said = spark.read.text(f"{root}/bank_summary.json", wholetext=True).select(F.from_json("value", "totals struct<voices:long>, per_dialect map<string, struct<voices:long, long_voices:long>>").alias("s"))
+    per = said.select(F.col("s.totals.voices").alias("all_voices"), F.explode("s.per_dialect").alias("country", "p")).select("country", "all_voices", "p.long_voices")
+    back = manifests.bank(spark, f"{root}/bank", lines=True).groupBy("country").agg(F.count("*").alias("voices"), F.sum("dur").cast("long").alias("seconds"), F.sum(F.size("clips")).alias("clips"))
+    return back.join(per, "country")
+
+
+@query("SELECT count(*) AS n, sum(n_chars) AS letters, count(DISTINCT lang) AS groups, 'none' AS missing FROM documents")
+def q120_report_file(t):
+    """One row of figures as a JSON file; a figure that there is none of is written too."""
+    d = t("documents")
+    path = f"{scratch.folder(d.sparkSession, 'figures')}/report.json"
+    sinks.write_report(d.agg(F.count("*").alias("n"), F.sum("n_chars").alias("letters"), F.count_distinct("lang").alias("groups")), path, F.struct("n", "letters", "groups", F.lit(None).cast("double").alias("wer")))
+    said = d.sparkSession.read.text(path, wholetext=True).select("value", F.from_json("value", "n long, letters long, groups long").alias("r"))
+    return said.select("r.*", F.when(F.contains("value", F.lit('"wer":null')), "none").alias("missing"))

@@ -187,16 +187,15 @@ def q46_cluster(t):
 
 
 @query("""
-WITH e AS (SELECT unnest(range(1, 16)) AS epoch)
-SELECT epoch, round(CASE WHEN epoch <= 5 THEN 1e-4 * epoch / 5 ELSE 1e-7 + (1e-4 - 1e-7) * 0.5 * (1 + cos(pi() * (epoch - 5) / 10)) END, 12) AS lr,
+WITH e AS (SELECT event_id, event_id % 15 + 1 AS epoch FROM events)
+SELECT event_id, epoch, round(CASE WHEN epoch <= 5 THEN 1e-4 * epoch / 5 ELSE 1e-7 + (1e-4 - 1e-7) * 0.5 * (1 + cos(pi() * (epoch - 5) / 10)) END, 12) AS lr,
 round(least(1.0, (epoch - 1) / 3.0) * 0.2, 9) AS margin, CASE WHEN epoch < 2 THEN 0 ELSE least(12, (epoch - 1) * 3) END AS unfrozen FROM e
 """)
 def q48_schedules(t):
-    from pyspark.sql import SparkSession
-
-    e = SparkSession.getActiveSession().range(1, 16).withColumnRenamed("id", "epoch")
+    """Every event as a step of some epoch: its rate, margin and number of layers that train."""
     x = F.col("epoch")
-    return e.select("epoch", F.round(arrays.learning_rate(x, 1e-4, 1e-7, 5, 15), 12).alias("lr"), F.round(arrays.margin(x, 0.2, 3), 9).alias("margin"), arrays.unfrozen(x, 12, 2, 3).alias("unfrozen"))
+    e = t("events").select("event_id", (F.col("event_id") % 15 + 1).alias("epoch"))
+    return e.select("event_id", "epoch", F.round(arrays.learning_rate(x, 1e-4, 1e-7, 5, 15), 12).alias("lr"), F.round(arrays.margin(x, 0.2, 3), 9).alias("margin"), arrays.unfrozen(x, 12, 2, 3).alias("unfrozen"))
 
 
 @query(f"""

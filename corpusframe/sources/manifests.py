@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -96,9 +96,9 @@ def problem_ids(spark: SparkSession, paths: list[str], reasons: list[str]) -> Da
 
 
 def conversion_rows(spark: SparkSession, root: str, min_dur: float) -> DataFrame:
-    """Rows of <root>/<dialect>/metadata.jsonl with their folder's dialect."""
+    """Rows of <root>/<dialect>/metadata.jsonl, a file or a folder of parts, with their folder's dialect."""
     rows = spark.read.schema(schemas.CONVERSION).json(f"{root}/*/metadata.jsonl")
-    return rows.withColumn("folder_dialect", F.element_at(F.split("_metadata.file_path", "/"), -2)).where(F.col("duration_s") >= min_dur)
+    return rows.withColumn("folder_dialect", F.regexp_extract("_metadata.file_path", "([^/]+)/metadata[.]jsonl(/[^/]*)?$", 1)).where(F.col("duration_s") >= min_dur)
 
 
 def clips(spark: SparkSession, path, root: str, layout: str) -> DataFrame:
@@ -126,6 +126,18 @@ def in_row_order(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
 
 
+def numbered_rows(spark: SparkSession, path, columns: list[str], index: str = "index") -> DataFrame:
+    """The columns of stored Parquet rows and their index, numbered from 0 over all files in the order of
+    their names. Files are read in parts by any number of tasks: one small row a file tells how
+    many rows lie before it. A missing column and an empty table are errors."""
+    table = required(spark.read.parquet(path), columns)
+    file = F.col("_metadata.file_path").alias("file")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = table.select(file).groupBy("file").agg(F.count("*").alias("n")).select("file", before.alias("before"))
+    rows = table.select(F.struct(*columns).alias("row"), file, F.col("_metadata.row_index").alias("at"))
+    return rows.join(files, "file").select("row.*", (F.col("before") + F.col("at")).alias(index))
+
+
 def required(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns missing: {missing}")
@@ -198,11 +210,14 @@ def embeddings(spark: SparkSession, matrix, meta) -> DataFrame:
     return met.where(guard).select("id", "dur", "country", "embedding")
 
 
-def bank(spark: SparkSession, path: str) -> DataFrame:
-    """The voices of a bank file (a JSON array); none if there is no file."""
+def bank(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The voices of a bank; none if there is nothing at path. A bank is one file with a JSON array, or
+    (lines) the folder that sinks.write_bank makes: JSON lines in a folder per country, which is
+    split among tasks and read by country."""
     from .scratch import exists
 
-    return spark.read.option("multiLine", True).schema(schemas.VOICE).json(path) if exists(spark, path) else spark.createDataFrame([], schemas.VOICE)
+    schema = schemas.VOICE + ", country STRING" if lines else schemas.VOICE
+    return spark.read.option("multiLine", not lines).schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def augmentation_table(spark: SparkSession, root: str, path: str, extension: str = "wav", largest: float | None = None) -> DataFrame:

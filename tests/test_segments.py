@@ -189,7 +189,7 @@ def test_complete_linkage_against_loop():
             assert {frozenset(np.flatnonzero(label == k).tolist()) for k in np.unique(label)} == slow_linkage(x, threshold)
 
 
-def test_voices_targets_and_sweep(spark):
+def test_voices_targets_and_sweep(spark, monkeypatch):
     r = np.random.default_rng(3)
     base = np.eye(8)[[0, 3]]
     rows = [("EG", i, f"v{i % 3}", (base[i % 2] + 0.05 * r.normal(size=8)).tolist(), 20.0) for i in range(12)]
@@ -200,6 +200,11 @@ def test_voices_targets_and_sweep(spark):
     vs = vectors.voices(c, df, "country", "id", "e", "dur", "prefix")
     assert vectors.top_targets(vs, 1).count() == 1 and vectors.top_targets(vs, 0, 500).count() == 0
     assert vectors.conversions(df.select("id"), vs.select("voice", "clips"), "id", "clips").count() == 12
+    many = spark.createDataFrame([(f"t{k}", [k, k + 1]) for k in range(7)] + [("t0", [0, 1])], "name string, clips array<long>")
+    whole = sorted(map(tuple, vectors.conversions(df.select("id"), many, "id", "clips").collect()), key=repr)
+    monkeypatch.setattr(vectors, "TARGETS", 3)
+    assert len(whole) == 12 * 8 - 16 and sorted(map(tuple, vectors.conversions(df.select("id"), many, "id", "clips").collect()), key=repr) == whole
+    assert vectors.conversions(df.select("id"), many.limit(0), "id", "clips").count() == 0
     s = {(x["threshold"], x["min_cohesion"]): (x["n60"], x["n30"]) for x in vectors.sweep(df, "country", "id", "e", "dur", [0.01, 0.45], [0.7]).collect()}
     assert s[0.45, 0.7] == (2, 2)
     near = neighbours.nearest(df, "id", "e", df.where("id = 0"), 3).collect()

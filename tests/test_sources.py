@@ -213,3 +213,25 @@ def test_large_logs_are_split_and_stay_in_order(spark, tmp_path):
         assert {r["utt_id"]: r["hyp"] for r in manifests.hypotheses_by_id(spark, str(tmp_path)).collect()} == {f"u{i}": str(3950 + i) for i in range(50)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rows_are_numbered_over_files(spark, tmp_path):
+    p = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "if(id % 9 = 0, null, id) as file").repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(p)
+    spark.range(0).selectExpr("id", "id as file").write.mode("append").parquet(p)
+    got = manifests.numbered_rows(spark, p, ["id", "file"], "n")
+    assert got.columns == ["id", "file", "n"] and all(r["id"] == r["n"] for r in got.collect()) and got.count() == 100
+    with pytest.raises(ValueError):
+        manifests.numbered_rows(spark, p, ["none"])
+
+
+def test_a_written_bank_is_read_by_country(spark, tmp_path):
+    from corpusframe.operators import metrics
+
+    clips = spark.createDataFrame([("EG", 100.0), ("MA", 5.0)], "country string, dur double")
+    voices = spark.createDataFrame([("EG", 61.0, ["a"]), ("EG", 31.0, ["b"]), ("MA", 5.0, ["c"])], "country string, dur double, clips array<string>")
+    sinks.write_bank(voices, metrics.bank_summary(voices, clips, "country"), {}, str(tmp_path / "b"))
+    got = manifests.bank(spark, str(tmp_path / "b" / "bank"), lines=True)
+    assert sorted((r["country"], r["dur"], r["clips"]) for r in got.collect()) == [("EG", 31.0, ["b"]), ("EG", 61.0, ["a"]), ("MA", 5.0, ["c"])]
+    assert "PartitionFilters: [isnotnull(country" in got.where("country = 'EG'")._jdf.queryExecution().toString()
+    assert manifests.bank(spark, str(tmp_path / "none"), lines=True).count() == 0
