@@ -18,7 +18,9 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Templates: label, text, key phrases that a match must hold. Words of public licence notices.
+#: Templates: label, text, key phrases that a match must hold. Words of public licence notices and of
+#: the heads of licence texts (fixed values). A family's label comes from any version's notice, a
+#: version's label only where its own key phrase stands.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted free of charge",)),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache license",)),
@@ -36,6 +38,27 @@ TEMPLATES = (
     ("mpl-2", "licensed under the mozilla public license version 2 0", ("mozilla public license",)),
     ("bsd", "licensed under the bsd 3 clause license", ("the bsd",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0 1 0 universal public domain dedication", ("waived all copyright",)),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2 of the license")),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3 of the license")),
+    ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    ("gpl-2", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc", ("gnu general public license version 2 june 1991",)),
+    ("gpl-3", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu general public license version 3 29 june 2007",)),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu affero general public license",)),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc", ("gnu affero general public license version 3",)),
+    ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license version 3",)),
+    ("apache-2", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ("apache license version 2 0 january 2004",)),
+    ("mpl-2", "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software", ("mozilla public license version 2 0",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", ("eclipse public license",)),
+    ("epl-2", "licensed under the eclipse public license version 2 0", ("eclipse public license version 2 0",)),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except in compliance with the license", ("common development and distribution license",)),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ("any person or organization obtaining a copy",)),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("permission is granted to anyone to use this software for any purpose",)),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
+    ("artistic-2", "you can redistribute it and or modify it under the terms of the artistic license 2 0", ("artistic license 2 0",)),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
 )
 #: Words of a file that a template is looked up by, those of the highest IDF; how many of them must
 #: agree on a place; and the share of a template that a match must show.
@@ -62,8 +85,8 @@ class RareTokenIndex:
     that the file holds, those of the highest IDF (over the templates) are taken; a word at place p
     of the file and i of the template says that the template starts at p - i. The starts that
     different words say are intersected: as far apart as words may have been put in or left out,
-    AGREE of them must meet. There the mandatory phrases are verified, and the share of the
-    template's words that stand in their order. Phrases are templates of which every word
+    AGREE of them must meet. From each start of such a place the mandatory phrases are verified, and the
+    share of the template's words that stand in their order; the largest share counts. Phrases are templates of which every word
     must stand, so the starts of all their words are intersected exactly."""
 
     def __init__(self, phrases=PHRASES, templates=TEMPLATES, rare_words: int = RARE_WORDS, agree: int = AGREE, coverage: float = COVERAGE):
@@ -89,8 +112,8 @@ class RareTokenIndex:
         """How far words put in or left out may move a template's others."""
         return max(3, len(self.words[t]) // 4)
 
-    def meeting(self, t: int, at: dict[bytes, list[int]], rare: list[bytes]) -> list[int]:
-        """Starts of template t on which enough of the rare words agree."""
+    def meeting(self, t: int, at: dict[bytes, list[int]], rare: list[bytes]) -> list[range]:
+        """Places where enough of the rare words agree, each as the starts that template t may have there."""
         said = sorted((p - i, w) for w in rare for p in at[w] for i in self.places[t][w])
         enough, reach, out = min(self.agree, len(rare)), self.slack(t), []
         lo = hi = 0
@@ -100,8 +123,7 @@ class RareTokenIndex:
                 seen[said[hi][1]] += 1
                 hi += 1
             if len(seen) >= enough:
-                starts = Counter(s for s, _ in said[lo:hi])
-                out.append(min(starts, key=lambda s: (-starts[s], s)))
+                out.append(range(said[lo][0] - reach, said[hi - 1][0] + reach + 1))
                 lo, seen = hi, Counter()
                 continue
             w = said[lo][1]
@@ -140,9 +162,11 @@ class RareTokenIndex:
                 starts = set.intersection(*({p - i for p in at[w]} for w, places in self.places[t].items() for i in places))
                 out += [(s, label, 1.0, True) for s in sorted(starts)]
                 continue
-            for s in self.meeting(t, at, rare[t]):
-                if (found := self.verified(t, ws, s)) and found[1] >= need:
-                    out.append((found[0], label, found[1], False))
+            for starts in self.meeting(t, at, rare[t]):
+                tried = [v for s in starts if (v := self.verified(t, ws, s)) and v[1] >= need]
+                if tried:
+                    start, share = max(tried, key=lambda v: (v[1], -v[0]))
+                    out.append((start, label, share, False))
         return out
 
 

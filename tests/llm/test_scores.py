@@ -66,6 +66,19 @@ def test_words_put_in_or_left_out():
     assert labels(" ".join(w + (" really" if i % 9 == 4 and i > 6 else "") for i, w in enumerate(said["unlicense"].split()))) == {"unlicense"}
 
 
+def test_versions_and_families_are_told_apart():
+    index = license_scan.RareTokenIndex()
+    labels = lambda text: {m[1] for m in index.scan(license_scan.words_of(text))}
+    program = "This program is free software; you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    assert labels(program.format("GNU General Public License", 2)) == {"gpl", "gpl-2"}
+    assert labels(program.format("GNU General Public License", 3)) == {"gpl", "gpl-3"}
+    assert labels(program.format("GNU Affero General Public License", 3)) == {"agpl-3"}
+    assert labels("Released under the GNU General Public License version 2 only.") == {"gpl", "gpl-2"}
+    assert labels("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\nCopyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.") == {"gpl-2"}
+    assert labels(" ".join(text for label, text, _ in license_scan.TEMPLATES if label == "boost")) == {"boost"}
+    assert labels("we read about the boost of the zlib authors, who permitted everyone to copy eclipse pictures under the terms of no license") == set()
+
+
 def test_labels_and_score_against_trying_every_place(spark):
     r, index = random.Random(4), license_scan.RareTokenIndex()
     texts = []
