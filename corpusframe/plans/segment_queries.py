@@ -170,7 +170,8 @@ def q43_cosine_topk(t):
 @query()
 def q45_quota_fill(t):
     """Spans of all turns chosen by role's quotas: a tenth of each cell's candidates."""
-    s = spans_of(t).join(t("conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    turns = timed_turns(t).join(t("conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    s = segments.word_spans(turns, "words", "dur_clip")
     s = s.select("role", F.concat_ws(":", "conv_id", "turn").alias("utt"), "i", "j", "nw", "bin", "tier", "gap", (-F.col("dur")).alias("score"), "dur")
     cells = s.groupBy("role", "nw", "bin").agg(F.count("*").alias("n"))
     quotas = cells.select("role", "nw", "bin", F.ceil(F.col("n") / 10).cast("int").alias("quota"))

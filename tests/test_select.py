@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pandas as pd
@@ -118,6 +119,27 @@ def test_quota_fill_by_group(spark):
     assert Counter(zip(got["g"], got["nw"], strict=True)) == {("0", 1): 3, ("1", 2): 2}
 
 
+def test_quota_fill_takes_the_rows_of_the_sequence(spark):
+    """Whatever budgets end where: as the one sequence of all offers does."""
+    r = random.Random(5)
+    for round_ in range(2):
+        made = []
+        for u in range(40):
+            for i in range(9):
+                for j in range(i, min(9, i + 4)):
+                    gap = r.choice([0.2, 0.03, 0.01, 0.7])
+                    made.append((r.choice("ab") if round_ else "ab"[u % 2], f"u{u}", i, j, j - i + 1, r.randrange(6), int(gap < 0.1) + int(gap < 0.02), gap, float(r.randrange(5))))
+        s = pd.DataFrame(made, columns=["g", "utt", "i", "j", "nw", "bin", "tier", "gap", "score"])
+        quota = {g: {(k, b): r.choice([0, 1, 3, 9, 40]) for k in range(1, 5) for b in range(6) if r.random() < 0.7} for g in "ab"}
+        q = spark.createDataFrame([(g, k, b, n) for g, cells in quota.items() for (k, b), n in cells.items()], "g string, nw int, bin int, quota int")
+        want = pd.concat([select.fill_quotas(s[s["g"] == g], quota[g]) for g in "ab"])
+        for passes in (select.PASSES, 0)[: 2 - round_]:
+            select.PASSES, held = passes, select.PASSES
+            got = select.quota_fill(spark.createDataFrame(s).repartition(3), q, "g").toPandas()
+            select.PASSES = held
+            assert sorted(map(tuple, got[list(s.columns)].values)) == sorted(map(tuple, want.values))
+
+
 def test_joins(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("n", None)], "id string, d double")
     b = spark.createDataFrame([("x", -1.0), ("y", 5.0), ("z", 7.0)], "id string, d double")
