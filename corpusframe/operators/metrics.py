@@ -60,15 +60,19 @@ def dev_report(df: DataFrame, domain: str, group: str, none: str = "_nondialect"
     """One row: mean utterance rate; macro over domains and over groups of corpus rates. Rows of
     no group count for the group macro only where no other group exists."""
     d = df.withColumns({"u": utterance_rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp")), "__g": F.when(F.col(group) == "", none).otherwise(F.col(group))})
-    overall = d.agg(F.avg("u").alias("utterance_rate"))
-
-    def macro(col: str, alone: bool) -> DataFrame:
-        r = d.where("n_ref > 0").groupBy(col).agg((F.sum("edits") / F.sum("n_ref")).alias("r"))
-        kept = F.avg(F.when(F.col(col) != none, F.col("r")))
-        return r.agg((F.coalesce(kept, F.avg("r")) if alone else F.avg("r")).alias(f"macro_{col.strip('_')}"))
-
-    out = overall.crossJoin(macro(domain, False)).crossJoin(macro("__g", True))
-    return out.withColumnsRenamed({f"macro_{domain}": "macro_domain", "macro_g": "macro_group"})
+    used = F.col("n_ref") > 0
+    # all sums by one reading: edits are long work and few rows come of them
+    per = d.groupingSets([[domain], ["__g"], []], domain, "__g").agg(
+        F.avg("u").alias("__u"),
+        (F.sum(F.when(used, F.col("edits"))) / F.sum(F.when(used, F.col("n_ref")))).alias("__r"),
+        F.grouping_id().alias("__of"),
+    )
+    rate = lambda of: F.when(F.col("__of") == of, F.col("__r"))
+    return per.agg(
+        F.max(F.when(F.col("__of") == 3, F.col("__u"))).alias("utterance_rate"),
+        F.avg(rate(1)).alias("macro_domain"),
+        F.coalesce(F.avg(F.when(F.col("__g") != none, rate(2))), F.avg(rate(2))).alias("macro_group"),
+    )
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
