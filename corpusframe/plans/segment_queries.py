@@ -121,11 +121,9 @@ WHERE common / (nw + w - common) > 0.65
 """)
 def q39_span_overlaps(t):
     """Overlapping spans of a turn that share too many words; a span meets the few that start in it."""
-    a = spans_of(t).select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-    b = a.withColumnsRenamed({"i": "k", "j": "m"})
-    starts = a.withColumn("k", F.explode(F.sequence("i", "j")))
+    met = segments.meeting_spans(spans_of(t), ["conv_id", "turn"])
     share = segments.span_overlap(F.col("i"), F.col("j"), F.col("k"), F.col("m"))
-    return starts.join(b, ["conv_id", "turn", "k"]).where("i < k or (i = k and j < m)").withColumn("share", F.round(share, 9)).where("share > 0.65").select("conv_id", "turn", "i", "j", "k", "m", "share")
+    return met.withColumn("share", F.round(share, 9)).where("share > 0.65").select("conv_id", "turn", "i", "j", "k", "m", "share")
 
 
 @query("""

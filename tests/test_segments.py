@@ -257,3 +257,17 @@ def test_nearest_without_clusters_and_on_odd_rows(spark):
     few = neighbours.nearest(df.where("id < 3"), "id", "e", df.where("id < 5"), 4).collect()
     assert sorted((x["query"], x["rank"]) for x in few) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 1), (4, 2), (4, 3)]
     assert neighbours.nearest(df.limit(0), "id", "e", df).count() == 0 and neighbours.nearest(df, "id", "e", df.limit(0)).count() == 0
+
+
+def test_meeting_spans_move_once(spark):
+    """All pairs of a clip as a join of starts gives them, repeated spans too, without a join."""
+    from pyspark.sql import functions as F
+
+    from corpusframe.operators import segments
+
+    rows = [(c, i, j) for c in (1, 2, None) for i in range(7) for j in range(i, min(7, i + 3))] + [(2, 3, 5), (2, 3, 5), (3, 0, 0)]
+    a = spark.createDataFrame(rows, "c int, i int, j int").repartition(3)
+    got = segments.meeting_spans(a, ["c"])
+    want = sorted((c, i, j, k, m) for c, i, j in rows for d, k, m in rows if c is not None and c == d and i <= k <= j and (i < k or j < m))
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
