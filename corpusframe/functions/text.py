@@ -79,13 +79,18 @@ def after_last(text: Column, mark: str = TEXT_MARK) -> Column:
     return F.substring_index(text, mark, -1)
 
 
+def _name(path: Column) -> Column:
+    """What follows the last slash: the rules below would try every letter of the folders first."""
+    return F.substring_index(path, "/", -1)
+
+
 def stem(path: Column) -> Column:
     """File name without its last extension; a leading dot begins no extension."""
-    return F.regexp_extract(path, "([^/]*?[^/.][^/]*?|\\.*[^/.]*)(\\.[^./]*)?$", 1)
+    return F.regexp_extract(_name(path), "([^/]*?[^/.][^/]*?|\\.*[^/.]*)(\\.[^./]*)?$", 1)
 
 
 def stem_simple(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]+?)(\\.[^./]*)?$", 1)
+    return F.regexp_extract(_name(path), "([^/]+?)(\\.[^./]*)?$", 1)
 
 
 def _first_known(parts: Column, names: tuple[str, ...], any_case: bool) -> Column:

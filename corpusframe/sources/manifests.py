@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.signal import spread
 from ..functions.text import stem_simple
 
 
@@ -116,9 +119,72 @@ def id_values(spark: SparkSession, path) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, modified) of a folder's files at any depth; contents are not read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return df.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    """(path, bytes, modified) of a folder's files at any depth, without those that Spark holds for hidden;
+    contents are not read. root is a URI or path that every executor reaches.
+
+    Runs when it is called and leaves its rows in the shared folder. Tasks list folders, level by level,
+    so the driver holds no file; the files of one folder pass one task, a thousand at a time."""
+    from . import scratch
+
+    schema = "path string, bytes long, modified timestamp, folder boolean"
+    level, out = spark.createDataFrame([(root if "://" in root else f"file://{root}",)], "path string"), None
+    while True:
+        at = scratch.folder(spark, "listed")
+        level.mapInArrow(_listed, schema).write.parquet(at)
+        found = spark.read.schema(schema).parquet(at)
+        files = found.where("not folder and path is not null")
+        out = files if out is None else out.unionByName(files)
+        folders = found.where("folder").select("path")
+        if folders.isEmpty():
+            break
+        level = spread(folders, "path")
+    matches = F.regexp_like(F.substring_index("path", "/", -1), F.lit(f"^{_java(pattern)}$"))
+    return out.where(matches).select(F.regexp_replace("path", "^file://", "file:").alias("path"), "bytes", "modified")
+
+
+def _java(pattern: str) -> str:
+    """A name's pattern (* and ?) as a regular expression."""
+    return "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() or c == "_" else f"\\{c}") for c in pattern)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files and folders in each of the folders given."""
+    from pyarrow.fs import FileSelector, FileType
+
+    from .ordered import reached
+
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            where, base = reached(uri)
+            found = where.get_file_info(FileSelector(base))
+            for k in range(0, len(found), 1000):
+                some = [f for f in found[k : k + 1000] if f.type in (FileType.File, FileType.Directory) and not _hidden(f.base_name)]
+                columns = [[f"{uri}/{f.base_name}" for f in some], [f.size for f in some], [f.mtime for f in some], [f.type == FileType.Directory for f in some]]
+                kinds = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "bytes", "modified", "folder"])
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def measured(files: DataFrame) -> DataFrame:
+    """Rows of inventory() with seconds, from the headers of WAV and FLAC files; -1 where one can't be
+    read. Samples are not read, and tasks hold one header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.signal import header_seconds
+        from .ordered import reached
+
+        for batch in batches:
+            made = []
+            for uri in batch.column(0).to_pylist():
+                where, at = reached(uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri)
+                with where.open_input_file(at) as f:
+                    made.append(header_seconds(f))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, "seconds"])
+
+    return spread(files, "path").mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("seconds", T.DoubleType())]))
 
 
 def in_row_order(df: DataFrame) -> DataFrame:
@@ -224,20 +290,19 @@ def augmentation_table(spark: SparkSession, root: str, path: str, extension: str
     """(ID, duration, wav, wav_format) of a folder's files, written as CSV once: where the table is
     there already it is only read. Files longer than `largest` seconds are listed in parts of that
     length (start, stop). A folder without such files is an error."""
-    from ..functions.signal import wav_seconds
     from .scratch import exists
 
     schema = "ID STRING, duration DOUBLE, wav STRING, wav_format STRING, start DOUBLE, stop DOUBLE"
     if not exists(spark, path):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
-        rows = found.select("path", wav_seconds("content").alias("all"))
+        found = inventory(spark, root, f"*.{extension}")
+        if found.isEmpty():
+            raise NoInput(f"{root}/*.{extension}")
+        rows = measured(found).select("path", F.col("seconds").alias("all"))
         parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / largest).cast("int") - 1, F.lit(0))) if largest else F.array(F.lit(0))
         rows = rows.select("path", "all", F.explode(parts).alias("k"))
         start = F.col("k") * (largest or 0.0)
         stop = F.least(start + largest, F.col("all")) if largest else F.col("all")
         rows = rows.select(F.concat(stem_simple("path"), F.lit("_"), F.col("k").cast("string")).alias("ID"), F.round(stop - start, 6).alias("duration"), F.col("path").alias("wav"), F.lit(extension).alias("wav_format"), start.alias("start"), stop.alias("stop"))
-        if rows.isEmpty():
-            raise NoInput(f"{root}/*.{extension}")
         rows.write.option("header", True).csv(path)
     return spark.read.option("header", True).schema(schema).csv(path)
 

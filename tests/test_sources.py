@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import datasource
 
 from corpusframe import schemas
+from corpusframe.functions import signal
 from corpusframe.sources import arrow_cache, manifests, sinks
 
 
@@ -235,3 +237,25 @@ def test_a_written_bank_is_read_by_country(spark, tmp_path):
     assert sorted((r["country"], r["dur"], r["clips"]) for r in got.collect()) == [("EG", 31.0, ["b"]), ("EG", 61.0, ["a"]), ("MA", 5.0, ["c"])]
     assert "PartitionFilters: [isnotnull(country" in got.where("country = 'EG'")._jdf.queryExecution().toString()
     assert manifests.bank(spark, str(tmp_path / "none"), lines=True).count() == 0
+
+
+def test_inventory_by_tasks(spark, tmp_path):
+    """Folders are listed and headers read by tasks, not by the driver's file index with 32 files a task."""
+    for k in range(150):
+        put_bytes = tmp_path / "w" / str(k % 5) / f"{k}.wav"
+        put_bytes.parent.mkdir(parents=True, exist_ok=True)
+        put_bytes.write_bytes(signal.encode_wav(np.zeros(160 * k)))
+    (tmp_path / "w" / "_tmp").mkdir()
+    (tmp_path / "w" / "_tmp" / "x.wav").write_bytes(b"junk")
+    (tmp_path / "w" / "0" / ".hidden.wav").write_bytes(b"junk")
+    (tmp_path / "w" / "junk.wav").write_bytes(b"junk")
+    (tmp_path / "w" / "1" / "a.wavx").write_bytes(b"junk")
+    files = manifests.inventory(spark, str(tmp_path / "w"), "*.wav")
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(str(tmp_path / "w"))
+    said = lambda df, n: sorted((r["path"], r[n]) for r in df.select("path", n).collect())
+    assert said(files, "bytes") == said(want, "length") and files.count() == 151
+    seconds = {r["path"].rpartition("/")[2]: r["seconds"] for r in manifests.measured(files).collect()}
+    assert seconds.pop("junk.wav") == -1 and seconds == {f"{k}.wav": k / 100 for k in range(150)}
+    assert manifests.measured(files).rdd.getNumPartitions() <= max(4, spark.sparkContext.defaultParallelism)
+    with pytest.raises(manifests.NoInput):
+        manifests.augmentation_table(spark, str(tmp_path / "w"), str(tmp_path / "t"), "mp3")
