@@ -189,6 +189,28 @@ def test_complete_linkage_against_loop():
             assert {frozenset(np.flatnonzero(label == k).tolist()) for k in np.unique(label)} == slow_linkage(x, threshold)
 
 
+def test_cluster_in_blocks_is_complete_linkage(spark, monkeypatch):
+    """No group meets in one task: with blocks of 20 the clusters are those of the whole matrix."""
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "complete_linkage", None)
+    r = np.random.default_rng(5)
+    rows = [(g, i, (np.eye(6)[i % 5] + 0.45 * r.normal(size=6)).tolist()) for g, n in (("a", 90), (None, 40), ("b", 1)) for i in range(n)]
+    rows += [("a", 200 + i, rows[3][2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, id long, e array<double>")
+    got = {(x["g"], x["id"]): x["cluster"] for x in vectors.cluster(df, "g", "id", "e", 0.3).collect()}
+    assert len(got) == len(rows)
+    for g in ("a", None, "b"):
+        mine = sorted((i, e) for h, i, e in rows if h == g)
+        x = np.array([e for _, e in mine])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        name = [got[g, i] for i, _ in mine]
+        want = slow_linkage(x, 0.3) if g else None
+        sets = {frozenset(k for k, c in enumerate(name) if c == d) for d in set(name)}
+        assert g is None or sets == want
+        first = [min(k for k, c in enumerate(name) if c == d) for d in range(len(sets))]
+        assert first == sorted(first)
+
+
 def test_voices_targets_and_sweep(spark, monkeypatch):
     r = np.random.default_rng(3)
     base = np.eye(8)[[0, 3]]
