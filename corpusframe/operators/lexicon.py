@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lexicon rows that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Words that a Python worker spells at once.
+WORDS = 200_000
 
 
 def build_lexicon(rows: DataFrame, group: str, words: str, order: list[str], fold: Callable[[Column], Column], min_share: float = 0.6, min_count: int = 30) -> DataFrame:
@@ -24,6 +28,32 @@ def build_lexicon(rows: DataFrame, group: str, words: str, order: list[str], fol
     return best.where((F.col("total") >= min_count) & (F.col("top") >= min_share * F.col("total"))).select(group, "folded", F.col("m.surface").alias("surface"))
 
 
+def parts_of(size: np.ndarray, most: int) -> list[int]:
+    """Where parts of rows end that have `most` words together, or are one row."""
+    total = np.cumsum(size)
+    ends, at = [], 0
+    while at < len(size):
+        at = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        ends.append(at)
+    return ends
+
+
+def respelled(entries: dict, groups: pa.Array, words: pa.Array, folded: pa.Array) -> pa.Array:
+    """Lists of words as entries (group, folded word) spell them, others as they are. Each different word
+    of a group is looked up once, words stay in Arrow."""
+    size = pc.fill_null(pc.list_value_length(words), 0)
+    flat, keys = pc.list_flatten(words).cast(pa.string()), pc.list_flatten(folded).cast(pa.string()).dictionary_encode(null_encoding="encode")
+    of = groups.dictionary_encode(null_encoding="encode")
+    n = max(1, len(keys.dictionary))
+    place = np.repeat(of.indices.to_numpy(zero_copy_only=False).astype(np.int64), size.to_numpy(zero_copy_only=False)) * n + keys.indices.to_numpy(zero_copy_only=False)
+    pairs, at = np.unique(place, return_inverse=True)
+    names, known = of.dictionary.to_pylist(), keys.dictionary.to_pylist()
+    found = pa.array([entries.get((names[p // n], known[p % n])) for p in pairs.tolist()], pa.string())
+    new = pc.coalesce(found.take(pa.array(at)), flat)
+    ends = pa.array(np.r_[0, np.cumsum(size.to_numpy(zero_copy_only=False))], pa.int32(), mask=np.r_[words.is_null().to_numpy(zero_copy_only=False), False])
+    return pa.ListArray.from_arrays(ends, new)
+
+
 def canonicalize(rows: DataFrame, lexicon: DataFrame, key: str, group: str, words: str, fold: Callable[[Column], Column]) -> DataFrame:
     """rows' (key, group, words) with words spelled as the lexicon says, and changed: whether any
     differs. A word without an entry stays, and so does every row, repeated ones too. A lexicon
@@ -35,8 +65,12 @@ def canonicalize(rows: DataFrame, lexicon: DataFrame, key: str, group: str, word
 
         @F.arrow_udf("array<string>")
         def spelled(groups: pa.Array, old: pa.Array, folded: pa.Array) -> pa.Array:
-            get = held.value.get
-            return pa.array([None if w is None else [get((g, f), x) for x, f in zip(w, fs, strict=True)] for g, w, fs in zip(groups.to_pylist(), old.to_pylist(), folded.to_pylist(), strict=True)], pa.list_(pa.string()))
+            """A message's rows in parts of bounded numbers of words."""
+            size, made, at = pc.fill_null(pc.list_value_length(old), 0).to_numpy(zero_copy_only=False), [], 0
+            for end in parts_of(size, WORDS):
+                made.append(respelled(held.value, *(c.slice(at, end - at) for c in (groups, old, folded))))
+                at = end
+            return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.string()))
 
         out = rows.withColumn("__new", spelled(group, words, "__folded"))
     else:
