@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import combine, joins, lexicon, metrics, models, quality, select
+from ..sources import scratch
 from . import corpora
 from .registry import SENTENCES, query, sql_edits, sql_normalized, sql_tokens
 from .segment_queries import SPANS, spans_of, timed_turns
@@ -56,9 +57,12 @@ def q76_build_modes(t):
     base = t("documents").select(F.col("doc_id").cast("string").alias("audio"), "text", F.col("lang").alias("dialect"))
     turns = timed_turns(t).withColumn("audio", F.concat_ws(":", "conv_id", "turn"))
     spans = spans_of(t).select(F.concat_ws(":", "conv_id", "turn", "i", "j").alias("audio"), F.col("span_text").alias("text"), F.lit("x").alias("dialect"), F.concat_ws(":", "conv_id", "turn").alias("src"), F.array("i", "j").alias("span"), "gap")
-    out = []
+    # spans are listed and met with their words once, for all modes and checks
+    path = scratch.folder(base.sparkSession, "met")
+    corpora.met_short_clips(spans, turns.select("audio", "words")).write.parquet(path)
+    met, out = base.sparkSession.read.parquet(path), []
     for mode in quality.MODES:
-        rows, checks = corpora.short_clip_build(base, spans, turns.select("audio", "words"), mode)
+        rows, checks = corpora.built_of(base, met, mode)
         bad = checks.agg(F.sum("violations").cast("long").alias("broken"))
         out.append(rows.agg(F.lit(mode).alias("mode"), F.count("*").alias("rows")).crossJoin(bad))
     return quality.together(*out)

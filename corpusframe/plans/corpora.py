@@ -64,13 +64,24 @@ def short_clip_build(base: DataFrame, short: DataFrame, alignments: DataFrame, m
     whose weaker boundary and edge words are wide enough (filtered), all of them (identity) or none;
     and the checks: spans within their words, no short clip twice, files that are not there. A short
     clip without an alignment fails the query."""
+    return built_of(base, met_short_clips(short, alignments), mode, files)
+
+
+def met_short_clips(short: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Short clips (audio, text, dialect) with __inside (is the span within its words?) and __ok (are its
+    boundary and edge words wide enough?): all that a build asks of alignments, in narrow rows."""
     words = segments.usable(F.col("words"))
     met = joins.required_join(short, alignments.select("audio", words.alias("words")).withColumnRenamed("audio", "__src"), "src", "__src", "alignment")
     i, j = F.col("span")[0], F.col("span")[1]
     inside = (i >= 0) & (i <= j) & (j < F.size("words"))
-    kept = quality.chosen(met, mode, segments.boundary_ok(F.col("words"), i, j, F.col("gap")))
-    rows = base.select("audio", "text", "dialect").unionByName(kept.select("audio", "text", "dialect"))
-    checks = [quality.violations(met, span_inside=inside), quality.duplicate_rows(kept, ["audio"])]
+    return met.select("audio", "text", "dialect", inside.alias("__inside"), segments.boundary_ok(F.col("words"), i, j, F.col("gap")).alias("__ok"))
+
+
+def built_of(base: DataFrame, met: DataFrame, mode: str, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """short_clip_build()'s rows and checks from met_short_clips(). Kept as a table, that serves all modes."""
+    kept = quality.chosen(met, mode, F.col("__ok")).select("audio", "text", "dialect")
+    rows = base.select("audio", "text", "dialect").unionByName(kept)
+    checks = [quality.violations(met, span_inside=F.col("__inside")), quality.duplicate_rows(kept, ["audio"])]
     if files is not None:
         checks.append(quality.missing_files(rows, files, "audio"))
     return rows, quality.together(*checks)

@@ -96,3 +96,13 @@ def test_problem_list_and_errors(spark):
     errs = spark.createDataFrame([("x",), ("y",), ("y",), ("",), (None,)], "e string")
     assert [tuple(r) for r in metrics.top_values(errs, "e", 1).collect()] == [("y", 2)]
     assert select.either(errs, errs).count() == 4
+
+
+def test_build_modes_list_spans_once(spark, sf, monkeypatch):
+    from corpusframe.plans import build_queries
+
+    asked, made = corpora.met_short_clips, []
+    monkeypatch.setattr(corpora, "met_short_clips", lambda *a: made.append(1) or asked(*a))
+    monkeypatch.setattr(corpora.segments, "boundary_ok", lambda *a: made.append(2) or F.lit(True))
+    got = build_queries.q76_build_modes(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))
+    assert made == [1, 2] and got.count() == 3
