@@ -15,22 +15,44 @@ UNKNOWN_MARK = "< ⁇ n ⁇ >"
 COUNTRIES = ("Algeria", "Egypt", "Jordan", "Mauritania", "Morocco", "Palestine", "UAE", "Yemen")
 EMPHATIC = "صضطظقعحخ"
 TEXT_MARK = "<asr_text>"
-#: White space as Python's str.split() takes it; Java's \\s alone misses some of it.
-BLANKS = "(?U)[\\s\\x1c-\\x1f]+"
+
+
+def _any_of(low: list[int], high: str) -> str:
+    """A pattern for one letter: code points under 256 one by one, which Java finds in a table, and a class of
+    others from U+0600 to U+3000, whose ranges it tries for letters of that range only."""
+    return f"[{''.join(f'\\x{c:02x}' for c in low)}[\\u0600-\\u3000&&[{high}]]]"
+
+
+#: White space as Python's str.split() takes it, but for the space itself; Java's \\s alone misses some of it.
+LOW_BLANKS, HIGH_BLANKS = [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0], "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+BLANK = _any_of(LOW_BLANKS, HIGH_BLANKS)
+#: PUNCTUATION, or white space.
+BREAK = _any_of([*LOW_BLANKS, *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)], "،؛؟٪-٭۔" + HIGH_BLANKS)
+
+
+def _between_spaces(text: Column) -> Column:
+    """Words between spaces. A single letter to split at is found without a pattern, which Spark would
+    compile for every row."""
+    return F.array_remove(F.split(text, " "), "")
 
 
 def tokens(text: Column) -> Column:
     """Words between white space, none of them empty."""
-    return F.filter(F.split(text, BLANKS), lambda t: t != "")
+    return _between_spaces(F.regexp_replace(text, BLANK, " "))
 
 
 def one_line(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
+def scoring_words(text: Column) -> Column:
+    """The words of normalize_scoring(), by one split."""
+    return _between_spaces(F.regexp_replace(F.regexp_replace(text, DIACRITICS, ""), BREAK, " "))
+
+
 def normalize_scoring(text: Column) -> Column:
     """Rule A: diacritics go, punctuation becomes a space, white space collapses; letters stay."""
-    return one_line(F.regexp_replace(F.regexp_replace(text, DIACRITICS, ""), PUNCTUATION, " "))
+    return F.array_join(scoring_words(text), " ")
 
 
 def normalize_training(text: Column, asmo: bool = False, remove_punctuation: bool = True) -> Column:

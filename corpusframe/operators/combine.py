@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit import align, coded
+from ..functions.edit import ITEMS, aligned_places, in_parts, numbered_words, within
 
 
 def complete_ids(systems: DataFrame, n_systems: int, key: str = "utt_id") -> DataFrame:
@@ -14,22 +16,28 @@ def complete_ids(systems: DataFrame, n_systems: int, key: str = "utt_id") -> Dat
     return systems.groupBy(key).agg(F.count_distinct("sys_idx").alias("n")).where(F.col("n") == n_systems).select(key)
 
 
-def voted(lists: list[list[str]], codes: list[list[int]], weights: list[float]) -> list[str]:
-    """The winning words of the first list's slots. Weights are added as doubles in the order of the
-    lists; the largest sum wins, then the pivot's own word, then that of the earlier list."""
-    if all(c == codes[0] for c in codes[1:]):
-        return [w for w in lists[0] if w != ""]
-    slots = [align(codes[0], c) for c in codes[1:]]
-    out = []
-    for k, own in enumerate(lists[0]):
-        sums = {own: weights[0]}  # in order of the first to say it, the pivot's own word ahead
-        for words, at, w in zip(lists[1:], slots, weights[1:], strict=True):
-            word = words[at[k]] if at[k] >= 0 else ""
-            sums[word] = sums.get(word, 0.0) + w
-        best = max(sums, key=sums.get)
-        if best != "":
-            out.append(best)
-    return out
+def voted(weights: list[float], *columns: pa.Array) -> pa.Array:
+    """The winning words of lists of words, row by row, in the slots of the first column's. Weights are added
+    as doubles in the order of the lists; the largest sum wins, then the pivot's own word, then that of
+    the earlier list. Words are numbers throughout: of all rows' slots at once."""
+    numbers, words = numbered_words(*columns)
+    blank = pc.index(words, "").as_py()
+    there = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+    (own, size), said = numbers[0], [numbers[0][0]]
+    row, _ = within(size)
+    for other, length in numbers[1:]:
+        at = aligned_places(own, size, other, length)
+        word = np.full(len(own), blank)
+        word[at >= 0] = other[(np.cumsum(length) - length)[row[at >= 0]] + at[at >= 0]]
+        said.append(word)
+    sums = np.zeros((len(said), len(own)))
+    for total, word in zip(sums, said, strict=True):
+        for w, who in zip(weights, said, strict=True):
+            total += np.where(who == word, w, 0.0)
+    won = np.take_along_axis(np.array(said), sums.argmax(axis=0)[None], axis=0)[0]
+    kept = (won != blank) & there[row]
+    ends = np.r_[0, np.cumsum(np.bincount(row[kept], minlength=len(size)))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.r_[~there, False]), words.take(pa.array(won[kept])))
 
 
 def vote_columns(weights: list[float], *words: Column) -> Column:
@@ -37,10 +45,8 @@ def vote_columns(weights: list[float], *words: Column) -> Column:
 
     @F.arrow_udf("array<string>")
     def decided(*columns: pa.Array) -> pa.Array:
-        codes, lists = coded(*columns), [c.to_pylist() for c in columns]
-        there = [all(c[r] is not None for c in lists) for r in range(len(lists[0]))]
-        made = [voted([c[r] for c in lists], [c[r] for c in codes], weights) if ok else None for r, ok in enumerate(there)]
-        return pa.array(made, pa.list_(pa.string()))
+        size = sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in columns)
+        return in_parts(size, list(columns), ITEMS, lambda *c: voted(weights, *c), pa.list_(pa.string()))
 
     return decided(*words)
 

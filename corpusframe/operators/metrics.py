@@ -20,8 +20,10 @@ def with_edits(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
 
 
 def with_char_edits(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
-    """df with edits and n_ref in characters of two normalized texts."""
-    return df.withColumns({"edits": char_edits(ref, hyp), "n_ref": F.char_length(ref)})
+    """df with edits and n_ref in characters of two normalized texts. Equal texts are not counted in Python."""
+    same = ref == hyp
+    edits = F.when(same, 0).otherwise(char_edits(F.when(~same, ref), F.when(~same, hyp)))
+    return df.withColumns({"edits": edits, "n_ref": F.char_length(ref)})
 
 
 def corpus_rate(df: DataFrame, group: str, keep_empty: bool = True) -> DataFrame:
