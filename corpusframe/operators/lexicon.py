@@ -19,10 +19,16 @@ WORDS = 200_000
 def build_lexicon(rows: DataFrame, group: str, words: str, order: list[str], fold: Callable[[Column], Column], min_share: float = 0.6, min_count: int = 30) -> DataFrame:
     """(group, folded, surface): for each folded word seen min_count times or more, its most
     frequent spelling if that has min_share of them; of equally frequent ones the first seen by
-    (order, place). Repeated rows count each time; rows without a group are an error."""
+    (order, place). Repeated rows count each time; rows without a group are an error.
+
+    Two spellings that are equally frequent have half of a word's places at most, so with a min_share of
+    more than half none is chosen by where it was seen first, and words are only counted, by hash."""
     rows = rows.withColumn(group, F.when(F.col(group).isNull() | (F.col(group) == ""), F.raise_error(F.lit(f"a row has no {group}")).cast("string")).otherwise(F.col(group)))
-    each = rows.select(group, *order, F.posexplode(words).alias("pos", "surface"))
-    forms = each.groupBy(group, "surface").agg(F.count("*").alias("n"), F.min(F.struct(*order, "pos")).alias("first"))
+    if min_share > 0.5:
+        forms = rows.select(group, F.explode(words).alias("surface")).groupBy(group, "surface").agg(F.count("*").alias("n")).withColumn("first", F.lit(0))
+    else:
+        each = rows.select(group, *order, F.posexplode(words).alias("pos", "surface"))
+        forms = each.groupBy(group, "surface").agg(F.count("*").alias("n"), F.min(F.struct(*order, "pos")).alias("first"))
     forms = forms.withColumn("folded", fold(F.col("surface")))
     best = forms.groupBy(group, "folded").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.min(F.struct(-F.col("n"), "first", "surface")).alias("m"))
     return best.where((F.col("total") >= min_count) & (F.col("top") >= min_share * F.col("total"))).select(group, "folded", F.col("m.surface").alias("surface"))
