@@ -58,10 +58,27 @@ class RangeScan:
         return place, number, run == 1, kept
 
 
+#: Rows, and bytes of their (compressed) files, of a range: more rows are dealt into more ranges.
+RANGE_ROWS, RANGE_BYTES = 500_000, 32 << 20
+
+
+def _kept_rows(df: DataFrame) -> tuple[DataFrame, int | None]:
+    """df as a table in the shared folder, which is made once, where sampling for ranges would make it again,
+    and how many ranges it takes for none to be too large; None where Spark's own number does."""
+    spark, path = df.sparkSession, scratch.folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    ranges = max(-(-kept.count() // RANGE_ROWS), -(-scratch.length(spark, path) // RANGE_BYTES))
+    return kept, ranges if ranges > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def scanned_ranges(df: DataFrame, groups: list[str], order: list[str | Column], value: str | None = None, ranges: int | None = None) -> DataFrame:
     """df with __range, __at (place in it), __number, __first (does the row's group begin the
     range?) and, with a value, __kept: all within the range. Written to the shared folder, so that
-    ranges stay the same for all that reads it."""
+    ranges stay the same for all that reads it. Without a number of ranges it grows with the rows, so
+    that a task's share doesn't."""
+    if ranges is None:
+        df, ranges = _kept_rows(df)
     keys = [*map(F.col, groups), *[F.col(c) if isinstance(c, str) else c for c in order]]
     dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
     dealt = dealt.sortWithinPartitions(*keys)

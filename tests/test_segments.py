@@ -293,3 +293,13 @@ def test_meeting_spans_move_once(spark):
     want = sorted((c, i, j, k, m) for c, i, j in rows for d, k, m in rows if c is not None and c == d and i <= k <= j and (i < k or j < m))
     assert sorted(map(tuple, got.collect())) == want
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.col("id"), F.repeat(F.lit("x"), 40).alias("t"))
+    monkeypatch.setattr(scan, "RANGE_ROWS", 1_000)
+    counts = [x["count"] for x in scan.scanned_ranges(df, ["g"], ["id"]).groupBy("__range").count().collect()]
+    assert len(counts) > 10 and max(counts) < 4_000 and sum(counts) == 20_000
+    assert scan.numbered_in_order(df, ["g"], ["id"]).where("n <> id div 2 + 1").count() == 0
+    monkeypatch.setattr(scan, "RANGE_BYTES", 1_000)
+    assert scan._kept_rows(df)[1] > 20
