@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import types as T
@@ -64,7 +64,10 @@ class WordSpans:
     maybe aligned.
 
     Spark brings a clip's words together, in order of place, as this function asks it to. A clip is
-    read as a stream: MAX_WORDS + 2 words are held, however long it is."""
+    read as a stream: MAX_WORDS + 2 words are held, however long it is, and HELD spans or a few more, as
+    Spark takes what each word gives as a message of its own."""
+
+    HELD = 256
 
     @staticmethod
     def analyze(words: AnalyzeArgument, clip: AnalyzeArgument, place: AnalyzeArgument, duration: AnalyzeArgument) -> AnalyzeResult:
@@ -82,28 +85,39 @@ class WordSpans:
 
     def __init__(self):
         self.held: deque[tuple[str, float, float]] = deque(maxlen=MAX_WORDS + 2)
-        self.n, self.key, self.end = 0, None, 0.0
-
-    def eval(self, word: Row, clip: str, place: str, duration: str) -> Iterator[tuple]:
-        if self.key is None:
+        self.made: list[tuple] = []
+        self.n, self.places, self.end = 0, None, 0.0
+
+    def eval(self, word: Row, clip: str, place: str, duration: str) -> Iterable[tuple]:
+        if self.places is None:
+            names = word.__fields__
+            self.places = [names.index(n) for n in ("w", "start", "end", duration.strip())]
+            self.aligned = names.index("aligned") if "aligned" in names else None
             self.key = tuple(word[k.strip()] for k in clip.split(","))
-        self.end = word[duration]
-        if ("aligned" in word and word["aligned"] is False) or word["w"] is None or word["start"] is None or word["end"] is None:
-            return
-        if word["end"] - word["start"] <= 1e-6 or not word["w"].strip(" "):
-            return
-        self.held.append((word["w"], word["start"], word["end"]))
+        at = tuple.__getitem__
+        w, start, end, self.end = (at(word, k) for k in self.places)
+        if (self.aligned is not None and at(word, self.aligned) is False) or w is None or start is None or end is None:
+            return ()
+        if end - start <= 1e-6 or not w.strip(" "):
+            return ()
+        self.held.append((w, start, end))
         self.n += 1
         if self.n > 1:
-            yield from self.spans(self.n - 2, len(self.held) - 2)
+            self.spans(self.n - 2, len(self.held) - 2)
+        return self.handed_on() if len(self.made) >= self.HELD else ()
 
-    def terminate(self) -> Iterator[tuple]:
+    def terminate(self) -> Iterable[tuple]:
         if self.n:
-            yield from self.spans(self.n - 1, len(self.held) - 1)
+            self.spans(self.n - 1, len(self.held) - 1)
+        return self.handed_on()
+
+    def handed_on(self) -> list[tuple]:
+        made, self.made = self.made, []
+        return made
 
-    def spans(self, j: int, at: int) -> Iterator[tuple]:
-        """The spans that end with word j, which is held at place `at`."""
-        words, last = self.held, at + 1 == len(self.held)
+    def spans(self, j: int, at: int) -> None:
+        """Make the spans that end with word j, which is held at place `at`."""
+        words, last, text = self.held, at + 1 == len(self.held), None
         _, _, end = words[at]
         if last:
             t1, right = min(self.end, end + EDGE), EDGE_GAP
@@ -112,6 +126,7 @@ class WordSpans:
             t1 = min(words[at + 1][1], end + right / 2 + PAD)
         for back in range(min(MAX_WORDS, j + 1)):
             i, first = j - back, words[at - back]
+            text = first[0] if text is None else f"{first[0]} {text}"
             if i == 0:
                 t0, left = max(0.0, first[1] - EDGE), EDGE_GAP
             else:
@@ -119,8 +134,7 @@ class WordSpans:
                 left = first[1] - before
                 t0 = max(before, before + left / 2 - PAD)
             if SHORTEST <= t1 - t0 <= LONGEST:
-                text = " ".join(words[k][0] for k in range(at - back, at + 1))
-                yield (*self.key, i, j, back + 1, t0, t1, min(left, right), text)
+                self.made.append((*self.key, i, j, back + 1, t0, t1, min(left, right), text))
 
 
 def register(spark: SparkSession) -> None:

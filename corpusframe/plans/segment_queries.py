@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.text import tokens
 from ..operators import neighbours, segments, select, table_functions, vectors
 from .registry import query, sql_tokens
 
@@ -43,7 +44,7 @@ def q36_hopping(t):
 
 def timed_turns(t):
     """Turns with words timed by their place and length, in milliseconds made seconds."""
-    c = t("conversations").select("conv_id", "turn", F.filter(F.split("text", "(?U)[\\s\\x1c-\\x1f]+"), lambda x: x != "").alias("ws"))
+    c = t("conversations").select("conv_id", "turn", tokens(F.col("text")).alias("ws"))
     cost = F.transform("ws", lambda w, i: 60 + 20 * F.char_length(w) + 20 * ((i * 7 + F.col("turn")) % 4))
     c = c.withColumn("cost", cost)
     sums = F.aggregate("cost", F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
@@ -91,7 +92,7 @@ def q113_windows_by_sql(t):
 @query(f"WITH {SPANS} SELECT conv_id, turn, i, j, nw, round(t0 * 1000)::BIGINT AS t0_ms, round(t1 * 1000)::BIGINT AS t1_ms FROM spans")
 def q114_spans_by_sql(t):
     """The spans of q37 through a table function, which asks for a clip's words in order."""
-    c = t("conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", "(?U)[\\s\\x1c-\\x1f]+"), lambda x: x != "")).alias("k", "w"))
+    c = t("conversations").select("conv_id", "turn", F.posexplode(tokens(F.col("text"))).alias("k", "w"))
     turn = Window.partitionBy("conv_id", "turn")
     own = 60 + 20 * F.char_length("w")
     begin = F.coalesce(F.sum(own + 20 * ((F.col("k") * 7 + F.col("turn")) % 4)).over(turn.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -61,3 +61,14 @@ def test_functions_of_tables_equal_columns(spark):
     assert near(got) == near(want) and len(got) > 20
     with pytest.raises(Exception, match="no column"):
         spark.sql("SELECT * FROM word_spans(TABLE({words}), 'clip', 'nowhere', 'dur')", words=words).collect()
+
+
+def test_spans_of_a_clip_leave_in_few_messages():
+    from pyspark.sql import Row
+
+    spans, sizes = table_functions.WordSpans(), []
+    for k in range(2_000):
+        sizes.append(len(list(spans.eval(Row(c=1, k=k, w=f"w{k}", start=k * 0.2, end=k * 0.2 + 0.15, d=400.0), "c", "k", "d"))))
+        assert len(spans.held) <= 8 and len(spans.made) < 300
+    sizes.append(len(list(spans.terminate())))
+    assert 5_000 < sum(sizes) < 12_000 and sum(n > 0 for n in sizes) < 50
