@@ -146,18 +146,31 @@ def _columns(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, blocks:
         said = []
         for k in range(blocks):
             p, q = rises[k, :live], falls[k, :live]
-            here = same[k][at]
+            here = same[k].take(at)
             level = here | q
             if k:
                 here |= down_in
-            across = ((here & p) + p ^ p) | here
-            up, down = q | ~(across | p), p & across
-            up_out, down_out = up >> top, down >> top
+            across = here & p
+            across += p
+            across ^= p
+            across |= here
+            down = p & across
+            across |= p
+            up = np.invert(across, out=across)
+            up |= q
+            if k < blocks - 1:
+                up_out, down_out = up >> top, down >> top
             ends = up, down
-            up, down = up << one | up_in, down << one | down_in
-            rises[k, :live] = down | ~(level | up)
-            falls[k, :live] = up & level
-            up_in, down_in = up_out, down_out
+            up, down = up << one, down << one
+            up |= up_in
+            if k:
+                down |= down_in
+            np.bitwise_and(up, level, out=q)
+            level |= up
+            np.invert(level, out=level)
+            np.bitwise_or(level, down, out=p)
+            if k < blocks - 1:
+                up_in, down_in = up_out, down_out
             said.append((*ends, down))
         yield live, said, falls
 
@@ -202,11 +215,12 @@ def edit_distances(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -
     for k, rows in together:
         for part in _steps(rows, m, n, CELLS):
             size, length = m[part], n[part]
-            last, distance = ((size - 1) & 63).astype(np.uint64), size.copy()
+            last, distance = ((size - 1) & 63).astype(np.uint64), size.astype(np.uint64)
             for live, said, _ in _columns(_taken(flat, short[part], size), size, _taken(flat, long_[part], length), length, k):
                 up, down, _ = said[-1]
-                distance[:live] += (up >> last[:live] & np.uint64(1)).astype(np.int64) - (down >> last[:live] & np.uint64(1)).astype(np.int64)
-            out[part] = distance
+                distance[:live] += up >> last[:live] & np.uint64(1)
+                distance[:live] -= down >> last[:live] & np.uint64(1)
+            out[part] = distance.astype(np.int64)
     return out
 
 
