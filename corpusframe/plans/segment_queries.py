@@ -122,7 +122,7 @@ WHERE common / (nw + w - common) > 0.65
 """)
 def q39_span_overlaps(t):
     """Overlapping spans of a turn that share too many words; a span meets the few that start in it."""
-    met = segments.meeting_spans(spans_of(t), ["conv_id", "turn"])
+    met = segments.meeting_spans(spans_of(t), ["conv_id", "turn"], 0.65)
     share = segments.span_overlap(F.col("i"), F.col("j"), F.col("k"), F.col("m"))
     return met.withColumn("share", F.round(share, 9)).where("share > 0.65").select("conv_id", "turn", "i", "j", "k", "m", "share")
 

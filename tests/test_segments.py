@@ -2,6 +2,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -303,3 +304,14 @@ def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
     assert scan.numbered_in_order(df, ["g"], ["id"]).where("n <> id div 2 + 1").count() == 0
     monkeypatch.setattr(scan, "RANGE_BYTES", 1_000)
     assert scan._kept_rows(df)[1] > 20
+
+
+def test_meeting_spans_leave_a_worker_in_bounded_parts(spark):
+    """300,000 spans of 3 clips have more pairs than one part may hold; with a share only close ones leave."""
+    one = [{"i": i, "j": i + n} for i in range(20_000) for n in range(5)]
+    parts = list(segments._meeting(pa.array([one] * 3), 0.0))
+    brute = sum(1 for i in range(100, 105) for n in range(5) for k in range(i, i + n + 1) for m in range(k, k + 5) if i < k or i + n < m) // 5
+    assert len(parts) > 10 and max(len(row) for row, _ in parts) <= segments.PAIRS
+    assert sum(len(row) for row, _ in parts) > 3 * 19_900 * brute and {int(r) for row, _ in parts for r in row} == {0, 1, 2}
+    a = spark.createDataFrame([("x", 0, 3), ("x", 1, 3), ("x", 2, 3), ("y", 1, 3), (None, 0, 3), (None, 1, 3)], "c string, i int, j int")
+    assert [tuple(r) for r in segments.meeting_spans(a, ["c"], 0.65).collect()] == [("x", 0, 3, 1, 3), ("x", 1, 3, 2, 3)]
