@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 # Character classes and names that results depend on.
 DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
 PUNCTUATION = "[،؛؟٪-٭۔\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]"
-TRAINING_PUNCTUATION = "[,.،;؛@#؟?!&$ـ_\\[\\]()]+ *"
 UNKNOWN_MARK = "< ⁇ n ⁇ >"
 COUNTRIES = ("Algeria", "Egypt", "Jordan", "Mauritania", "Morocco", "Palestine", "UAE", "Yemen")
 EMPHATIC = "صضطظقعحخ"
@@ -29,6 +28,9 @@ BLANK = _any_of(LOW_BLANKS, HIGH_BLANKS)
 #: PUNCTUATION, or white space.
 BREAK = _any_of([*LOW_BLANKS, *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)], "،؛؟٪-٭۔" + HIGH_BLANKS)
 
+#: The punctuation that Rule B takes out, or white space.
+TRAINING_BREAK = _any_of([*LOW_BLANKS, *map(ord, ",.;@#?!&$_[]()")], "،؛؟ـ" + HIGH_BLANKS)
+
 
 def _between_spaces(text: Column) -> Column:
     """Words between spaces. A single letter to split at is found without a pattern, which Spark would
@@ -55,22 +57,28 @@ def normalize_scoring(text: Column) -> Column:
     return F.array_join(scoring_words(text), " ")
 
 
-def normalize_training(text: Column, asmo: bool = False, remove_punctuation: bool = True) -> Column:
-    """Rule B: tags and bracketed tokens go, letters fold and become lower case (or the ASMO
-    substitutions apply instead), two letter names shrink, punctuation becomes a space."""
+def training_words(text: Column, asmo: bool = False, remove_punctuation: bool = True) -> Column:
+    """The words of normalize_training(), by one split. Steps for tags are taken by texts that have a bracket,
+    and letters are replaced one by one, which leaves a text without them as it is."""
     x = F.replace(F.regexp_replace(text, "(?U)<\\w+>", ""), F.lit(UNKNOWN_MARK), F.lit(""))
     x = F.replace(F.replace(x, F.lit("<"), F.lit(" <")), F.lit(">"), F.lit("> "))
-    parts = F.split(F.translate(x, "▁", " "), " ", -1)
+    parts = F.split(F.replace(x, F.lit("▁"), F.lit(" ")), " ", -1)
     x = F.array_join(F.filter(parts, lambda t: ~(t.startswith("<") | t.endswith(">"))), " ")
+    x = F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit(">")), x).otherwise(F.replace(text, F.lit("▁"), F.lit(" ")))
     if asmo:
         x = F.translate(x, "iIEBC", "jgGGG")
     else:
-        x = F.lower(F.translate(x, "ىةإأآ", "يهااا"))
-        x = F.replace(x, F.lit("سين"), F.lit("س"))
+        for old, new in zip("ىةإأآ", "يهااا", strict=True):
+            x = F.replace(x, F.lit(old), F.lit(new))
+        x = F.replace(F.lower(x), F.lit("سين"), F.lit("س"))
         x = F.replace(x, F.lit("جيم"), F.lit("ج"))
-    if remove_punctuation:
-        x = F.regexp_replace(x, TRAINING_PUNCTUATION, " ")
-    return one_line(x)
+    return _between_spaces(F.regexp_replace(x, TRAINING_BREAK if remove_punctuation else BLANK, " "))
+
+
+def normalize_training(text: Column, asmo: bool = False, remove_punctuation: bool = True) -> Column:
+    """Rule B: tags and bracketed tokens go, letters fold and become lower case (or the ASMO
+    substitutions apply instead), two letter names shrink, punctuation becomes a space."""
+    return F.array_join(training_words(text, asmo, remove_punctuation), " ")
 
 
 def fold_letters(text: Column) -> Column:

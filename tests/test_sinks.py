@@ -73,3 +73,13 @@ def test_single_files_in_order_without_the_driver(spark, tmp_path):
     assert (tmp_path / "none" / "b.csv").read_text() == "head\n" and (tmp_path / "none" / "a.txt").read_text() == ""
     with zipfile.ZipFile(tmp_path / "none" / "both.zip") as z:
         assert z.read("b.csv") == b"head\n"
+
+
+def test_error_report_counts_once(spark, tmp_path):
+    """Rates come from the rows that the report was written from, not from counting edits again."""
+    from corpusframe.sources import sinks
+
+    pairs = spark.createDataFrame([("a b c", "a c", "x"), ("<tag> A _ b", "a b", "x"), ("", "a", "y"), (None, "a", "y")], "r string, h string, g string")
+    rates = sinks.error_report(pairs, "r", "h", "g", str(tmp_path))
+    assert "word_edits" not in rates._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["g"] or "", x["edits"], x["units"], x["n"], x["pooled"]) for x in rates.collect()) == [("", 1, 5, 2, 1), ("x", 1, 5, 2, 0), ("y", 0, 0, 0, 0)]
